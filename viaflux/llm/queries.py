@@ -1,10 +1,12 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, mixing, simhash, substring_dedup, toxicity
+from . import decontaminate, html_extract, mixing, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_html_extraction": html_extract.op4_html_extraction,
     "op5_simhash": simhash.op5_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
