@@ -34,7 +34,7 @@ MIN_WORDS = 20
 #: Words of a run that is removed if it is whole lines.
 MIN_LINE_WORDS = 8
 #: Words on either side of a unit that are known by a byte of their hash.
-CONTEXT = 8
+CONTEXT = 4
 
 
 class Units:
@@ -70,24 +70,25 @@ class Units:
         self.seq = np.arange(len(self.begin)) - self.first_unit[self.unit_row]
         self.mark = (words >> np.uint64(56)).astype(np.uint64)
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The CONTEXT words before and after each unit, a byte each, the nearest lowest; 0 beyond the row."""
-        out = []
+    def contexts(self, which: np.ndarray) -> np.ndarray:
+        """The CONTEXT words before (low half) and after (high half) of units, a byte each, the nearest lowest; 0 beyond the row."""
+        packed = np.zeros(len(which), np.uint64)
         n = len(self.words)
-        for nearest, step in ((self.begin - 1, -1), (self.end, 1)):
-            packed = np.zeros(len(self.begin), np.uint64)
+        row = self.unit_row[which]
+        first, last = self.first[row], self.first[row + 1]
+        for nearest, step, shift in ((self.begin[which] - 1, -1, 0), (self.end[which], 1, 8 * CONTEXT)):
             for k in range(CONTEXT):
                 at = nearest + k * step
-                inside = (at >= self.first[self.unit_row]) & (at < self.first[self.unit_row + 1])
-                packed |= np.where(inside, self.mark[np.clip(at, 0, n - 1)], np.uint64(0)) << np.uint64(8 * k)
-            out.append(packed)
-        return out[0], out[1]
+                inside = (at >= first) & (at < last)
+                packed |= np.where(inside, self.mark[np.clip(at, 0, n - 1)], np.uint64(0)) << np.uint64(shift + 8 * k)
+        return packed
 
 
-def _matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Leading equal bytes, from the lowest."""
-    differ = (a ^ b).view(np.uint8).reshape(-1, 8) != 0
-    return np.where(differ.any(1), differ.argmax(1), CONTEXT)
+def _matching(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words before and after, counted from the nearest."""
+    differ = (a ^ b).view(np.uint8).reshape(-1, 2, CONTEXT) != 0
+    equal = np.where(differ.any(2), differ.argmax(2), CONTEXT)
+    return equal[:, 0], equal[:, 1]
 
 
 def _same(a, b) -> np.ndarray:
@@ -97,14 +98,18 @@ def _same(a, b) -> np.ndarray:
 
 
 def _candidates(batches, text: str, doc_id: str):
-    """(k, digest, repeat, doc_id, seq, left, right) of all units; left and right are the first occurrence's if it is known here."""
+    """(k, digest, doc_id, seq, context) of all units.
+
+    What repeats within the slice has a digest, the context of its first
+    occurrence and a k that spreads it; candidates have none and k is theirs.
+    """
     for batch in tk.slices(batches, text):
         units = Units(batch.column(1))
         n = len(units.begin)
         if not n:
             continue
         rank = pc.rank(batch.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[units.unit_row].astype(np.int64)
-        left, right = units.contexts()
+        context = units.contexts(np.arange(n))
         order = np.lexsort((units.seq, rank, units.digest))
         digest, place = units.digest[order], rank[order] * (1 << 32) + units.seq[order]
         head = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
@@ -115,26 +120,26 @@ def _candidates(batches, text: str, doc_id: str):
         first[order] = order[head_of]
         spread = tk.mix(units.digest ^ tk.mix(np.arange(n, dtype=np.uint64)))
         key = np.where(repeat, spread, units.digest)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(units.digest.view(np.int64)), pa.array(repeat), batch.column(0).take(pa.array(units.unit_row)), pa.array(units.seq.astype(np.int32)), pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64))],
-            names=["k", "digest", "repeat", "doc", "seq", "left", "right"],
-        )
+        known = pa.array(units.digest.view(np.int64), mask=~repeat)
+        arrays = [pa.array(key.view(np.int64)), known, batch.column(0).take(pa.array(units.unit_row)), pa.array(units.seq.astype(np.int32)), pa.array(context[first].view(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["k", "digest", "doc", "seq", "context"])
 
 
 def _repeats(batches):
-    """Of candidates sorted by (digest, doc_id, seq), those after the first, with the context of the first."""
-    names = ["doc", "seq", "digest", "left", "right"]
+    """Of candidates sorted by (k, doc, seq), those after the first, with the context of the first; and what was known to repeat."""
+    names = ["doc", "seq", "digest", "context"]
     held = None  # the first occurrence of the digest that the last batch ended with
     for batch in batches:
-        known = batch.filter(batch.column(2))
-        if known.num_rows:
-            yield known.select(names)
-        batch = pa.RecordBatch.from_arrays(batch.filter(pc.invert(batch.column(2))).columns, schema=batch.schema)
+        known = pc.is_valid(batch.column(1))
+        found = batch.filter(known)
+        if found.num_rows:
+            yield found.select(names)
+        batch = batch.filter(pc.invert(known))
         if held is not None:
-            batch = pa.concat_batches([held, batch])
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(held.columns, batch.columns, strict=True)], schema=batch.schema)
         if not batch.num_rows:
             continue
-        digest = batch.column(1).to_numpy()
+        digest = batch.column(0).to_numpy()
         head = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
         held = batch.slice(int(head[-1]), 1)
         head_of = np.repeat(head, np.diff(np.append(head, len(digest))))
@@ -142,8 +147,8 @@ def _repeats(batches):
         if not len(later):
             continue
         own, first = batch.take(pa.array(later)), batch.take(pa.array(head_of[later]))
-        same = _same(own.column(3), first.column(3)) & _same(own.column(4), first.column(4))
-        arrays = [own.column(3), own.column(4), own.column(1), first.column(5), first.column(6)]
+        same = _same(own.column(2), first.column(2)) & _same(own.column(3), first.column(3))
+        arrays = [own.column(2), own.column(3), own.column(0), first.column(4)]
         yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(~same))
 
 
@@ -154,27 +159,27 @@ def removed_spans(units: Units, row: int, flags: list[dict], chars: np.ndarray)
         return []
     seq = np.array([f["seq"] for f in flags], np.int64)
     digest = np.array([f["digest"] for f in flags], np.int64).view(np.uint64)
-    left = np.array([f["left"] for f in flags], np.int64).view(np.uint64)
-    right = np.array([f["right"] for f in flags], np.int64).view(np.uint64)
+    context = np.array([f["context"] for f in flags], np.int64).view(np.uint64)
     fits = seq < hi - lo
-    seq, digest, left, right = seq[fits], digest[fits], left[fits], right[fits]
+    seq, digest, context = seq[fits], digest[fits], context[fits]
     fits = units.digest[lo + seq] == digest  # a row that repeats a doc_id with another text has flags of its own
-    seq, left, right = seq[fits], left[fits], right[fits]
+    seq, context = seq[fits], context[fits]
     seq, at = np.unique(seq, return_index=True)
-    left, right = left[at], right[at]
+    context = context[at]
     if not len(seq):
         return []
     cuts = np.flatnonzero(np.diff(seq) != 1) + 1
     first_word, last_word = units.first[row], units.first[row + 1]
     out = []
     zero, size = units.offsets[row], units.offsets[row + 1]
-    own_left, own_right = _row_contexts(units, row, lo + seq)
-    back, ahead = _matching(own_left, left), _matching(own_right, right)
+    back, ahead = _matching(units.contexts(lo + seq), context)
     floor = first_word
     for a, b in zip(np.append(0, cuts), np.append(cuts, len(seq)), strict=True):
         begin, end = units.begin[lo + seq[a]], units.end[lo + seq[b - 1]]
         begin = max(floor, begin - int(back[a]))
         end = min(last_word, end + int(ahead[b - 1]))
+        if begin >= end:  # the run before has grown over it
+            continue
         whole = units.line_start[begin] and (end == last_word or units.line_start[end])
         if end - begin < (MIN_LINE_WORDS if whole else MIN_WORDS):
             continue
@@ -193,19 +198,6 @@ def removed_spans(units: Units, row: int, flags: list[dict], chars: np.ndarray)
     return out
 
 
-def _row_contexts(units: Units, row: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    first, last = units.first[row], units.first[row + 1]
-    for nearest, step in ((units.begin[which] - 1, -1), (units.end[which], 1)):
-        packed = np.zeros(len(which), np.uint64)
-        for k in range(CONTEXT):
-            at = nearest + k * step
-            inside = (at >= first) & (at < last)
-            packed |= np.where(inside, units.mark[np.clip(at, 0, len(units.mark) - 1)], np.uint64(0)) << np.uint64(8 * k)
-        out.append(packed)
-    return out[0], out[1]
-
-
 def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` without repeated substrings: `text` loses them, `removed` has their spans in the original.
 
@@ -220,11 +212,11 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     base = docs.drop("removed", "n_units", "_flags", "_doc")
     kind = base.schema[doc_id].dataType
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidate = T.StructType([T.StructField("k", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("repeat", T.BooleanType()), T.StructField("doc", kind), T.StructField("seq", T.IntegerType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
+    candidate = T.StructType([T.StructField("k", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("doc", kind), T.StructField("seq", T.IntegerType()), T.StructField("context", T.LongType())])
     found = base.select(doc_id, text).mapInArrow(lambda b: _candidates(b, text, doc_id), candidate)
-    found = found.repartition(partitions, "k").sortWithinPartitions("k", "digest", "doc", "seq")
-    repeats = found.mapInArrow(_repeats, T.StructType([candidate[n] for n in ("doc", "seq", "digest", "left", "right")]))
-    flags = repeats.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("seq", "digest", "left", "right")).alias("_flags"))
+    found = found.repartition(partitions, "k").sortWithinPartitions("k", "doc", "seq")
+    repeats = found.mapInArrow(_repeats, T.StructType([candidate[n] for n in ("doc", "seq", "digest", "context")]))
+    flags = repeats.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("seq", "digest", "context")).alias("_flags"))
     joined = base.join(flags, F.col(doc_id).eqNullSafe(F.col("_doc")), "left").drop("_doc")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*base.schema.fields, T.StructField("removed", spans), T.StructField("n_units", T.LongType())])
