@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from . import textkit as tk
 
 #: Bounds of the training sample, drawn by a hash of doc_id.
-MAX_POSITIVE = 4000
-MAX_UNLABELLED = 8000
+MAX_POSITIVE = 2000
+MAX_UNLABELLED = 4000
 #: Bytes of the beginnings of words that are features beside the words.
 PREFIXES = (4, 6)
 #: Texts of the sample that a word has to occur in.
