@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from . import textkit as tk
 
 #: Neighbours on each side that a unit's first word is compared with.
-REACH = 2
+REACH = 3
 #: Words of a run of repeated units that is removed wherever it stands.
 MIN_WORDS = 20
 #: Words of a run that is removed if it is whole lines.
