@@ -44,6 +44,8 @@ MAX_CLASS_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.29
 
 _SPACE = r"[\x20\x09-\x0D]"
+#: What may stand beside a common word.
+_EDGES = ".,;:!?\"'()[]*#%&$|-"
 _ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 
 
@@ -70,25 +72,33 @@ def features(docs: DataFrame, *, text: str = "text", lang: str = "lang", words:
     """`docs` without `text`, with the base counts and the two histograms (arrays of long)."""
     t = F.coalesce(F.col(text), F.lit(""))
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in _ADDED]
-    a = docs.select(*keep, t.alias("_t"), F.filter(F.split(t, _SPACE + "+"), lambda w: w != "").alias("_w"))
-    # widest first: one array of windows' hashes, then what is counted from it
-    hashes = F.transform("_w", lambda w: F.xxhash64(w))
-    a = a.withColumn("_h", hashes)
-    window = lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)])
+    lists = F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    listed = F.coalesce(F.element_at(lists, F.coalesce(F.col(lang), F.lit(""))), F.array().cast("array<string>"))
+    a = docs.select(*keep, t.alias("_t"), F.array_remove(F.split(t, _SPACE + "+"), "").alias("_w"), listed.alias("_list"))
     n = F.size("_w")
-    a = a.withColumn("_h", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # the most frequent characters go first, so that later passes see short texts
+    a = a.withColumn("_rest", F.regexp_replace("_t", r"[a-z]+", ""))
+    a = a.withColumn("_solid", F.regexp_replace("_rest", _SPACE + "+", ""))
+    # hashes of 2, 4 and 8 words, each from two of the one before
+    h = F.transform("_w", lambda w: F.xxhash64(w))
+    pairs = lambda c, by: F.zip_with(F.col(c), F.slice(F.col(c), by + 1, F.greatest(n, F.lit(1))), lambda x, y: F.xxhash64(x, y))
+    a = a.withColumn("_h", h)
+    for by in (1, 2, 4):
+        a = a.withColumn("_h", pairs("_h", by))
+    a = a.withColumn("_h", F.slice("_h", 1, F.greatest(n - (WINDOW - 1), F.lit(0))))
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0)
     a = a.withColumn("_lines", lines)
-    lists = F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    lower = F.transform("_w", lambda w: F.lower(F.regexp_replace(w, r"^\P{L}+|\P{L}+$", "")))
-    a = a.withColumn("_list", F.coalesce(F.element_at(lists, F.coalesce(F.col(lang), F.lit(""))), F.array().cast("array<string>")))
-    counted = {k: F.length(F.regexp_replace("_t", "[^" + p[1:] + "+", "")) for k, p in CLASSES.items()}
-    a = a.withColumns({f"_c_{k}": v for k, v in counted.items()} | {
-        "word_chars": F.length(F.regexp_replace("_t", _SPACE + "+", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long"),
+    longest = max((len(w) for v in words.values() for w in v), default=0)
+    short = F.filter("_w", lambda w: F.length(w) <= longest + 2)
+    bare = F.transform(short, lambda w: F.lower(F.btrim(w, F.lit(_EDGES))))
+    a = a.withColumn("_common", F.filter(bare, lambda w: F.array_contains(F.col("_list"), w)))
+    solid = lambda pattern: F.length(F.regexp_replace("_solid", "[^" + pattern[1:] + "+", ""))
+    a = a.withColumns({f"_c_{k}": solid(p) for k, p in CLASSES.items() if k != "lower"} | {
+        "_c_lower": F.length("_t") - F.length("_rest"),
+        "word_chars": (F.length("_t") - F.length("_rest") + F.length("_solid")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace("_solid", r"[^#*$%&|<>]+", "")).cast("long"),
         "n_words": n.cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_common": F.filter(lower, lambda w: F.array_contains(F.col("_list"), w)),
     })
     a = _with_repeat_words(a)
     known = reduce(lambda x, y: x + y, [F.col(f"_c_{k}") for k in CLASSES])
@@ -99,13 +109,18 @@ def features(docs: DataFrame, *, text: str = "text", lang: str = "lang", words:
     return a.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), classes.alias("_classes"), common.alias("_words"))
 
 
+def _shares(counts: Column) -> Column:
+    """Counts over their sum; null if that is 0."""
+    total = F.aggregate(counts, F.lit(0.0), lambda s, y: s + y)
+    return F.when(total > 0, F.transform(F.arrays_zip(counts.alias("c"), F.array_repeat(total, F.size(counts)).alias("t")), lambda x: x["c"] / x["t"]))
+
+
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of counts; 0 if either is empty."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    n, k = total(p), total(q)
-    terms = F.zip_with(p, q, lambda x, y: half(x / n, (x / n + y / k) / 2) / 2 + half(y / k, (x / n + y / k) / 2) / 2)
-    return F.when((n > 0) & (k > 0), F.sqrt(F.greatest(total(terms), F.lit(0.0)))).otherwise(F.lit(0.0))
+    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares; 0 if either is null."""
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
+    divergence = F.aggregate(terms, F.lit(0.0), lambda s, y: s + y) / 2
+    return F.coalesce(F.sqrt(F.greatest(divergence, F.lit(0.0))), F.lit(0.0))
 
 
 def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", words: dict[str, list[str]] = COMMON_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
@@ -121,13 +136,13 @@ def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", words: di
     at = lambda name, size: [F.sum(F.when(~F.col("base_failed"), F.get(F.col(name), F.lit(i)))).alias(f"{name}{i}") for i in range(size)]
     n_classes, n_words = len(CLASSES) + 1, max(map(len, words.values())) + 1
     sums = rows.groupBy(F.col(lang).alias("_lang")).agg(*at("_classes", n_classes), *at("_words", n_words))
-    reference = sums.select("_lang", F.array(*[F.coalesce(F.col(f"_classes{i}"), F.lit(0)) for i in range(n_classes)]).alias("_ref_classes"), F.array(*[F.col(f"_words{i}") for i in range(n_words)]).alias("_ref_words"))
+    rows = rows.withColumns({"_classes": _shares(F.col("_classes")), "_words": _shares(F.col("_words"))})
+    reference = sums.select("_lang", _shares(F.array(*[F.coalesce(F.col(f"_classes{i}"), F.lit(0)) for i in range(n_classes)])).alias("_ref_classes"), _shares(F.filter(F.array(*[F.col(f"_words{i}") for i in range(n_words)]), lambda x: x.isNotNull())).alias("_ref_words"))
     # a row for each language: small, and joined as Spark's size statistics say
     out = rows.join(reference, F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    ref_words = F.filter("_ref_words", lambda x: x.isNotNull())
     guard_c, guard_w = F.col("word_chars") >= MIN_CHARS_JUDGED, (F.col("n_words") >= MIN_WORDS_JUDGED) & (F.size("_words") > 1)
     out = out.withColumn("class_distance", F.when(guard_c, js_distance(F.col("_classes"), F.col("_ref_classes"))).otherwise(F.lit(0.0)))
-    out = out.withColumn("word_distance", F.when(guard_w & (F.size(ref_words) == F.size("_words")), js_distance(F.col("_words"), ref_words)).otherwise(F.lit(0.0)))
+    out = out.withColumn("word_distance", F.when(guard_w & (F.size("_ref_words") == F.size("_words")), js_distance(F.col("_words"), F.col("_ref_words"))).otherwise(F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.col("class_distance") <= max_class) & (F.col("word_distance") <= max_word)
     return out.withColumn("kept", kept).drop("_lang", "_classes", "_words", "_ref_classes", "_ref_words")
 
