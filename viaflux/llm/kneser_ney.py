@@ -220,7 +220,8 @@ def judged(docs: DataFrame, labels: DataFrame, *, text: str = "text", lang: str
     names are replaced.
     """
     ids = labels.filter(F.col(label).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("_l")).filter("_l = 1").select(doc_id)
-    fitted = fit(docs.select(doc_id, text, lang).join(ids, doc_id, "left_semi"), text=text, lang=lang)
+    # texts meet their labels in a shuffle at any size: labels grow with the corpus, so they aren't broadcast
+    fitted = fit(docs.select(doc_id, text, lang).join(ids.hint("merge"), doc_id, "left_semi"), text=text, lang=lang)
     base = docs.drop("n_chars_scored", "perplexity", "threshold", "kept")
     rows = cut(scored(base, fitted, text=text, lang=lang))
     marked = rows.select(doc_id, lang, "perplexity", "n_chars_scored").join(ids, doc_id, "left_semi").filter(F.col("n_chars_scored") >= MIN_CHARS)
