@@ -1,0 +1 @@
+"""Urban-mobility analytics on Spark: trips, traces and origin-destination flows as DataFrames."""
