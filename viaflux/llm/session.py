@@ -1,22 +1,5 @@
-"""Shared storage for cut lineage, read from the session."""
+"""Shared storage for cut lineage."""
 
-from __future__ import annotations
+from ..session import cut, ensure_checkpoint_dir
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only where none is set (single-machine tests)."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="viaflux-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` with its rows written to the checkpoint folder, so that later stages read it from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "ensure_checkpoint_dir"]
