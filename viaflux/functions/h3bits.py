@@ -6,8 +6,6 @@ base cell in 45-51, and 15 digits of three bits, those below its resolution 7.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,20 +27,26 @@ def long_resolution(v: Column) -> Column:
     return F.shiftright(v, 52).bitwiseAND(F.lit(15)).cast("int")
 
 
-def digit(v: Column, r: int) -> Column:
-    return F.shiftright(v, 3 * (15 - r)).bitwiseAND(F.lit(7))
+#: The lowest bit of each of the 15 digits.
+_ONES = sum(1 << 3 * k for k in range(15))
+_DIGITS = (1 << 45) - 1
 
 
 def long_valid(v: Column) -> Column:
-    """Whether an id is a cell; false for null."""
-    res = long_resolution(v)
+    """Whether an id is a cell; false for null.
+
+    Unused digits are all ones; among the used ones none is 7, which shows as
+    a bit that its two neighbours share; on a pentagon the first that isn't 0
+    may not be 1, so its highest set bit may not be a digit's lowest.
+    """
+    unused = 3 * (15 - long_resolution(v))
+    ones = F.call_function("shiftleft", F.lit(1).cast("long"), unused) - 1
+    used = F.call_function("shiftright", v.bitwiseAND(F.lit(_DIGITS)), unused)
+    sevens = F.call_function("shiftright", v.bitwiseAND(F.shiftright(v, 1)).bitwiseAND(F.shiftright(v, 2)).bitwiseAND(F.lit(_ONES)), unused)
     base = F.shiftright(v, 45).bitwiseAND(F.lit(127))
-    head = (v >= 0) & (F.shiftright(v, 59) == 1) & (F.shiftright(v, 56).bitwiseAND(F.lit(7)) == 0) & (base <= 121)
-    digits = [F.when(F.lit(r) <= res, digit(v, r) < 7).otherwise(digit(v, r) == 7) for r in range(1, 16)]
-    # the first digit that isn't 0 may not be 1 on a pentagon, whose axis is deleted
-    leading = F.coalesce(*[F.when((F.lit(r) <= res) & (digit(v, r) != 0), digit(v, r)) for r in range(1, 16)], F.lit(0))
-    bent = base.isin(*PENTAGONS) & (leading == 1)
-    return F.coalesce(reduce(lambda a, b: a & b, digits, head) & ~bent, F.lit(False))
+    head = (v >= 0) & (F.shiftright(v, 56) == 8) & (base <= 121)
+    bent = base.isin(*PENTAGONS) & (used > 0) & (F.length(F.bin(used)) % 3 == 1)
+    return F.coalesce(head & (v.bitwiseAND(ones) == ones) & (sevens == 0) & ~bent, F.lit(False))
 
 
 def valid(cell: Column) -> Column:

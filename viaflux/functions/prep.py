@@ -36,7 +36,7 @@ def decode_map(c: Column, table: Mapping[str, str]) -> Column:
 def decode_list(c: Column, table: Mapping[str, str], sep: str = ";") -> Column:
     """A list in text, each entry decoded."""
     pairs = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)])
-    entries = F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    entries = F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.transform(entries, lambda x: F.coalesce(F.element_at(pairs, x), x)), sep)
 
 
@@ -113,7 +113,7 @@ def project_xy_to_latlon(df: DataFrame, x: str, y: str, *, crs: str = "EPSG:5361
 def station_pair(c: Column) -> Column:
     """Upper case without accents, and the two parts of `A-B` in order."""
     t = F.translate(F.upper(F.trim(c)), "ÁÉÍÓÚÜÑ", "AEIOUUN")
-    return F.array_join(F.array_sort(F.transform(F.split(t, "-"), F.trim)), "-")
+    return F.array_join(F.array_sort(F.transform(F.split(t, "-"), lambda x: F.trim(x))), "-")
 
 
 def top_flows(flows: DataFrame, k: int) -> DataFrame:

@@ -39,7 +39,9 @@ def with_keys(df: DataFrame, *, resolution: int, time_aggregation: str = "none",
     """Cells rolled up to `resolution`, and the time window; invalid and null cells stay as they are."""
     for end in ("origin", "destination"):
         c = F.lower(F.trim(F.col(f"{end}_h3_index")))
-        df = df.withColumn(f"{end}_h3_index", F.coalesce(h3bits.parent(c, resolution), c))
+        v = F.col("_v")  # a column of its own, as it is named several times
+        up = F.when(h3bits.long_valid(v), h3bits.to_text(h3bits.long_parent(v, resolution)))
+        df = df.withColumn("_v", h3bits.to_long(c)).withColumn(f"{end}_h3_index", F.coalesce(up, c)).drop("_v")
     if time_aggregation != "none":
         start, stop = timeutil.bucket(F.col(f"{time_basis}_time_utc"), time_aggregation)
         df = df.withColumn("window_start_utc", start).withColumn("window_end_utc", stop)
@@ -112,10 +114,11 @@ def build_flows(trips: TripDataset, *, options: FlowBuildOptions | None = None,
         if time_column not in df.columns:
             issues.fatal("FLOW.TEMPORAL.REQUIRED_TIME_FIELDS_MISSING", f"{time_column} is missing")
 
-    cells = {e: h3bits.to_long(F.col(f"{e}_h3_index")) for e in ("origin", "destination")}
+    cells = {e: F.col(f"_{e}") for e in ("origin", "destination")}
     full = F.col("origin_h3_index").isNotNull() & F.col("destination_h3_index").isNotNull()
     valid = {e: h3bits.long_valid(v) for e, v in cells.items()}
-    checks = df.agg(
+    parsed = df.withColumns({f"_{e}": h3bits.to_long(F.col(f"{e}_h3_index")) for e in cells})
+    checks = parsed.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(full).alias("full"),
         *[F.count_if(F.col(f"{e}_h3_index").isNotNull() & ~valid[e]).alias(f"bad_{e}") for e in cells],

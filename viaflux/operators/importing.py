@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..datasets import TraceDataset, TripDataset, json_safe, new_id
 from ..functions import coerce, h3proj, timeutil
 from ..issues import ImportFailed, Issues, Report
+from ..session import cut
 from ..schema import OD_COORDINATES, TRACE_CORE, DomainSpec, EffectiveSchema, FieldSpec, TraceSchema, TripSchema, lint, tier_of
 
 SOFT_COLUMNS, HARD_COLUMNS = 256, 1024
@@ -56,15 +57,14 @@ def known_zone(name: str) -> bool:
     return True
 
 
-def with_row_number(df: DataFrame, column: str = ROW, order: Sequence[str] | None = None) -> DataFrame:
+def with_row_number(df: DataFrame, column: str = ROW, order: Sequence[str | Column] | None = None) -> DataFrame:
     """A dense row number from 0 without collecting rows into one task.
 
     In the order of `order` if given, else as partitions are read. Partition
     sizes (one number for each) are all that reaches the driver.
     """
-    spark = df.sparkSession
     if order:
-        df = df.orderBy(*order)
+        df = cut(df.orderBy(*order))  # sorted once: its ranges are read again for the sizes and for the rows
     tagged = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
     start, before = [], 0
@@ -72,7 +72,6 @@ def with_row_number(df: DataFrame, column: str = ROW, order: Sequence[str] | Non
         start.append((r["_part"], before))
         before += r["n"]
     offsets = F.create_map(*[F.lit(x) for pair in start for x in pair]) if start else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    del spark
     return tagged.withColumn(column, (F.element_at(offsets, F.col("_part")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at", "_part")
 
 
@@ -366,9 +365,8 @@ def first_rows(df: DataFrame, keep: Column, limit: int) -> list[dict[str, Any]]:
 
 
 def dense_rank_id(df: DataFrame, order: Sequence[Column], column: str) -> DataFrame:
-    """A row number from 0 over a total order, by one global sort whose ranges keep their counts on the driver."""
-    ordered = df.orderBy(*order)
-    return with_row_number(ordered, column)
+    """A row number from 0 over a total order: one range sort, written once, and the sizes of its ranges."""
+    return with_row_number(df, column, order)
 
 
 def by_window(partition: Sequence[str]) -> Any:

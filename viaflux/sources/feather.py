@@ -43,7 +43,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if head is None:
         raise FileNotFoundError(path)
     schema = _schema(bytes(head["content"]))
-    kind = to_arrow_schema(schema, timezone="UTC")
+    kind = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,8 +59,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def write(fs: files.FileSystem, df: DataFrame, path: str, compression: str, categorical: Sequence[str] = ()) -> None:
     """A folder of Feather parts, one for each partition; texts of `categorical` get a dictionary."""
     columns = df.columns
-    options = ipc.IpcWriteOptions(compression=None if compression == "uncompressed" else compression)
-    kind = to_arrow_schema(df.schema, timezone="UTC")
+    codec = None if compression == "uncompressed" else compression
+    kind = to_arrow_schema(df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
@@ -71,7 +71,7 @@ def write(fs: files.FileSystem, df: DataFrame, path: str, compression: str, cate
             k = columns.index(name)
             table = table.set_column(k, name, table.column(k).combine_chunks().dictionary_encode())
         sink = io.BytesIO()
-        with ipc.new_file(sink, table.schema, options=options) as out:
+        with ipc.new_file(sink, table.schema, options=ipc.IpcWriteOptions(compression=codec)) as out:
             out.write_table(table)
         yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], names=["content"])
 
@@ -82,6 +82,6 @@ def write(fs: files.FileSystem, df: DataFrame, path: str, compression: str, cate
         wrote = True
     if not wrote:
         sink = io.BytesIO()
-        with ipc.new_file(sink, kind, options=options):
+        with ipc.new_file(sink, kind):
             pass
         fs.write_bytes(f"{path}/part-00000.feather", sink.getvalue())
