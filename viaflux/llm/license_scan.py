@@ -113,7 +113,7 @@ class Scanner:
             telling = [h for h, w in zip(hashes, words, strict=True) if w not in PLAIN] or hashes
             # a match of min_coverage misses so many words at most
             missing = int(len(words) * (1 - min_coverage) + 1e-9)
-            self.templates.append((name, hashes, np.unique(np.array(telling, np.uint64)), max(1, len(telling) - missing)))
+            self.templates.append((name, hashes, np.unique(np.array(telling, np.uint64)), max(1, len(telling) - missing), missing))
         self.keys = np.unique(np.concatenate([t[2] for t in self.templates])) if self.templates else np.zeros(0, np.uint64)
 
     @staticmethod
@@ -133,7 +133,7 @@ class Scanner:
         place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         hits = np.flatnonzero(self.keys[place] == hashes)
         row_of_hit = np.searchsorted(first, hits, "right") - 1
-        for name, words, keys, needed in self.templates:
+        for name, words, keys, needed, missing in self.templates:
             at = np.minimum(np.searchsorted(keys, hashes[hits]), len(keys) - 1)
             mine = keys[at] == hashes[hits]
             own, rows = hits[mine], row_of_hit[mine]
@@ -146,15 +146,17 @@ class Scanner:
                 if own[k] <= done:
                     continue
                 row = rows[k]
-                low = max(int(first[row]), int(own[k]) - len(words), done + 1)
-                high = min(int(first[row + 1]), int(own[k]) + reach)
+                # the notice starts about as far before the word as the template does
+                low = max(int(first[row]), int(own[k]) - words.index(int(hashes[own[k]])) - missing - 1, done + 1)
+                high = min(int(first[row + 1]), low + reach)
                 pairs = patience(hashes[low:high].tolist(), words)
                 if len(pairs) < self.min_coverage * len(words) - 1e-9:
                     continue
                 a, b = low + pairs[0][0], low + pairs[-1][0]
                 if b - a >= reach:
                     continue
-                done = b
+                if len(pairs) == len(words) == b - a + 1:  # else a later word may start a better match, and the best of them stays
+                    done = b
                 out[row].append((name, len(pairs) / len(words), int(starts[a]), int(ends[b]), len(pairs)))
         for row, found in enumerate(out):
             if len(found) > 1:

@@ -165,7 +165,8 @@ class Counter:
                 better = candidate > value[bare]
                 chosen, source = bare[better], source[better]
                 value[chosen] = candidate[better]
-                added = whole[chosen] if self.byte_fallback else 1 - unknown_last[source].astype(np.int64)
+                # a space is the three bytes of its mark
+                added = np.where(byte[here[chosen]] == 32, len(MARK.encode()), whole[chosen]) if self.byte_fallback else 1 - unknown_last[source].astype(np.int64)
                 number[chosen] = pieces[source] + added
                 lone[chosen] = True
             best[to], pieces[to], unknown_last[to] = value, number, lone
