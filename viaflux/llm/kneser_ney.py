@@ -225,13 +225,18 @@ def judged(docs: DataFrame, labels: DataFrame, *, text: str = "text", lang: str
     base = docs.drop("n_chars_scored", "perplexity", "threshold", "kept")
     rows = cut(scored(base, fitted, text=text, lang=lang))
     marked = rows.select(doc_id, lang, "perplexity", "n_chars_scored").join(ids, doc_id, "left_semi").filter(F.col("n_chars_scored") >= MIN_CHARS)
-    own = marked.groupBy(F.col(lang).alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("_own"))
-    overall = marked.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q")).first()["q"]
-    out = rows.join(own, F.col(lang) == F.col("_lang"), "left")
-    threshold = F.coalesce(F.col("_own"), F.lit(overall).cast("double")) * F.lit(slack)
+    percentile = F.percentile_approx("perplexity", quantile, 10_000)
+    overall = marked.agg(percentile.alias("q")).first()["q"]
+    # a quantile for each language with a model, MAX_LANGUAGES at most; the others share one
+    with_model = [x for x in fitted if x != ALL]
+    own = marked.filter(F.col(lang).isin(with_model)).groupBy(lang).agg(percentile.alias("q")).collect() if with_model else []
+    limits = [F.lit(x) for r in own for x in (r[lang], r["q"])]
+    ours = F.element_at(F.create_map(*limits), F.coalesce(F.col(lang), F.lit(""))) if limits else F.lit(None).cast("double")
+    threshold = F.coalesce(ours, F.lit(overall).cast("double")) * F.lit(slack)
+    out = rows
     short = F.col("n_chars_scored") < MIN_CHARS
     kept = (F.col("n_chars_scored") > 0) & (short | F.coalesce(F.col("perplexity") <= threshold, F.lit(True)))
-    return out.withColumn("threshold", threshold).withColumn("kept", kept).drop("_lang", "_own")
+    return out.withColumn("threshold", threshold).withColumn("kept", kept)
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
