@@ -149,4 +149,40 @@ def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", words: di
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def _oracle() -> str:
+    longest = max(len(w) for v in COMMON_WORDS.values() for w in v) + 2
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    lists = ", ".join(f"({quote(k)}, {i}, {quote(w)})" for k, v in COMMON_WORDS.items() for i, w in enumerate(v))
+    counts = ", ".join(f"length(regexp_replace(t, {quote('[^' + p[1:] + '+')}, '', 'g')) AS c{i}" for i, p in enumerate(CLASSES.values()))
+    known = " + ".join(f"c{i}" for i in range(len(CLASSES)))
+    classes = " UNION ALL ".join([f"SELECT doc_id, lang, base_failed, 'c' AS kind, {i} AS k, c{i} AS c FROM judged" for i in range(len(CLASSES))] + [f"SELECT doc_id, lang, base_failed, 'c', {len(CLASSES)}, greatest(word_chars - ({known}), 0) FROM judged"])
+    return rf"""
+WITH lists(lang, k, word) AS (VALUES {lists}),
+base AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM base),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS ww FROM cut, unnest(range(1, greatest(1, len(w) - {WINDOW - 2}))) AS u(i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, ww) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM twice, unnest(range(i, i + {WINDOW})) AS u(j) GROUP BY 1),
+counted AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, {counts} FROM cut LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted),
+tokens AS (SELECT doc_id, lang, lower(trim(x, {quote(_EDGES)})) AS word FROM cut, unnest(w) AS u(x) WHERE length(x) <= {longest}),
+common AS (SELECT doc_id, k, count(*) AS c FROM tokens JOIN lists USING (lang, word) GROUP BY ALL),
+cells AS (SELECT doc_id, lang, base_failed, k, coalesce(c, 0) AS c, n_words FROM judged JOIN (SELECT lang, k FROM lists) USING (lang) LEFT JOIN common USING (doc_id, k)),
+hist AS ({classes} UNION ALL SELECT doc_id, lang, base_failed, 'w', k, c FROM cells
+  UNION ALL SELECT doc_id, lang, base_failed, 'w', -1, any_value(n_words) - sum(c) FROM cells GROUP BY doc_id, lang, base_failed),
+own AS (SELECT *, c / nullif(sum(c) OVER (PARTITION BY doc_id, kind), 0)::DOUBLE AS p FROM hist),
+sums AS (SELECT lang, kind, k, sum(c) AS s FROM hist WHERE NOT base_failed GROUP BY lang, kind, k),
+ref AS (SELECT *, s / nullif(sum(s) OVER (PARTITION BY lang, kind), 0)::DOUBLE AS q FROM sums),
+parts AS (SELECT doc_id, own.kind, p, q, (p + q) / 2 AS m FROM own JOIN ref ON own.kind = ref.kind AND own.k = ref.k AND own.lang IS NOT DISTINCT FROM ref.lang),
+js AS (SELECT doc_id, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END)) / 2, 0)) AS d FROM parts GROUP BY ALL),
+verdicts AS (SELECT j.*, CASE WHEN word_chars >= {MIN_CHARS_JUDGED} THEN coalesce(a.d, 0) ELSE 0 END AS cd, CASE WHEN n_words >= {MIN_WORDS_JUDGED} THEN coalesce(b.d, 0) ELSE 0 END AS wd
+  FROM judged j LEFT JOIN js a ON a.doc_id = j.doc_id AND a.kind = 'c' LEFT JOIN js b ON b.doc_id = j.doc_id AND b.kind = 'w')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND cd <= {MAX_CLASS_DISTANCE} AND wd <= {MAX_WORD_DISTANCE} AS kept, round(cd, 6)::DOUBLE AS class_distance, round(wd, 6)::DOUBLE AS word_distance FROM verdicts
+"""
+
+
+ORACLE = _oracle()

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_license_scan": license_scan.op10_license_scan,
 }
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.ORACLE}
