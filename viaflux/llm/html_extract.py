@@ -57,7 +57,8 @@ NAMES = {
     "hidden": r"display:\s*none|visibility:\s*hidden",
 }
 _NAME_RES = [re.compile(p) for p in NAMES.values()]
-NUMBERS = ["bias", "log_words", "link_share", "no_text", "long", "short", "own_share"]
+NUMBERS = ["bias", "link_share", "no_text", "own_share"]
+TEXTUAL = ("p", "h1", "h2", "h3", "list", "li", "table", "cell", "quote", "pre", "figure")
 WIDTH = len(TAGS) + len(NAMES) + len(NUMBERS)
 #: Pair weights depend on the child's group.
 PAIRS = len(TAGS)
@@ -214,9 +215,12 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
                 for f in _name_features(names):
                     x[base[k] + i, len(TAGS) + f] = 1
     share = np.minimum(sub_linked / np.maximum(sub_words, 1), 1)
-    columns = [np.ones(n), np.log1p(sub_words) / 4, share, sub_words == 0, words >= 25, (words > 0) & (words < 6), sub_words / np.maximum(total[page_no], 1)]
+    columns = [np.ones(n), share, sub_words == 0, sub_words / np.maximum(total[page_no], 1)]
     for k, c in enumerate(columns):
         x[:, len(TAGS) + len(NAMES) + k] = c
+    # a paragraph, heading or row inside another element tells nothing by its mere kind, however many there are
+    nested = (depth >= 2) & np.isin(group, [TAGS.index(t) for t in TEXTUAL])
+    x[np.ix_(nested, [*range(len(TAGS)), *[len(TAGS) + len(NAMES) + NUMBERS.index(k) for k in ("bias", "no_text")]])] = 0
     return x, parent, depth, group
 
 
@@ -275,6 +279,9 @@ def train(sources: list[str], rounds: int = 400, rate: float = 0.15, decay: floa
         expected = np.zeros((PAIRS, 2, 2))
         np.add.at(expected, group[inner], pairs[inner])
         grads = {"unary": x.T @ (marginal[:, 1] - y) / n, "pair": (expected - seen) / n}
+        # both ways of agreeing weigh the same, so that the number of children alone says nothing
+        agree = grads["pair"][:, [0, 1], [0, 1]].mean(1)
+        grads["pair"][:, 0, 0] = grads["pair"][:, 1, 1] = agree
         for k, g in grads.items():
             g = g + decay / 10 * weights[k]
             m, v = moment[k]
@@ -373,7 +380,7 @@ def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
     def article():
         y = ' data-y="1"'
         parts = [f"<{(h := r.choice(['h1', 'h1', 'h2']))}{y}>{words(2, 12)}</{h}>"] if r.random() < 0.9 else []
-        for _ in range(r.choice([1, 1, 2, 2, 3, 5, 8, 12, 20, 40])):
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 15, 30, 50, 80])):
             kind = r.random()
             if kind < 0.62:
                 parts.append(f"<p{y}>{prose()}</p>")
@@ -396,7 +403,9 @@ def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
             else:
                 parts.append(f"<div{y}>{prose(1, 5)}</div>")
             if r.random() < 0.06:
-                parts.append(r.choice([advert, share, notice, side])())
+                parts.append(r.choice([advert, share, notice, side, form])())
+        if r.random() < 0.2:
+            parts.append(r.choice([comments, comments, share, form, notice])())
         inner = "".join(parts)
         if r.random() < 0.2:
             inner = f'<div{y}{attr("body", "article-body", "entry-content", "text")}>{inner}</div>'
