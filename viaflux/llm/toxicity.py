@@ -133,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     # a hash threshold takes about max_unlabelled rows in any table, and the limit makes it the bound
     threshold = min(1.0, 1.2 * max_unlabelled / max(1, total))
     drawn = F.pmod(F.xxhash64(F.lit("unlabelled"), F.col(doc_id)), F.lit(1 << 30)) < int(threshold * (1 << 30))
-    base = docs.filter(outside).select(doc_id, text).join(positive, doc_id, "left").filter(F.col("_p").isNotNull() | drawn)
+    # max_positive rows at most are broadcast
+    base = docs.filter(outside).select(doc_id, text).join(F.broadcast(positive), doc_id, "left")
+    base = base.filter(F.col("_p").isNotNull() | drawn)
 
     def run(batches):
         for batch in tk.slices(batches, text):
