@@ -338,3 +338,25 @@ def test_inputs_are_not_changed(spark):
     validate_trips(t)
     clean_trips(t, options=CleanOptions(drop_duplicates=True))
     assert t.metadata == before
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    t = trips(spark)
+    t.data.write.parquet(f"{tmp_path}/trips")
+    o = FilterOptions(where={"mode": "bus", "purpose": {"not_in": ["x"]}, "trip_weight": {"gt": 0.5}}, time=TimeFilter("2026-01-01", "2027-01-01"), bbox=(-71, -34, -70, -33))
+    out, report = filter_trips(dataset(spark.read.parquet(f"{tmp_path}/trips")), o)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = out.data.select("movement_id")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    for part in ("EqualTo(mode,bus)", "GreaterThan(trip_weight,0.5)", "LessThan(origin_time_utc", "GreaterThanOrEqual(origin_longitude"):
+        assert part in pushed, pushed
+    assert "destination_h3_index" not in plan[plan.index("ReadSchema") :].splitlines()[0]
+    assert out.data.count() == report.summary["rows_out"] == 2
+
+
+def test_flow_aggregation_has_one_shuffle(spark):
+    from viaflux.operators.flows import aggregate, with_keys
+
+    keyed = with_keys(trips(spark).data, resolution=7, time_aggregation="day")
+    plan = aggregate(keyed, ["origin_h3_index", "destination_h3_index", "window_start_utc", "window_end_utc"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan

@@ -21,9 +21,9 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def in_bbox(lon: Column, lat: Column, box: Sequence[float]) -> Column:
-    """Inside or on (min_lon, min_lat, max_lon, max_lat); null is outside."""
+    """Inside or on (min_lon, min_lat, max_lon, max_lat); null if a coordinate is, which a filter takes as outside."""
     x0, y0, x1, y1 = map(float, box)
-    return F.coalesce((lon >= x0) & (lon <= x1) & (lat >= y0) & (lat <= y1), F.lit(False))
+    return (lon >= x0) & (lon <= x1) & (lat >= y0) & (lat <= y1)
 
 
 def in_polygon(lon: Column, lat: Column, ring: Sequence[Sequence[float]]) -> Column:
@@ -39,7 +39,7 @@ def in_polygon(lon: Column, lat: Column, ring: Sequence[Sequence[float]]) -> Col
         edge = (x2 - x1) * (lat - y1) / ((y2 - y1) or 1e-12) + x1
         crossings.append((((F.lit(y1) > lat) != (F.lit(y2) > lat)) & (lon < edge)).cast("int"))
     parity = reduce(lambda a, b: a + b, crossings, F.lit(0)) % 2 == 1
-    return in_bbox(lon, lat, box) & F.coalesce(parity, F.lit(False))
+    return in_bbox(lon, lat, box) & parity
 
 
 class TransverseMercator:

@@ -99,27 +99,34 @@ def _clause(value: Any, allow_set: bool) -> dict[str, Any] | None:
 
 
 def predicate(c: Column, dtype: str, kind: T.DataType, op: str, value: Any) -> Column:
-    """One comparison, never null. `ne` keeps nulls of floats and times and drops others; `not_in` keeps them."""
+    """One comparison; null stands for no, so that a filter can hand it to the scan as it is.
+
+    `ne` keeps nulls of floats and times and drops others; `not_in` keeps them.
+    """
     lit = utc_literal if dtype == "datetime" else F.lit
-    no = F.lit(False)
     if dtype in ("int", "float") and not coerce.is_numeric(kind):
         c = coerce.number(c, kind)
     if op == "eq":
-        return F.coalesce(c == lit(value), no)
+        return c == lit(value)
     if op == "ne":
-        return F.coalesce(c != lit(value), F.lit(dtype in ("float", "datetime")))
+        return (c != lit(value)) | c.isNull() if dtype in ("float", "datetime") else c != lit(value)
     if op in ("in", "not_in"):
         listed = [v for v in value if v is not None]
-        member = F.coalesce(c.isin([lit(v) for v in listed]) if listed else no, no)
-        return member if op == "in" else ~member
+        member = c.isin([lit(v) for v in listed]) if listed else F.lit(False)
+        return member if op == "in" else ~member | c.isNull()
     if op == "is_null":
         return c.isNull()
     if op == "not_null":
         return c.isNotNull()
     if op == "between":
-        return F.coalesce((c >= lit(value[0])) & (c <= lit(value[1])), no)
+        return (c >= lit(value[0])) & (c <= lit(value[1]))
     x = lit(value)
-    return F.coalesce({"gt": c > x, "gte": c >= x, "lt": c < x, "lte": c <= x}[op], no)
+    return {"gt": c > x, "gte": c >= x, "lt": c < x, "lte": c <= x}[op]
+
+
+def surely(mask: Column) -> Column:
+    """A predicate that is never null."""
+    return F.coalesce(mask, F.lit(False))
 
 
 def _shape_problem(dtype: str, op: str, value: Any) -> str | None:
@@ -177,13 +184,12 @@ def time_mask(t: TimeFilter) -> Column:
     """Half-open for starts and ends, open for overlaps, and `contains` is a trip inside the interval."""
     start, end = utc_literal(t.start), utc_literal(t.end)
     o, d = F.col("origin_time_utc"), F.col("destination_time_utc")
-    mask = {
+    return {
         "starts_within": (o >= start) & (o < end),
         "ends_within": (d >= start) & (d < end),
         "contains": (o >= start) & (d <= end),
         "overlaps": (o < end) & (d > start),
     }[t.predicate]
-    return F.coalesce(mask, F.lit(False))
 
 
 def by_ends(make, which: str) -> Column:
@@ -196,7 +202,7 @@ def by_ends(make, which: str) -> Column:
 
 
 def cells_mask(cells: Sequence[str], which: str) -> Column:
-    return by_ends(lambda e: F.coalesce(F.col(f"{e}_h3_index").isin(list(cells)), F.lit(False)), which)
+    return by_ends(lambda e: F.col(f"{e}_h3_index").isin(list(cells)), which)
 
 
 def in_cells(df: DataFrame, cells: Sequence[str], which: str) -> DataFrame:
@@ -215,6 +221,7 @@ def axis_counts(df: DataFrame, axes: Sequence[tuple[str, Column]]) -> dict[str,
     """Rows in, and rows that each axis drops of those left by the ones before; one aggregate."""
     passed, aggs = F.lit(True), [F.count(F.lit(1)).alias("rows_in")]
     for name, mask in axes:
+        mask = surely(mask)
         aggs.append(F.count_if(passed & ~mask).alias(name))
         passed = passed & mask
     return df.agg(*aggs).first().asDict()
@@ -320,7 +327,7 @@ def filter_trips(trips: TripDataset, options: FilterOptions | None = None, *, ma
     result = trips.after("filter_trips", parameters, summary, issues, data=out)
     if not options.keep_metadata:
         result = TripDataset(out, trips.schema, trips.provenance, metadata={"is_validated": trips.is_validated}, effective=trips.effective)
-    samples = {n: df.filter(~m).limit(sample_rows_per_issue) for n, m in axes}
+    samples = {n: df.filter(~surely(m)).limit(sample_rows_per_issue) for n, m in axes}
     report = Report(issues.ok, issues.kept("FLT.REPORT.ISSUES_TRUNCATED"), summary, parameters, {"dropped_samples": samples})
     issues.raise_if_strict()
     return result, report
