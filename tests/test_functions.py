@@ -56,6 +56,21 @@ def test_daylight_saving(spark, local, utc):
     assert got == utc
 
 
+@pytest.mark.parametrize(
+    "zone,local,utc",
+    [
+        ("Australia/Lord_Howe", "2019-10-06 02:10:00", "2019-10-05 15:30:00"),  # half an hour is skipped
+        ("Europe/Paris", "2026-03-29 02:59:59", "2026-03-29 01:00:00"),
+        ("Europe/Paris", "2026-10-25 02:30:00", None),
+        ("Europe/Paris", "2026-10-25 03:00:00", "2026-10-25 02:00:00"),
+        ("America/Jamaica", "2026-10-25 03:00:00", "2026-10-25 08:00:00"),
+    ],
+)
+def test_gaps_and_overlaps(spark, zone, local, utc):
+    got = one(spark, lambda c: F.date_format(timeutil.to_utc(c, T.StringType(), zone), "yyyy-MM-dd HH:mm:ss"), local)
+    assert got == utc
+
+
 def test_mixed_times(spark):
     rows = ["2026-01-01T10:00:00Z", "2026-01-01T10:00:00-03:00", "2026-01-01 10:00:00", "soon", None]
     df = spark.createDataFrame([(r,) for r in rows], "x string")

@@ -110,6 +110,11 @@ def project_xy_to_latlon(df: DataFrame, x: str, y: str, *, crs: str = "EPSG:5361
     return out.withColumn(lon, F.col("_lon")).withColumn(lat, F.col("_lat")).drop("_lon", "_lat")
 
 
+def plus_minutes(ts: Column, minutes: Column) -> Column:
+    """A time some minutes, fractions included, after another."""
+    return F.timestamp_micros(F.unix_micros(ts) + F.round(minutes * 60_000_000).cast("long"))
+
+
 def station_pair(c: Column) -> Column:
     """Upper case without accents, and the two parts of `A-B` in order."""
     t = F.translate(F.upper(F.trim(c)), "ÁÉÍÓÚÜÑ", "AEIOUUN")

@@ -24,11 +24,14 @@ def localise(naive: Column, zone: str) -> Column:
     early = local + (there(local - day) - (local - day))
     late = local + (there(local + day) - (local + day))
     early_fits, late_fits = back(early) == local, back(late) == local
-    utc = F.when(early == late, early).when(early_fits & late_fits, F.lit(None)).when(early_fits, early).when(late_fits, late).otherwise(
-        # skipped: local by the earlier offset is as far behind the shift as local is behind its first skipped minute
-        late + (back(early) - local) - (back(early) - F.date_trunc("hour", back(early)).cast("timestamp_ntz"))
-    )
-    return utc.cast("timestamp")
+    micros = lambda x: F.unix_micros(x.cast("timestamp"))  # noqa: E731  the session's zone is UTC
+    # skipped: by the earlier offset a time lands as far behind the gap's end as it lies behind its start, and
+    # gaps end at multiples of their width
+    landed = micros(back(early))
+    gap = landed - micros(local)
+    end = F.timestamp_micros(micros(late) + gap - F.pmod(landed, F.nullif(gap, F.lit(0))))
+    fitting = F.when(early == late, early).when(early_fits & late_fits, F.lit(None)).when(early_fits, early).when(late_fits, late)
+    return F.when((early == late) | early_fits | late_fits, fitting.cast("timestamp")).otherwise(end)
 
 
 def to_utc(c: Column, kind: T.DataType, zone: str | None = None) -> Column:
