@@ -49,14 +49,18 @@ def long_valid(v: Column) -> Column:
     return F.coalesce(head & (v.bitwiseAND(ones) == ones) & (sevens == 0) & ~bent, F.lit(False))
 
 
+def once(value: Column, f) -> Column:
+    """f(value), the value being evaluated once however often f names it, also where a filter is pushed below its column."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def valid(cell: Column) -> Column:
-    return long_valid(to_long(cell))
+    return once(to_long(cell), long_valid)
 
 
 def resolution(cell: Column) -> Column:
     """The resolution of a valid cell's text, else null."""
-    v = to_long(cell)
-    return F.when(long_valid(v), long_resolution(v))
+    return once(to_long(cell), lambda v: F.when(long_valid(v), long_resolution(v)))
 
 
 def long_parent(v: Column, res: int) -> Column:
@@ -68,5 +72,4 @@ def long_parent(v: Column, res: int) -> Column:
 
 def parent(cell: Column, res: int) -> Column:
     """The text of a valid cell's ancestor; null for invalid cells and finer targets."""
-    v = to_long(cell)
-    return F.when(long_valid(v), to_text(long_parent(v, res)))
+    return once(to_long(cell), lambda v: F.when(long_valid(v), to_text(long_parent(v, res))))

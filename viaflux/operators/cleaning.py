@@ -52,7 +52,7 @@ def invalid_latlon(df: DataFrame) -> Column:
     return bad[0] | bad[1] | (absent[0] & absent[1])
 
 
-def invalid_h3(df: DataFrame) -> Column:
+def invalid_h3() -> Column:
     return ~(h3bits.valid(F.col("origin_h3_index")) & h3bits.valid(F.col("destination_h3_index")))
 
 
@@ -105,7 +105,7 @@ def clean_trips(trips: TripDataset, *, options: CleanOptions | None = None, row_
     listed = list(options.drop_rows_with_nulls_in_fields or ())
     rule("nulls_fields", bool(listed), listed, lambda: any_null(listed))
     rule("invalid_latlon", options.drop_rows_with_invalid_latlon, [], lambda: invalid_latlon(df))
-    rule("invalid_h3", options.drop_rows_with_invalid_h3, ["origin_h3_index", "destination_h3_index"], lambda: invalid_h3(df))
+    rule("invalid_h3", options.drop_rows_with_invalid_h3, ["origin_h3_index", "destination_h3_index"], invalid_h3)
     if options.drop_rows_with_origin_after_destination and trips.tier != "tier_1":
         issues.warn("CLN.RULE.TIER", f"times can't be compared in {trips.tier}")
     else:

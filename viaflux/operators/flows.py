@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..datasets import FlowDataset, TripDataset, json_safe, new_id
 from ..functions import coerce, h3bits, timeutil
 from ..issues import BuildFailed, Issues, Report
+from ..session import cut
 from .importing import dense_rank_id
 
 TIME_AGGREGATIONS = ("none", "hour", "day", "week")
@@ -39,9 +40,7 @@ def with_keys(df: DataFrame, *, resolution: int, time_aggregation: str = "none",
     """Cells rolled up to `resolution`, and the time window; invalid and null cells stay as they are."""
     for end in ("origin", "destination"):
         c = F.lower(F.trim(F.col(f"{end}_h3_index")))
-        v = F.col("_v")  # a column of its own, as it is named several times
-        up = F.when(h3bits.long_valid(v), h3bits.to_text(h3bits.long_parent(v, resolution)))
-        df = df.withColumn("_v", h3bits.to_long(c)).withColumn(f"{end}_h3_index", F.coalesce(up, c)).drop("_v")
+        df = df.withColumn(f"{end}_h3_index", F.coalesce(h3bits.parent(c, resolution), c))
     if time_aggregation != "none":
         start, stop = timeutil.bucket(F.col(f"{time_basis}_time_utc"), time_aggregation)
         df = df.withColumn("window_start_utc", start).withColumn("window_end_utc", stop)
@@ -77,7 +76,8 @@ def bridge(df: DataFrame, flows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def build_flows(trips: TripDataset, *, options: FlowBuildOptions | None = None, max_issues: int = 1000) -> tuple[FlowDataset, Report]:
     """Flows of trips by cell pair, time window and segments.
 
-    One aggregate checks cells, resolutions and times; one more makes the flows.
+    The trips are read once, into groups of their own cells; checks of cells,
+    resolutions and times and the roll-up work on those groups.
     Rows without an origin or destination cell are left out. Invalid cells,
     mixed resolutions and a finer target than the data are fatal.
     """
@@ -114,16 +114,24 @@ def build_flows(trips: TripDataset, *, options: FlowBuildOptions | None = None,
         if time_column not in df.columns:
             issues.fatal("FLOW.TEMPORAL.REQUIRED_TIME_FIELDS_MISSING", f"{time_column} is missing")
 
+    # one pass over the trips: groups of their own cells, which the checks and the roll-up then see
+    keys = flow_keys(group_by, grain)
+    own = df.withColumns({f"{e}_h3_index": F.lower(F.trim(F.col(f"{e}_h3_index"))) for e in ("origin", "destination")})
+    if grain != "none":
+        start, stop = timeutil.bucket(F.col(time_column), grain)
+        own = own.withColumn("window_start_utc", start).withColumn("window_end_utc", stop)
+    groups = cut(aggregate(own, keys))
     cells = {e: F.col(f"_{e}") for e in ("origin", "destination")}
     full = F.col("origin_h3_index").isNotNull() & F.col("destination_h3_index").isNotNull()
     valid = {e: h3bits.long_valid(v) for e, v in cells.items()}
-    parsed = df.withColumns({f"_{e}": h3bits.to_long(F.col(f"{e}_h3_index")) for e in cells})
+    parsed = groups.withColumns({f"_{e}": h3bits.to_long(F.col(f"{e}_h3_index")) for e in cells})
+    trips_if = lambda c: F.coalesce(F.sum(F.when(c, F.col("flow_count"))), F.lit(0))
     checks = parsed.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(full).alias("full"),
-        *[F.count_if(F.col(f"{e}_h3_index").isNotNull() & ~valid[e]).alias(f"bad_{e}") for e in cells],
+        trips_if(F.lit(True)).alias("rows"),
+        trips_if(full).alias("full"),
+        *[trips_if(F.col(f"{e}_h3_index").isNotNull() & ~valid[e]).alias(f"bad_{e}") for e in cells],
         *[F.collect_set(F.when(valid[e], h3bits.long_resolution(v))).alias(f"res_{e}") for e, v in cells.items()],
-        *([F.count_if(full & F.col(time_column).isNull()).alias("untimed")] if grain != "none" else []),
+        *([trips_if(full & F.col("window_start_utc").isNull()).alias("untimed")] if grain != "none" else []),
     ).first()
     if not checks["rows"]:
         issues.fatal("FLOW.INPUT.NO_TRIPS", "there are no trips")
@@ -141,11 +149,13 @@ def build_flows(trips: TripDataset, *, options: FlowBuildOptions | None = None,
     if grain != "none" and checks["untimed"]:
         issues.fatal("FLOW.TEMPORAL.REQUIRED_TIME_FIELDS_MISSING", f"{checks['untimed']} trips lack {time_column}", row_count=checks["untimed"])
 
-    keys = flow_keys(group_by, grain)
-    keyed = with_keys(df.filter(full), resolution=res, time_aggregation=grain, time_basis=basis)
-    flows = numbered(aggregate(keyed, keys, options.min_trips_per_flow), keys)
+    rolled = with_keys(groups.filter(full), resolution=res).groupBy(*[f"`{k}`" for k in keys]).agg(F.sum("flow_count").alias("flow_count"), F.sum("flow_value").alias("flow_value"))
+    flows = numbered(rolled.filter(F.col("flow_count") >= options.min_trips_per_flow), keys)
     flows = flows.select("flow_id", "origin_h3_index", "destination_h3_index", "flow_count", "flow_value", *keys[2:])
-    links = bridge(keyed, flows, keys) if options.keep_flow_to_trips else None
+    links = None
+    if options.keep_flow_to_trips:
+        keyed = with_keys(df.filter(full), resolution=res, time_aggregation=grain, time_basis=basis)
+        links = bridge(keyed, flows, keys)
     events = trips.metadata.get("events")
     if not events:
         issues.warn("FLOW.PROV.PRIOR_EVENTS_MISSING", "the trips have no event log")

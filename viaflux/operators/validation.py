@@ -88,7 +88,7 @@ def violation(df: DataFrame, name: str, key: str, payload: Any, full_match: bool
     if key == "h3":
         rule = {"require_valid": payload} if isinstance(payload, bool) else payload
         out = F.lit(False)
-        v = h3bits.to_long(c)
+        v = F.col(f"_v_{name}") if f"_v_{name}" in df.columns else h3bits.to_long(c)
         if rule.get("require_valid", True):
             out = out | (c.isNotNull() & ~h3bits.long_valid(v))
         if rule.get("resolution") is not None:
@@ -97,6 +97,11 @@ def violation(df: DataFrame, name: str, key: str, payload: Any, full_match: bool
     return None
 
 
+def with_parsed_cells(df: DataFrame, fields: Sequence[FieldSpec]) -> DataFrame:
+    """The ids of fields with cell constraints as columns `_v_<field>`, parsed once for all checks."""
+    return df.withColumns({f"_v_{f.name}": h3bits.to_long(F.col(f"`{f.name}`")) for f in fields if f.name in df.columns and "h3" in (f.constraints or {})})
+
+
 def repeated(df: DataFrame, subset: Sequence[str], drop_nulls: bool) -> int:
     """Members of groups of two or more equal rows; nulls are left out or equal."""
     rows = df.dropna(subset=list(subset)) if drop_nulls else df
@@ -134,7 +139,8 @@ def validate_trips(trips: TripDataset, *, options: ValidationOptions | None = No
     """The dataset with its verdict in metadata, and a report. Row checks are one aggregate over one scan."""
     o = options or ValidationOptions()
     issues = Issues(ValidationFailed, o.strict, o.max_issues)
-    df, schema = trips.data, trips.schema
+    schema = trips.schema
+    df = with_parsed_cells(trips.data, list(schema.fields.values()))
     if not 0 < o.domains_sample_frac <= 1:
         issues.fatal("VAL.CONFIG.SAMPLE_FRAC", "domains_sample_frac is in (0, 1]")
     if not 0 <= o.domains_min_in_domain_ratio <= 1:
@@ -191,7 +197,7 @@ def validate_trips(trips: TripDataset, *, options: ValidationOptions | None = No
     rows = counts["rows"]
     for i, (code, message, name, mask) in enumerate(checks):
         if counts[f"c{i}"]:
-            sample = [json_safe(r.asDict()) for r in df.filter(mask).limit(o.sample_rows_per_issue).collect()] if o.sample_rows_per_issue else []
+            sample = [json_safe(r.asDict()) for r in df.filter(mask).drop(*[c for c in df.columns if c.startswith("_v_")]).limit(o.sample_rows_per_issue).collect()] if o.sample_rows_per_issue else []
             issues.err(code, message, field=name, row_count=counts[f"c{i}"], details={"sample": sample})
     unique = {f.name: repeated(df, [f.name], True) for f in fields if o.validate_constraints and (f.constraints or {}).get("unique") is True}
     for name, n in unique.items():
@@ -236,7 +242,8 @@ def validate_traces(traces: TraceDataset, *, options: TraceValidationOptions | N
     for name, value in vars(o).items():
         if name.startswith("validate_") and not isinstance(value, bool):
             issues.fatal("VAL.CONFIG.FLAG", f"{name} is a boolean")
-    df, schema = traces.data, traces.schema
+    schema = traces.schema
+    df = with_parsed_cells(traces.data, list(schema.fields.values()))
     fields = [f for f in schema.fields.values() if f.name in df.columns]
     checks: list[tuple[str, str, str | None, Column]] = []
     if o.validate_required_fields:
@@ -261,7 +268,7 @@ def validate_traces(traces: TraceDataset, *, options: TraceValidationOptions | N
     counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(m).alias(f"c{i}") for i, (_, _, _, m) in enumerate(checks)]).first()
     for i, (code, message, name, mask) in enumerate(checks):
         if counts[f"c{i}"]:
-            sample = [json_safe(r.asDict()) for r in df.filter(mask).limit(o.sample_rows_per_issue).collect()] if o.sample_rows_per_issue else []
+            sample = [json_safe(r.asDict()) for r in df.filter(mask).drop(*[c for c in df.columns if c.startswith("_v_")]).limit(o.sample_rows_per_issue).collect()] if o.sample_rows_per_issue else []
             issues.err(code, message, field=name, row_count=counts[f"c{i}"], details={"sample": sample})
     for name, n in unique.items():
         if n:
