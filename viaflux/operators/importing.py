@@ -85,17 +85,18 @@ def normalise_domain(c: Column, mapping: Mapping[str, str] | None) -> Column:
 
 
 def observed_values(df: DataFrame, fields: Sequence[str], limit: int = MAX_DOMAIN) -> dict[str, dict[str, Any]]:
-    """Of each text field: non-null rows, distinct values, and the values where they are at most `limit`. One job."""
+    """Of each text field: non-null rows, distinct values, and the values where they are at most `limit`, from one pass."""
     if not fields:
         return {}
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("string").alias("v")) for f in fields])).alias("x")).select("x.*").filter("v IS NOT NULL")
-    counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")).persist()  # read twice; computed anew if an executor is lost
     sizes = {r["f"]: r for r in counts.groupBy("f").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct")).collect()}
     small = [f for f in fields if f in sizes and sizes[f]["distinct"] <= limit]
     values: dict[str, list[str]] = {f: [] for f in fields}
     if small:
         for r in counts.filter(F.col("f").isin(small)).select("f", "v").collect():
             values[r["f"]].append(r["v"])
+    counts.unpersist()
     return {f: {"rows": sizes[f]["rows"] if f in sizes else 0, "distinct": sizes[f]["distinct"] if f in sizes else 0, "values": sorted(values[f])} for f in fields}
 
 
