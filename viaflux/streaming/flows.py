@@ -38,7 +38,8 @@ def windowed_flows(trips: DataFrame, *, grain: str = "hour", resolution: int = 8
 
 
 def streamed_pairs(points: DataFrame, *, lateness: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
-    """Each point of a user with the one before, across batches; a user's last point is kept for `idle_ms`."""
+    """Each point of a user with the one before, across batches; a user's last point is kept
+    until the watermark is `idle_ms` past it."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
@@ -54,9 +55,9 @@ def streamed_pairs(points: DataFrame, *, lateness: str = "1 hour", idle_ms: int
                 out.append((key[0], *last, *now))
             last = now if last is None or last[0] <= now[0] else last
         state.update(last)
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(last[0]).timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
         names = [c.split()[0] for c in PAIR_SCHEMA.split(", ")]
         yield pd.DataFrame(out, columns=names)
 
     rows = points.select("user_id", "point_id", "time_utc", "latitude", "longitude").withWatermark("time_utc", lateness)
-    return rows.groupBy("user_id").applyInPandasWithState(run, PAIR_SCHEMA, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(run, PAIR_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
