@@ -34,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated passages; those of which nothing is left but white space go."""
-    out = substring_dedup.dedup_substrings(docs)
+    """Documents without repeated passages and lines; those of which nothing is left but white space go."""
+    out = substring_dedup.dedup_substrings(docs, whole_lines=True)
     emptied = (F.size("removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return _as_documents(out.filter(~F.coalesce(emptied, F.lit(False))), docs)
 

@@ -89,6 +89,12 @@ def test_repeated_passages_go(spark):
             assert "".join(kept) + t[at:] == r["text"]
 
 
+def test_repeated_lines_of_any_length_go(spark):
+    texts = ["Share this\nown words here", "other words\nShare this\nthird text", "Share this", "a - b\n---\nshare", "x y\n---\nshare, this!\n", "Share this and more"]
+    out = [r["text"] for r in sorted(substring_dedup.dedup_substrings(table(spark, texts), whole_lines=True).collect(), key=lambda r: r["doc_id"])]
+    assert out == [texts[0], "other words\nthird text", "", texts[3], "x y\n", texts[5]]
+
+
 def brute_units(text):
     """Units of a text by a plain loop: (words, first word, line start)."""
     out = []

@@ -8,8 +8,10 @@ hashed, and their digests grouped globally; the occurrence that ranks earliest
 by (doc_id, place in the document) stays. A unit alone may repeat by chance, so
 what goes are runs of adjacent repeats: MIN_WORDS words or more, or whole lines
 of MIN_LINE_WORDS or more. The ends of a run are moved outwards over words that
-also stand beside the first occurrence. Removed spans keep their offsets in the
-original text.
+also stand beside the first occurrence. With `whole_lines`, as the queries have
+it, each line is hashed as a whole too, and every later occurrence of an equal
+line goes, whatever its length. Removed spans keep their offsets in the original
+text.
 
 Each slice of documents keeps only the earliest occurrence of its digests as a
 candidate for the global grouping, so the most frequent line of a corpus sends
@@ -18,6 +20,8 @@ one row from each slice. Texts are shuffled once, to meet their own flags.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +37,8 @@ REACH = 3
 MIN_WORDS = 20
 #: Words of a run that is removed if it is whole lines.
 MIN_LINE_WORDS = 8
+#: Added to a line's number to tell it from a unit's.
+LINE = -(1 << 31)
 #: Words on either side of a unit that are known by a byte of their hash.
 CONTEXT = 4
 
@@ -70,25 +76,58 @@ class Units:
         self.seq = np.arange(len(self.begin)) - self.first_unit[self.unit_row]
         self.mark = (words >> np.uint64(56)).astype(np.uint64)
 
-    def contexts(self, which: np.ndarray) -> np.ndarray:
-        """The CONTEXT words before (low half) and after (high half) of units, a byte each, the nearest lowest; 0 beyond the row."""
-        packed = np.zeros(len(which), np.uint64)
+    def contexts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The CONTEXT words before and those after units, a byte each, the nearest lowest; 0 beyond the row."""
         n = len(self.words)
         row = self.unit_row[which]
         first, last = self.first[row], self.first[row + 1]
-        for nearest, step, shift in ((self.begin[which] - 1, -1, 0), (self.end[which], 1, 8 * CONTEXT)):
+        out = []
+        for nearest, step in ((self.begin[which] - 1, -1), (self.end[which], 1)):
+            packed = np.zeros(len(which), np.uint64)
             for k in range(CONTEXT):
                 at = nearest + k * step
                 inside = (at >= first) & (at < last)
-                packed |= np.where(inside, self.mark[np.clip(at, 0, n - 1)], np.uint64(0)) << np.uint64(shift + 8 * k)
-        return packed
+                packed |= np.where(inside, self.mark[np.clip(at, 0, n - 1)], np.uint64(0)) << np.uint64(8 * k)
+            out.append(packed)
+        return out[0], out[1]
+
+    def lines(self) -> Lines:
+        """The lines that have more than white space; a line without words is known by its other bytes."""
+        data, offsets = self.data, self.offsets
+        starts = np.union1d(offsets[:-1][offsets[:-1] < offsets[1:]], self.newlines + 1)
+        starts = starts[starts < len(data)]
+        row = np.searchsorted(offsets, starts, "right") - 1
+        k = np.searchsorted(self.newlines, starts)
+        ends = np.append(self.newlines, len(data))[k]
+        ends = np.minimum(ends, offsets[row + 1])
+        solid = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(tk.NON_SPACE[data], out=solid[1:])
+        some = solid[ends] > solid[starts]
+        starts, ends, row = starts[some], ends[some], row[some]
+        a, b = np.searchsorted(self.starts, starts), np.searchsorted(self.starts, ends)
+        digest = tk.mix(tk.ranges_hash(self.words, a, b) ^ np.uint64(0x5851F42D4C957F2D))
+        bare = np.flatnonzero(a == b)
+        if len(bare):
+            digest[bare] = tk.mix(tk.ranges_hash(data[tk.NON_SPACE[data]], solid[starts[bare]], solid[ends[bare]]) ^ np.uint64(0x14057B7EF767814F))
+        first = np.searchsorted(row, np.arange(len(offsets)))
+        return Lines(starts, ends, row, digest, first)
+
+
+@dataclass
+class Lines:
+    """Lines by their bytes [start, end), their rows and digests, and each row's first."""
 
+    starts: np.ndarray
+    ends: np.ndarray
+    row: np.ndarray
+    digest: np.ndarray
+    first: np.ndarray
 
-def _matching(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal words before and after, counted from the nearest."""
-    differ = (a ^ b).view(np.uint8).reshape(-1, 2, CONTEXT) != 0
-    equal = np.where(differ.any(2), differ.argmax(2), CONTEXT)
-    return equal[:, 0], equal[:, 1]
+
+def _matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of equal words, counted from the nearest."""
+    differ = (a ^ b).view(np.uint8).reshape(-1, 8)[:, :CONTEXT] != 0
+    return np.where(differ.any(1), differ.argmax(1), CONTEXT)
 
 
 def _same(a, b) -> np.ndarray:
@@ -97,37 +136,44 @@ def _same(a, b) -> np.ndarray:
     return pc.or_(pc.fill_null(pc.equal(a, b), False), both).to_numpy(zero_copy_only=False)
 
 
-def _candidates(batches, text: str, doc_id: str):
-    """(k, digest, doc_id, seq, context) of all units.
+def _candidates(batches, text: str, whole_lines: bool):
+    """(k, digest, doc_id, seq, before, after) of all units and, if asked for, lines.
 
-    What repeats within the slice has a digest, the context of its first
+    What repeats within the slice has a digest, the words around its first
     occurrence and a k that spreads it; candidates have none and k is theirs.
     """
     for batch in tk.slices(batches, text):
         units = Units(batch.column(1))
-        n = len(units.begin)
+        digests, rows, seqs = units.digest, units.unit_row, units.seq
+        before, after = units.contexts(np.arange(len(digests)))
+        if whole_lines:
+            lines = units.lines()
+            none = np.zeros(len(lines.digest), np.uint64)
+            digests, rows = np.concatenate([digests, lines.digest]), np.concatenate([rows, lines.row])
+            seqs = np.concatenate([seqs, np.arange(len(lines.row)) - lines.first[lines.row] + LINE])
+            before, after = np.concatenate([before, none]), np.concatenate([after, none])
+        n = len(digests)
         if not n:
             continue
-        rank = pc.rank(batch.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[units.unit_row].astype(np.int64)
-        context = units.contexts(np.arange(n))
-        order = np.lexsort((units.seq, rank, units.digest))
-        digest, place = units.digest[order], rank[order] * (1 << 32) + units.seq[order]
+        rank = pc.rank(batch.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[rows].astype(np.int64)
+        order = np.lexsort((seqs, rank, digests))
+        digest, place = digests[order], rank[order] * (1 << 32) + seqs[order]
         head = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
         head_of = np.repeat(head, np.diff(np.append(head, n)))
         repeat = np.zeros(n, bool)
         repeat[order] = place > place[head_of]
         first = np.empty(n, np.int64)
         first[order] = order[head_of]
-        spread = tk.mix(units.digest ^ tk.mix(np.arange(n, dtype=np.uint64)))
-        key = np.where(repeat, spread, units.digest)
-        known = pa.array(units.digest.view(np.int64), mask=~repeat)
-        arrays = [pa.array(key.view(np.int64)), known, batch.column(0).take(pa.array(units.unit_row)), pa.array(units.seq.astype(np.int32)), pa.array(context[first].view(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["k", "digest", "doc", "seq", "context"])
+        spread = tk.mix(digests ^ tk.mix(np.arange(n, dtype=np.uint64)))
+        key = np.where(repeat, spread, digests)
+        known = pa.array(digests.view(np.int64), mask=~repeat)
+        arrays = [pa.array(key.view(np.int64)), known, batch.column(0).take(pa.array(rows)), pa.array(seqs.astype(np.int32)), pa.array(before[first].view(np.int64)), pa.array(after[first].view(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["k", "digest", "doc", "seq", "before", "after"])
 
 
 def _repeats(batches):
-    """Of candidates sorted by (k, doc, seq), those after the first, with the context of the first; and what was known to repeat."""
-    names = ["doc", "seq", "digest", "context"]
+    """Of candidates sorted by (k, doc, seq), those after the first, with the words around the first; and what was known to repeat."""
+    names = ["doc", "seq", "digest", "before", "after"]
     held = None  # the first occurrence of the digest that the last batch ended with
     for batch in batches:
         known = pc.is_valid(batch.column(1))
@@ -148,31 +194,56 @@ def _repeats(batches):
             continue
         own, first = batch.take(pa.array(later)), batch.take(pa.array(head_of[later]))
         same = _same(own.column(2), first.column(2)) & _same(own.column(3), first.column(3))
-        arrays = [own.column(2), own.column(3), own.column(0), first.column(4)]
+        arrays = [own.column(2), own.column(3), own.column(0), first.column(4), first.column(5)]
         yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(~same))
 
 
-def removed_spans(units: Units, row: int, flags: list[dict], chars: np.ndarray) -> list[tuple[int, int]]:
-    """The spans of one row that go, in code points, given its repeated units."""
+def _line_spans(units: Units, lines: Lines, row: int, flags: list[dict], chars: np.ndarray) -> list[tuple[int, int]]:
+    """The spans of one row's repeated lines with their newlines, in code points."""
+    lo, hi = lines.first[row], lines.first[row + 1]
+    zero, size = units.offsets[row], units.offsets[row + 1]
+    out = []
+    for number, digest in sorted({(f["seq"] - LINE, f["digest"] & (1 << 64) - 1) for f in flags if f["seq"] < 0}):
+        k = lo + number
+        if k < hi and int(lines.digest[k]) == digest:
+            out.append((int(chars[lines.starts[k]] - chars[zero]), int(chars[min(lines.ends[k] + 1, size)] - chars[zero])))
+    return out
+
+
+def removed_spans(units: Units, row: int, flags: list[dict], chars: np.ndarray, lines: Lines | None = None) -> list[tuple[int, int]]:
+    """The spans of one row that go, in code points, given its repeated units and lines."""
+    spans = _run_spans(units, row, [f for f in flags if f["seq"] >= 0], chars)
+    if lines is None:
+        return spans
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans + _line_spans(units, lines, row, flags, chars)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _run_spans(units: Units, row: int, flags: list[dict], chars: np.ndarray) -> list[tuple[int, int]]:
+    """The spans of one row's runs of repeated units."""
     lo, hi = units.first_unit[row], units.first_unit[row + 1]
-    if lo == hi:
+    if lo == hi or not flags:
         return []
-    seq = np.array([f["seq"] for f in flags], np.int64)
-    digest = np.array([f["digest"] for f in flags], np.int64).view(np.uint64)
-    context = np.array([f["context"] for f in flags], np.int64).view(np.uint64)
+    seq, digest, before, after = (np.array([f[name] for f in flags], np.int64) for name in ("seq", "digest", "before", "after"))
     fits = seq < hi - lo
-    seq, digest, context = seq[fits], digest[fits], context[fits]
+    seq, digest, before, after = seq[fits], digest[fits].view(np.uint64), before[fits].view(np.uint64), after[fits].view(np.uint64)
     fits = units.digest[lo + seq] == digest  # a row that repeats a doc_id with another text has flags of its own
-    seq, context = seq[fits], context[fits]
+    seq, before, after = seq[fits], before[fits], after[fits]
     seq, at = np.unique(seq, return_index=True)
-    context = context[at]
+    before, after = before[at], after[at]
     if not len(seq):
         return []
     cuts = np.flatnonzero(np.diff(seq) != 1) + 1
     first_word, last_word = units.first[row], units.first[row + 1]
     out = []
     zero, size = units.offsets[row], units.offsets[row + 1]
-    back, ahead = _matching(units.contexts(lo + seq), context)
+    near = units.contexts(lo + seq)
+    back, ahead = _matching(near[0], before), _matching(near[1], after)
     floor = first_word
     for a, b in zip(np.append(0, cuts), np.append(cuts, len(seq)), strict=True):
         begin, end = units.begin[lo + seq[a]], units.end[lo + seq[b - 1]]
@@ -198,9 +269,11 @@ def removed_spans(units: Units, row: int, flags: list[dict], chars: np.ndarray)
     return out
 
 
-def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", whole_lines: bool = False) -> DataFrame:
     """`docs` without repeated substrings: `text` loses them, `removed` has their spans in the original.
 
+    `whole_lines` also removes every line that equals an earlier one in its words
+    (lines without words: in all that isn't white space), of any length.
     Adds removed (array of [start, end) code-point offsets in the original
     text) and n_units. Null texts stay null and empty ones empty. Rows that
     repeat a doc_id with the same text are the same document: none of them
@@ -212,11 +285,11 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     base = docs.drop("removed", "n_units", "_flags", "_doc")
     kind = base.schema[doc_id].dataType
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidate = T.StructType([T.StructField("k", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("doc", kind), T.StructField("seq", T.IntegerType()), T.StructField("context", T.LongType())])
-    found = base.select(doc_id, text).mapInArrow(lambda b: _candidates(b, text, doc_id), candidate)
+    candidate = T.StructType([T.StructField("k", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("doc", kind), T.StructField("seq", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("after", T.LongType())])
+    found = base.select(doc_id, text).mapInArrow(lambda b: _candidates(b, text, whole_lines), candidate)
     found = found.repartition(partitions, "k").sortWithinPartitions("k", "doc", "seq")
-    repeats = found.mapInArrow(_repeats, T.StructType([candidate[n] for n in ("doc", "seq", "digest", "context")]))
-    flags = repeats.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("seq", "digest", "context")).alias("_flags"))
+    repeats = found.mapInArrow(_repeats, T.StructType([candidate[n] for n in ("doc", "seq", "digest", "before", "after")]))
+    flags = repeats.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("seq", "digest", "before", "after")).alias("_flags"))
     joined = base.join(flags, F.col(doc_id).eqNullSafe(F.col("_doc")), "left").drop("_doc")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*base.schema.fields, T.StructField("removed", spans), T.StructField("n_units", T.LongType())])
@@ -232,8 +305,9 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
             rows = np.flatnonzero(pc.is_valid(flagged).to_numpy(zero_copy_only=False)).tolist()
             if rows:
                 texts = texts.to_pylist()
+                lines = units.lines() if whole_lines else None
                 for row in rows:
-                    spans = removed_spans(units, row, flagged[row].as_py(), chars)
+                    spans = removed_spans(units, row, flagged[row].as_py(), chars, lines)
                     removed[row] = [{"start": a, "end": b} for a, b in spans]
                     out, at = [], 0
                     for a, b in spans:
@@ -250,4 +324,4 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_substrings(docs).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "removed", "n_units")
+    return dedup_substrings(docs, whole_lines=True).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "removed", "n_units")
