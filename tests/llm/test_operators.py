@@ -95,6 +95,16 @@ def test_repeated_lines_of_any_length_go(spark):
     assert out == [texts[0], "other words\nthird text", "", texts[3], "x y\n", texts[5]]
 
 
+def test_set_in_passages_of_twenty_odd_words_are_found(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passages = [[word() for _ in range(25)] for _ in range(100)]
+    texts = [" ".join([*[word() for _ in range(30)], *p, *[word() for _ in range(30)]]) for p in passages * 2]
+    out = {r["doc_id"]: r["text"].split() for r in substring_dedup.dedup_substrings(table(spark, texts)).collect()}
+    left = [sum(w in out[100 + i] for w in p) for i, p in enumerate(passages)]
+    assert sum(n == 25 for n in left) <= 2 and np.mean(left) <= 1.5
+
+
 def brute_units(text):
     """Units of a text by a plain loop: (words, first word, line start)."""
     out = []

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import textkit as tk
 
 #: Neighbours on each side that a unit's first word is compared with.
-REACH = 3
+REACH = 2
 #: Words of a run of repeated units that is removed wherever it stands.
 MIN_WORDS = 20
 #: Words of a run that is removed if it is whole lines.
@@ -40,7 +40,7 @@ MIN_LINE_WORDS = 8
 #: Added to a line's number to tell it from a unit's.
 LINE = -(1 << 31)
 #: Words on either side of a unit that are known by a byte of their hash.
-CONTEXT = 4
+CONTEXT = 8
 
 
 class Units:
