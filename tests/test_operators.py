@@ -11,7 +11,7 @@ from viaflux.operators.export import ExportFlowsOptions, export_flows
 from viaflux.operators.filtering import FilterOptions, FlowFilterOptions, TimeFilter, filter_flows, filter_trips
 from viaflux.operators.fixing import FixCorrespondenceOptions, fix_trips_correspondence
 from viaflux.operators.flows import FlowBuildOptions, build_flows
-from viaflux.operators.importing import ImportOptions, import_traces_from_dataframe, import_trips_from_dataframe, with_row_number
+from viaflux.operators.importing import MAX_DOMAIN, ImportOptions, import_traces_from_dataframe, import_trips_from_dataframe, with_row_number
 from viaflux.operators.inference import InferTripsOptions, infer_trips_from_traces
 from viaflux.operators.validation import ValidationOptions, validate_traces, validate_trips
 from viaflux.schema import DomainSpec, FieldSpec, TripSchema
@@ -229,6 +229,21 @@ def test_import(spark):
     assert t.value_correspondence == {"mode": {"BUS": "bus"}}
 
 
+def test_domains_of_many_values(spark):
+    n = MAX_DOMAIN + 5
+    df = spark.range(n).select(F.col("id").cast("string").alias("movement_id"), F.lit("u").alias("user_id"), F.when(F.col("id") == 0, "bus").otherwise(F.concat(F.lit("v"), F.col("id"))).alias("mode"))
+    t, report = import_trips_from_dataframe(df, IMPORT)
+    assert {r["mode"]: r["count"] for r in t.data.groupBy("mode").count().collect()} == {"bus": 1, "other": n - 1}
+    assert "IMP.DOMAIN.OUT_OF_DOMAIN" in report.codes()
+    with pytest.raises(ImportFailed, match="DOMAIN.STRICT"):
+        import_trips_from_dataframe(df, IMPORT, options=ImportOptions(strict_domains=True))
+    open_schema = TripSchema("1", {**IMPORT.fields, "mode": FieldSpec("mode", "categorical", domain=DomainSpec(["bus"], True))}, IMPORT.required)
+    t, _ = import_trips_from_dataframe(df, open_schema)
+    assert len(t.effective.domains["mode"]["values"]) == n and len(t.effective.domains["mode"]["extended"]) == n - 1
+    fixed, _ = fix_trips_correspondence(t, value_corrections={"mode": {"v1": "v2"}})
+    assert len(fixed.effective.domains["mode"]["values"]) == n - 1
+
+
 def test_import_errors(spark):
     df = raw(spark)
     for kwargs, code in [

@@ -118,7 +118,7 @@ def fix_trips_correspondence(
             if replaced[name]:
                 df = recode(df, name, {k: pairs[k] for k, n in found.items() if n})
                 changed.append(name)
-        for name, seen in observed_values(df, changed).items():
+        for name, seen in observed_values(df, changed, whole=changed).items():
             declared = schema.fields[name].domain
             base = [str(v) for v in declared.values] if declared else []
             domains[name] = {"values": [*base, *[v for v in seen["values"] if v not in base]], "extended": [v for v in seen["values"] if v not in base]}

@@ -84,14 +84,14 @@ def normalise_domain(c: Column, mapping: Mapping[str, str] | None) -> Column:
     return F.coalesce(F.element_at(pairs, t), t)
 
 
-def observed_values(df: DataFrame, fields: Sequence[str], limit: int = MAX_DOMAIN) -> dict[str, dict[str, Any]]:
-    """Of each text field: non-null rows, distinct values, and the values where they are at most `limit`, from one pass."""
+def observed_values(df: DataFrame, fields: Sequence[str], limit: int = MAX_DOMAIN, whole: Sequence[str] = ()) -> dict[str, dict[str, Any]]:
+    """Of each text field: non-null rows, distinct values, and the values where they are at most `limit` or the field is in `whole`, from one pass."""
     if not fields:
         return {}
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("string").alias("v")) for f in fields])).alias("x")).select("x.*").filter("v IS NOT NULL")
     counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")).persist()  # read twice; computed anew if an executor is lost
     sizes = {r["f"]: r for r in counts.groupBy("f").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct")).collect()}
-    small = [f for f in fields if f in sizes and sizes[f]["distinct"] <= limit]
+    small = [f for f in fields if f in sizes and (f in whole or sizes[f]["distinct"] <= limit)]
     values: dict[str, list[str]] = {f: [] for f in fields}
     if small:
         for r in counts.filter(F.col("f").isin(small)).select("f", "v").collect():
@@ -100,6 +100,11 @@ def observed_values(df: DataFrame, fields: Sequence[str], limit: int = MAX_DOMAI
     return {f: {"rows": sizes[f]["rows"] if f in sizes else 0, "distinct": sizes[f]["distinct"] if f in sizes else 0, "values": sorted(values[f])} for f in fields}
 
 
+def extended_fields(specs: Mapping[str, FieldSpec], fields: Sequence[str], strict_domains: bool) -> list[str]:
+    """The fields whose declared domain takes up all that is observed, so that their values are needed at any number."""
+    return [f for f in fields if not strict_domains and (d := specs[f].domain) and d.values and d.extendable]
+
+
 class _Rename:
     """The correspondence canonical -> source, checked against the columns."""
 
@@ -181,7 +186,7 @@ def import_trips_from_dataframe(
     applied = {c: {k: v for k, v in recodes[c].items() if k in set(raw_values[c]["values"]) or raw_values[c]["distinct"] > MAX_DOMAIN} for c in raw_values}
     df = df.withColumns({c: normalise_domain(F.col(f"`{c}`"), applied.get(c)) for c in texts})
     domains = [c for c in texts if effective.dtypes.get(c) == "categorical"]
-    seen = observed_values(df, domains)
+    seen = observed_values(df, domains, whole=extended_fields(schema.fields, domains, options.strict_domains))
     for name in domains:
         df = _domain_policy(df, schema.fields[name], seen[name], options, effective, issues)
 
@@ -272,7 +277,13 @@ def _domain_policy(df: DataFrame, spec: FieldSpec, seen: Mapping[str, Any], opti
         else:
             effective.domains[name] = {"values": [], "extended": []}
         return df
+    c = F.col(f"`{name}`")
     strangers = sorted(set(seen["values"]) - set(base))
+    count = len(strangers)
+    if seen["distinct"] > len(seen["values"]):  # too many to be listed: counted, with a sample for the report
+        outside = df.select(c.cast("string").alias("v")).filter(F.col("v").isNotNull() & ~F.col("v").isin(base)).distinct()
+        count = outside.count()
+        strangers = [r["v"] for r in outside.orderBy("v").limit(50).collect()]
     effective.domains[name] = {"values": base, "extended": []}
     if not strangers:
         return df
@@ -280,13 +291,12 @@ def _domain_policy(df: DataFrame, spec: FieldSpec, seen: Mapping[str, Any], opti
         issues.fatal("IMP.DOMAIN.STRICT", f"values outside the domain: {strangers[:10]}", field=name, details={"values": strangers[:50]})
     if domain.extendable:
         effective.domains[name] = {"values": [*base, *strangers], "extended": strangers}
-        issues.info("IMP.DOMAIN.EXTENDED", f"the domain is extended by {len(strangers)} values", field=name, details={"values": strangers[:50]})
+        issues.info("IMP.DOMAIN.EXTENDED", f"the domain is extended by {count} values", field=name, details={"values": strangers[:50]})
         return df
     unknown = next((u for u in UNKNOWN if u in base), UNKNOWN[0])
     if unknown not in base:
         effective.domains[name] = {"values": [*base, unknown], "extended": [unknown]}
-    issues.warn("IMP.DOMAIN.OUT_OF_DOMAIN", f"{len(strangers)} values become {unknown!r}", field=name, details={"values": strangers[:50]})
-    c = F.col(f"`{name}`")
+    issues.warn("IMP.DOMAIN.OUT_OF_DOMAIN", f"{count} values become {unknown!r}", field=name, details={"values": strangers[:50]})
     return df.withColumn(name, F.when(c.isNull() | c.isin(base), c).otherwise(F.lit(unknown)))
 
 

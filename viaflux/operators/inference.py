@@ -17,7 +17,7 @@ from ..datasets import TraceDataset, TripDataset, json_safe, new_id
 from ..functions import coerce, geo, h3proj, timeutil
 from ..issues import InferenceFailed, Issues, Report
 from ..schema import TRIP_CORE, EffectiveSchema, TripSchema
-from .importing import DOMAIN_SHARE, MAX_DOMAIN, ImportOptions, _domain_policy, dense_rank_id, normalise_domain, observed_values
+from .importing import DOMAIN_SHARE, MAX_DOMAIN, ImportOptions, _domain_policy, dense_rank_id, extended_fields, normalise_domain, observed_values
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,7 @@ def infer_trips_from_traces(traces: TraceDataset, trip_schema: TripSchema, *, op
     for name in texts:
         aliases = trip_schema.fields[name].domain.aliases if trip_schema.fields[name].domain else None
         trips = trips.withColumn(name, normalise_domain(F.col(name), {**(aliases or {}), **o.value_correspondence.get(name, {})}))
-    for name, seen in observed_values(trips, texts).items():
+    for name, seen in observed_values(trips, texts, whole=extended_fields(trip_schema.fields, texts, o.strict_domains)).items():
         spec = trip_schema.fields[name]
         if not (spec.domain and spec.domain.values) and 0 < seen["distinct"] <= min(MAX_DOMAIN, max(1, int(DOMAIN_SHARE * seen["rows"]))):
             effective.domains[name] = {"values": seen["values"], "extended": seen["values"], "bootstrapped": True}
