@@ -449,6 +449,52 @@ def test_perplexity_is_that_of_plain_dictionaries(spark):
         assert out[i] is None if not q else np.isclose(out[i], brute(q), rtol=1e-4)
 
 
+def brute_words(texts):
+    """Interpolated modified Kneser-Ney over words by plain dictionaries."""
+    split = lambda t: ["<", "<", *t.split()]
+    levels = [collections.Counter(tuple(s[i - 2 : i + 1]) for s in map(split, texts) for i in range(2, len(s)))]
+    for _ in range(2):
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    stats = []
+    for c in levels:
+        n = [sum(v == k for v in c.values()) for k in range(5)]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [0] + [max(0.1 * k, min(k - 0.1, k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[1] else k / 2)) for k in (1, 2, 3)]
+        totals, gamma = collections.Counter(), collections.Counter()
+        for g, v in c.items():
+            totals[g[:-1]] += v
+            gamma[g[:-1]] += d[min(v, 3)]
+        stats.append((c, d, totals, gamma))
+
+    def p(g, level=0):
+        if level == 3:
+            return 1 / (len(levels[2]) + 1)
+        c, d, totals, gamma = stats[level]
+        if g[:-1] not in totals:
+            return p(g[1:], level + 1)
+        return (max(c[g] - d[min(c[g], 3)], 0) + gamma[g[:-1]] * p(g[1:], level + 1)) / totals[g[:-1]]
+
+    return lambda t: sum(np.log(p(tuple(s[i - 2 : i + 1]))) for s in [split(t)] for i in range(2, len(s)))
+
+
+def test_words_are_scored_as_by_plain_dictionaries(spark):
+    rng = np.random.default_rng(9)
+    words = ["река", "reka", "река́", "日", "本", "été", "ete", "the", "x1"]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(30)]
+    queries = [*texts[:3], "река reka неизвестно", "the the the 本 日", "un known", "", None]
+    rows = lambda values: spark.createDataFrame([(7, t, i) for i, t in enumerate(values)], "m long, text string, row long")
+    model = kneser_ney.fit_words(rows(texts))
+    out = {r["row"]: r["log_sum"] for r in kneser_ney.scored_words(rows(queries), model).collect()}
+    brute = brute_words(texts)
+    for i, q in enumerate(queries):
+        assert out[i] is None if not q else np.isclose(out[i], brute(q), rtol=1e-6)
+
+
+def test_accents_and_scripts_are_told_apart(spark):
+    keys, first = kneser_ney.word_grams(["é è", "日本 ж"], np.zeros(2, np.uint64), kneser_ney.word_kinds())
+    assert first.tolist() == [0, 2, 5] and len(set(keys["w"].tolist())) == 5
+
+
 def test_classifier_keeps_trusted_kind(spark):
     rng = np.random.default_rng(6)
     good = [" ".join(rng.choice(["the", "river", "flows", "along", "green", "fields", "today"], 60)) for _ in range(120)]

@@ -1,13 +1,14 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is over characters, folded by rule to 64 symbols (`SYMBOLS`), so an
-order-4 table has at most 64**4 entries for a language whatever the corpus.
-Counts of all trusted text are gathered per task and summed in shards; count,
-discount and context tables are joined on their sharded keys and give the
-discounted part of each seen n-gram and the weight each context leaves to the
-lower order. Those tables, of proven size, go to the tasks, which fill dense
-ones and score whole documents. A document is kept if its perplexity is not
-above a quantile of the trusted documents of its language.
+Documents are judged by a model over words in full code points (`judged`). Its
+table grows with the trusted text and is never gathered in one place: counts,
+discounts and contexts are joined on sharded keys, and each document's n-grams
+are joined with the table, whose answers are summed to its perplexity. A
+document is kept if that isn't above a quantile of the trusted documents of its
+language.
+
+`fit`, `compiled` and `scored` are a small model over characters folded to 64
+symbols (`SYMBOLS`), which isn't used to judge.
 """
 
 from __future__ import annotations
@@ -208,38 +209,219 @@ def _renamed(batches, text: str):
         yield pa.RecordBatch.from_arrays(b.columns, names=names)
 
 
+#: Words of the n-grams that documents are judged by.
+WORD_ORDER = 3
+#: Ranges of code points that are words by themselves, as their scripts put no spaces between words.
+SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xA960, 0xA97F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_MODEL_START = np.uint64(0x2545F4914F6CDD1D)
+
+
+def word_kinds() -> np.ndarray:
+    """The kind of each code point: 0 white space, 1 part of a word, 2 a word by itself."""
+    kinds = np.ones(0x110000, np.uint8)
+    kinds[:0x80] = [0 if i <= 32 or i == 127 else 1 if chr(i).isalnum() else 2 for i in range(0x80)]
+    kinds[[0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
+    for low, high in SINGLE:
+        kinds[low : high + 1] = np.where(kinds[low : high + 1] == 0, 0, 2)
+    return kinds
+
+
+def word_grams(texts: list[str], seeds: np.ndarray, kinds: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Keys of the n-grams that end at each word, and each text's first word.
+
+    w is the word, v the one before, g2 both, c3 the two before and g3 all
+    three. Words are taken as they are, in full code points. A key is a 64-bit
+    hash seeded by the model, so keys of two models or orders don't meet.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.concatenate([[0], np.cumsum(lengths)])
+    kind = kinds[points]
+    begins = kind > 0
+    inner = (kind[1:] == 1) & (kind[:-1] == 1)
+    joint = np.zeros(len(points), bool)
+    joint[1:] = inner
+    joint[edge[:-1][lengths > 0]] = False
+    begins &= ~joint
+    ends = np.zeros(len(points), bool)
+    ends[:-1] = ~joint[1:]
+    ends[-1:] = True
+    ends &= kind > 0
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    first = np.searchsorted(starts, edge)
+    counts = np.diff(first)
+    seed = np.repeat(seeds, counts)
+    w = tk.mix(tk.ranges_hash(points, starts, stops) ^ seed)
+    opening = tk.mix(_MODEL_START ^ seed)
+    since = np.arange(len(w)) - np.repeat(first[:-1], counts)
+    v, u = opening.copy(), opening.copy()
+    v[1:] = np.where(since[1:] >= 1, w[:-1], opening[1:])
+    u[2:] = np.where(since[2:] >= 2, w[:-2], opening[2:])
+    pair = lambda x, y: tk.mix(x * np.uint64(0x9E3779B97F4A7C15) + tk.mix(y + np.uint64(2)))
+    c3 = pair(u, v)
+    return {"g3": pair(c3 + np.uint64(1), w), "g2": pair(v, w), "c3": c3, "v": v, "w": w}, first
+
+
+def _read(batch) -> tuple[list[str], np.ndarray]:
+    """Texts and the models' seeds."""
+    return [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_numpy().view(np.uint64)
+
+
+def _count_words(batches):
+    """(m, g3, g2, c3, v, w, n): the 3-grams of a slice with their counts, from (m, text)."""
+    kinds = word_kinds()
+    for batch in tk.slices(batches, "text"):
+        texts, seeds = _read(batch)
+        keys, first = word_grams(texts, seeds, kinds)
+        _, at, n = np.unique(keys["g3"], return_index=True, return_counts=True)
+        m = np.repeat(seeds, np.diff(first))[at]
+        arrays = [pa.array(m.view(np.int64)), *[pa.array(keys[k][at].view(np.int64)) for k in keys], pa.array(n.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["m", *keys, "n"])
+
+
+def _level(level: DataFrame, context: str | None) -> DataFrame:
+    """Counts c of n-grams with what modified Kneser-Ney needs: alpha, the discounted part, and gamma, what their context leaves.
+
+    Discounts are one row for each model, contexts are joined on their keys.
+    """
+    few = level.groupBy("m").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
+    d = {k: F.greatest(F.lit(0.1 * k), F.least(F.lit(k - 0.1), F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(k / 2)))) for k in (1, 2, 3)}
+    on = ["m"] if context is None else ["m", context]
+    sums = [F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), *[F.count_if((F.col("c") == k) if k < 3 else (F.col("c") >= 3)).alias(f"m{k}") for k in (1, 2, 3)]]
+    contexts = level.groupBy(*on).agg(*sums).join(F.broadcast(few.select("m", *[d[k].alias(f"d{k}") for k in d])), "m")
+    gamma = reduce(lambda a, b: a + b, [F.col(f"d{k}") * F.col(f"m{k}") for k in (1, 2, 3)]) / F.col("total")
+    contexts = contexts.select(*on, "total", "kinds", "d1", "d2", "d3", gamma.alias("gamma"))
+    own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    joined = level.join(F.broadcast(contexts) if context is None else contexts, on)
+    return joined.withColumn("alpha", (F.col("c") - own) / F.col("total")).drop("total", "d1", "d2", "d3")
+
+
+def fit_words(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sharded model of (m, text), m the number of each text's model.
+
+    (k, l, b): of each seen n-gram its interpolated log probability and, as a
+    context, the log of what it leaves to the lower order; and (m, unseen), the
+    log probability of a word never seen.
+    """
+    counts = cut(trusted.select("m", "text").mapInArrow(_count_words, "m long, g3 long, g2 long, c3 long, v long, w long, n long").groupBy("m", "g3", "g2", "c3", "v", "w").agg(F.sum("n").alias("c")))
+    two = counts.groupBy("m", "g2", "v", "w").agg(F.count(F.lit(1)).alias("c"))
+    one = two.groupBy("m", "w").agg(F.count(F.lit(1)).alias("c"))
+    one = cut(_level(one, None).withColumn("unseen", F.col("gamma") / (F.col("kinds") + 1)).withColumn("p", F.col("alpha") + F.col("unseen")).select("m", "w", "p", "unseen"))
+    two = cut(_level(two, "v").join(one.select("w", F.col("p").alias("lower")), "w").withColumn("p", F.col("alpha") + F.col("gamma") * F.col("lower")).select("g2", "v", "p", "gamma"))
+    three = cut(_level(counts, "c3").join(two.select("g2", F.col("p").alias("lower")), "g2").withColumn("p", F.col("alpha") + F.col("gamma") * F.col("lower")).select("g3", "c3", "p", "gamma"))
+    none = F.lit(None).cast("double")
+    rows = [x.select(F.col(k).alias("k"), F.log("p").alias("l"), none.alias("b")) for x, k in ((one, "w"), (two, "g2"), (three, "g3"))]
+    rows += [x.select(F.col(k).alias("k"), none.alias("l"), F.log("gamma").alias("b")) for x, k in ((two, "v"), (three, "c3"))]
+    table = reduce(DataFrame.unionByName, rows).groupBy("k").agg(F.max("l").alias("l"), F.max("b").alias("b"))
+    return cut(table), one.groupBy("m").agg(F.log(F.first("unseen")).alias("unseen"))
+
+
+def _ask(batches):
+    """(row, k): the n-grams and contexts of each row, once each, from (m, text, row)."""
+    kinds = word_kinds()
+    for batch in tk.slices(batches, "text", 1 << 20):
+        texts, seeds = _read(batch)
+        keys, first = word_grams(texts, seeds, kinds)
+        row = batch.column(2).to_numpy()
+        for i in range(len(texts)):
+            own = np.unique(np.concatenate([keys[k][first[i] : first[i + 1]] for k in keys]))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row[i])), pa.array(own.view(np.int64))], names=["row", "k"])
+
+
+def _answer(batches):
+    """(row, log_sum, words) from (m, text, row, unseen, hits)."""
+    kinds = word_kinds()
+    for batch in tk.slices(batches, "text", 1 << 20):
+        texts, seeds = _read(batch)
+        keys, first = word_grams(texts, seeds, kinds)
+        unseen = batch.column(3).to_numpy(zero_copy_only=False)
+        sums = np.full(len(texts), np.nan)
+        for i in range(len(texts)):
+            hits = batch.column(4)[i].values
+            if np.isnan(unseen[i]) or first[i] == first[i + 1]:
+                continue
+            if hits is None or not len(hits):
+                sums[i] = unseen[i] * (first[i + 1] - first[i])
+                continue
+            known = hits.field(0).to_numpy().view(np.uint64)
+            order = np.argsort(known)
+            known = known[order]
+            l, b = (hits.field(k).to_numpy(zero_copy_only=False).astype(np.float64)[order] for k in (1, 2))
+
+            def look(name, values, i=i, known=known):
+                own = keys[name][first[i] : first[i + 1]]
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                return np.where(known[at] == own, values[at], np.nan)
+
+            p = look("w", l)
+            p = np.where(np.isnan(p), unseen[i], p)
+            for gram, context in (("g2", "v"), ("g3", "c3")):
+                seen = look(gram, l)
+                p = np.where(np.isnan(seen), np.nan_to_num(look(context, b)) + p, seen)
+            sums[i] = p.sum()
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sums, mask=np.isnan(sums)), pa.array(np.diff(first))], names=["row", "log_sum", "words"])
+
+
+def scored_words(rows: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(row, log_sum, words) of rows (m, text, row): n-grams meet the model by their keys, and what is found goes back to its row.
+
+    Rows of one number have to be equal. log_sum is null without words or model.
+    """
+    table, unseen = model
+    rows = rows.select("m", "text", "row")
+    hits = rows.mapInArrow(_ask, "row long, k long").join(table.hint("merge"), "k").groupBy("row").agg(F.collect_list(F.struct("k", "l", "b")).alias("hits"))
+    asked = rows.join(F.broadcast(unseen), "m", "left").join(hits.hint("merge"), "row", "left").select("m", "text", "row", F.col("unseen"), "hits")
+    return asked.mapInArrow(_answer, "row long, log_sum double, words long")
+
+
 def judged(docs: DataFrame, labels: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """`docs` without the text, with perplexity, threshold and kept.
-
-    Trusted are documents labelled 1 (a doc_id labelled both ways isn't).
-    Texts of fewer than MIN_CHARS characters are kept unjudged; null and empty
-    ones have no perplexity and aren't kept. Null languages and those without a
-    model or trusted documents use the model and quantile of all. Without any
-    trusted text nothing has a perplexity and all but empty texts are kept.
-    Repeated rows count as often as they stand. Input columns of the added
-    names are replaced.
+    """`docs` without the text, with n_chars_scored, n_words, perplexity (of a word), threshold and kept.
+
+    Trusted are documents labelled 1 (a doc_id labelled both ways isn't). Every
+    language with trusted text has a model of its own; null languages and the
+    others use the model of all. As a model knows the words it was trained on,
+    the quantile is that of trusted documents under the model of the other half
+    of them; a language without such values uses the quantile of all.
+    Texts of fewer than MIN_CHARS characters are kept unjudged; those without
+    words have no perplexity and aren't kept. Without any trusted text nothing
+    has a perplexity and all texts with words are kept. Repeated rows count as
+    often as they stand. Input columns of the added names are replaced.
     """
     ids = labels.filter(F.col(label).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("_l")).filter("_l = 1").select(doc_id)
+    base = docs.drop("n_chars_scored", "n_words", "perplexity", "threshold", "kept")
     # texts meet their labels in a shuffle at any size: labels grow with the corpus, so they aren't broadcast
-    fitted = fit(docs.select(doc_id, text, lang).join(ids.hint("merge"), doc_id, "left_semi"), text=text, lang=lang)
-    base = docs.drop("n_chars_scored", "perplexity", "threshold", "kept")
-    rows = cut(scored(base, fitted, text=text, lang=lang))
-    marked = rows.select(doc_id, lang, "perplexity", "n_chars_scored").join(ids, doc_id, "left_semi").filter(F.col("n_chars_scored") >= MIN_CHARS)
+    trusted = base.select(F.col(text).alias("text"), F.col(lang).alias("lang"), doc_id).join(ids.hint("merge"), doc_id, "left_semi").filter(F.length("text") > 0)
+    own = trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).filter("lang IS NOT NULL").select(F.col("lang").alias("_own"))
+    half = F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2))
+    number = lambda name, part: F.xxhash64(name, part)
+    whole = F.lit(2).cast("long")
+    names = F.array_compact(F.array(F.col("lang"), F.lit(ALL)))
+    model = fit_words(trusted.withColumn("name", F.explode(names)).withColumn("part", F.explode(F.array(half, whole))).select(number(F.col("name"), F.col("part")).alias("m"), "text"))
+    name = F.coalesce(F.col("_own"), F.lit(ALL))
+    row = F.xxhash64(doc_id, text, lang)
+    known = base.join(F.broadcast(own), F.col(lang) == F.col("_own"), "left")
+    rows = known.select(number(name, whole).alias("m"), F.col(text).alias("text"), row.alias("row"))
+    # a row that stands twice is asked for once: its sums are those of one
+    sums = scored_words(rows, model).groupBy("row").agg(F.max("log_sum").alias("_sum"), F.max("words").alias("n_words"))
+    kept_columns = [c for c in base.columns if c != text]
+    out = known.select(*[F.col(f"`{c}`") for c in kept_columns], name.alias("_name"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars_scored"), row.alias("row")).join(sums.hint("merge"), "row").drop("row")
+    out = cut(out.withColumn("perplexity", F.exp(-F.col("_sum") / F.col("n_words"))).drop("_sum"))
+    held = trusted.filter(F.length("text") >= MIN_CHARS)
+    held = held.select(number(F.coalesce(F.col("lang"), F.lit(ALL)), 1 - half).alias("m"), "text", F.coalesce(F.col("lang"), F.lit(ALL)).alias("name"), F.xxhash64(doc_id, "text", "lang").alias("row"))
+    marked = held.select("name", "row").join(scored_words(held, model).groupBy("row").agg((-F.max("log_sum") / F.max("words")).alias("x")), "row").filter("x IS NOT NULL")
+    marked = cut(marked.select("name", F.exp("x").alias("perplexity")))
     percentile = F.percentile_approx("perplexity", quantile, 10_000)
+    limits = marked.groupBy("name").agg(percentile.alias("_q"))
     overall = marked.agg(percentile.alias("q")).first()["q"]
-    # a quantile for each language with a model, MAX_LANGUAGES at most; the others share one
-    with_model = [x for x in fitted if x != ALL]
-    own = marked.filter(F.col(lang).isin(with_model)).groupBy(lang).agg(percentile.alias("q")).collect() if with_model else []
-    limits = [F.lit(x) for r in own for x in (r[lang], r["q"])]
-    ours = F.element_at(F.create_map(*limits), F.coalesce(F.col(lang), F.lit(""))) if limits else F.lit(None).cast("double")
-    threshold = F.coalesce(ours, F.lit(overall).cast("double")) * F.lit(slack)
-    out = rows
-    short = F.col("n_chars_scored") < MIN_CHARS
-    kept = (F.col("n_chars_scored") > 0) & (short | F.coalesce(F.col("perplexity") <= threshold, F.lit(True)))
-    return out.withColumn("threshold", threshold).withColumn("kept", kept)
+    out = out.join(F.broadcast(limits.withColumnRenamed("name", "_name")), "_name", "left")
+    threshold = F.coalesce(F.col("_q"), F.lit(overall).cast("double")) * F.lit(slack)
+    kept = (F.col("n_words") > 0) & ((F.col("n_chars_scored") < MIN_CHARS) | F.coalesce(F.col("perplexity") <= threshold, F.lit(True)))
+    return out.withColumn("threshold", threshold).withColumn("kept", kept).drop("_q", "_name")
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select("doc_id", F.col("n_chars_scored").alias("n_symbols"), "perplexity", "threshold", "kept")
+    return out.select("doc_id", F.col("n_words").alias("n_symbols"), "perplexity", "threshold", "kept")
