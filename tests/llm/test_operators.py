@@ -495,6 +495,14 @@ def test_accents_and_scripts_are_told_apart(spark):
     assert first.tolist() == [0, 2, 5] and len(set(keys["w"].tolist())) == 5
 
 
+def test_any_number_of_languages_has_models(spark):
+    rows = [(i, " ".join(f"l{i % 40}w{(i * 7 + j * j) % 11}" for j in range(30)), f"l{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    out = kneser_ney.judged(df, labels).select("lang", "threshold").distinct().collect()
+    assert len(out) == 40 and len({r["threshold"] for r in out}) > 20
+
+
 def test_classifier_keeps_trusted_kind(spark):
     rng = np.random.default_rng(6)
     good = [" ".join(rng.choice(["the", "river", "flows", "along", "green", "fields", "today"], 60)) for _ in range(120)]
