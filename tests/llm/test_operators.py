@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -127,6 +128,105 @@ def test_units_are_as_by_a_plain_loop(texts):
         assert [int(u.end[k] - u.begin[k]) for k in own] == [len(x) for x in brute_units(t)]
 
 
+def brute_dedup(rows, whole_lines=True, least=20, least_line=8):
+    """Texts without repeats by plain loops over (doc_id, text): unit firsts, runs, their growth, whole lines."""
+    docs = []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        words, units, lines, at = [], [], [], 0
+        for line in (text or "").split("\n"):
+            own = [(m.group(), at + m.start(), at + m.end()) for m in WORDS.finditer(lower(line))]
+            key = tuple(w for w, _, _ in own) or ("", re.sub("[\x20\x09-\x0d]", "", line))
+            if re.sub("[\x20\x09-\x0d]", "", line):
+                lines.append((key, at, min(at + len(line) + 1, len(text))))
+            begin = len(words)
+            words += [(*w, at + len(line)) for w in own]
+            for unit in brute_units(line):
+                units.append((unit, begin, begin + len(unit)))
+                begin += len(unit)
+            at += len(line) + 1
+        docs.append((doc, text, words, units, lines))
+    first, first_line = {}, {}
+    for d, (*_, units, lines) in enumerate(docs):
+        for k, (unit, _, _) in enumerate(units):
+            first.setdefault(unit, (d, k))
+        for k, (key, _, _) in enumerate(lines):
+            first_line.setdefault(key, (d, k))
+    out = {}
+    for d, (doc, text, words, units, lines) in enumerate(docs):
+        goes = [(a, b) for k, (key, a, b) in enumerate(lines) if whole_lines and first_line[key] != (d, k)]
+        k = 0
+        while k < len(units):
+            if first[units[k][0]] == (d, k):
+                k += 1
+                continue
+            n = 1
+            f, g = first[units[k][0]]
+            while k + n < len(units) and first[units[k + n][0]] == (f, g + n) and (f, g + n) != (d, k + n):
+                n += 1
+            begin, end, theirs = units[k][1], units[k + n - 1][2], docs[f][2]
+            a, b = docs[f][3][g][1], docs[f][3][g + n - 1][2]
+            for _ in range(substring_dedup.CONTEXT):
+                if begin == 0 or a == 0 or words[begin - 1][0] != theirs[a - 1][0]:
+                    break
+                begin, a = begin - 1, a - 1
+            for _ in range(substring_dedup.CONTEXT):
+                if end == len(words) or b == len(theirs) or words[end][0] != theirs[b][0]:
+                    break
+                end, b = end + 1, b + 1
+            opens = begin == 0 or words[begin - 1][3] != words[begin][3]
+            closes = end == len(words) or words[end - 1][3] != words[end][3]
+            if end - begin >= least or (opens and closes and end - begin >= least_line):
+                stop = words[end - 1][3] if closes else words[end][1]
+                goes.append((words[begin][1], min(stop + 1, len(text)) if opens and closes else stop))
+            k += n
+        kept = list(text or "")
+        for a, b in goes:
+            kept[a:b] = [""] * (b - a)
+        out[doc] = None if text is None else "".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("whole_lines", [True, False])
+def test_dedup_is_that_of_plain_loops(spark, whole_lines, monkeypatch):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passages = [list(rng.choice(vocabulary, int(rng.integers(3, 60)))) for _ in range(12)]
+    rows = [(None, "a line\n--\nx"), (900, None), (901, ""), (902, "--\na LINE!")]
+    for doc in range(120):
+        words = []
+        for _ in range(int(rng.integers(1, 6))):
+            words += list(rng.choice(vocabulary, int(rng.integers(0, 30)))) + (passages[int(rng.integers(12))] if rng.random() < 0.7 else [])
+        rows.append((doc, "".join(w + (rng.choice([" ", " ", " ", ", ", "\n", "\n\n"])) for w in words)))
+    rows += [(1000, rows[10][1]), (1001, rows[10][1] + rows[11][1]), (1002, "p q r s " * 40)]
+    expected = brute_dedup(rows, whole_lines)
+    monkeypatch.setattr(tk, "SLICE_BYTES", 1 << 11)
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    for partitions in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        assert {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(df, whole_lines=whole_lines).collect()} == expected
+    assert expected != dict(rows)
+
+
+def test_unique_words_beside_passages_stay(spark):
+    rng = np.random.default_rng(2)
+    passage = [f"shared{i}" for i in range(40)]
+    texts = [" ".join([*[f"u{k}x{i}" for i in range(int(rng.integers(1, 12)))], *passage, *[f"v{k}x{i}" for i in range(int(rng.integers(1, 12)))]]) for k in range(1500)]
+    out = {r["doc_id"]: r["text"].split() for r in substring_dedup.dedup_substrings(table(spark, texts), whole_lines=True).collect()}
+    for k, t in enumerate(texts):
+        assert [w for w in out[k] if not w.startswith("shared")] == [w for w in t.split() if not w.startswith("shared")]
+    assert out[0] == texts[0].split() and all(not any(w.startswith("shared") for w in out[k]) for k in range(1, 1500))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_dedup_does_not_depend_on_partitioning(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    results = []
+    for df, size in ((docs.coalesce(1), 2 << 20), (docs.repartition(16), 2 << 20), (docs.repartition(5), 1 << 16)):
+        monkeypatch.setattr(tk, "SLICE_BYTES", size)
+        results.append({tuple(map(str, r)) for r in substring_dedup.dedup_substrings(df, whole_lines=True).collect()})
+    assert results[0] == results[1] == results[2]
+
+
 def test_repeated_rows_and_odd_columns(spark):
     line = " ".join(f"token{i}" for i in range(40))
     df = spark.createDataFrame([(1, line, 5), (1, line, 6), (None, line, 7), (2, "other " + line, 8)], "doc_id long, text string, removed int")
@@ -134,6 +234,9 @@ def test_repeated_rows_and_odd_columns(spark):
     assert out[0]["text"] == line  # null ranks first
     assert out[1]["text"] == out[2]["text"] == "" and out[3]["text"].strip() == "other"
     assert substring_dedup.dedup_substrings(df.limit(0)).collect() == []
+    named = df.selectExpr("doc_id", "text", "1 AS _flags", "2 AS _ID", "3 AS doc", "4 AS digest")
+    odd = substring_dedup.dedup_substrings(named, whole_lines=True)
+    assert odd.columns == [*named.columns, "removed", "n_units"] and {tuple(r)[2:6] for r in odd.collect()} == {(1, 2, 3, 4)}
 
 
 # --- 2 ---

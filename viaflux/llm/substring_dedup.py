@@ -3,19 +3,23 @@
 A text is cut into lines and each line into units at content-defined places: a
 word starts a unit where the hash of it and its successor is the least among
 its neighbours of the same line, so a passage set into another line is cut
-there as it is elsewhere. Units are normalised (words only, A-Z lower-cased),
-hashed, and their digests grouped globally; the occurrence that ranks earliest
-by (doc_id, place in the document) stays. A unit alone may repeat by chance, so
-what goes are runs of adjacent repeats: MIN_WORDS words or more, or whole lines
-of MIN_LINE_WORDS or more. The ends of a run are moved outwards over words that
-also stand beside the first occurrence. With `whole_lines`, as the queries have
-it, each line is hashed as a whole too, and every later occurrence of an equal
-line goes, whatever its length. Removed spans keep their offsets in the original
-text.
-
-Each slice of documents keeps only the earliest occurrence of its digests as a
-candidate for the global grouping, so the most frequent line of a corpus sends
-one row from each slice. Texts are shuffled once, to meet their own flags.
+there as it is elsewhere. Units and whole lines are normalised (words only, A-Z
+lower-cased), hashed, and their digests grouped globally; the occurrence that
+ranks earliest by (doc_id, place in the document) stays, and each later one
+knows it. A unit alone may repeat by chance, so units go in runs: neighbours
+whose first occurrences are neighbours as well. The ends of a run are moved
+outwards over the words that equal those beside the first occurrence (compared
+by 64-bit hashes, CONTEXT of them on either side), and the run goes if it has
+MIN_WORDS words or more, or is whole lines of MIN_LINE_WORDS or more. So a
+removed run is a sequence of words that stands earlier in the corpus, word for
+word. With `whole_lines`, as the queries have it, every later occurrence of an
+equal line goes too, whatever its length. Removed spans keep their offsets in
+the original text.
+
+A frequent digest sends one row from each task to the global grouping; its other
+rows wait under a key of their own task and learn the first occurrence from that
+row. The words around first occurrences are fetched only for ends of runs that
+can reach the least length. Nothing depends on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +42,14 @@ REACH = 2
 MIN_WORDS = 20
 #: Words of a run that is removed if it is whole lines.
 MIN_LINE_WORDS = 8
+#: Words beside a first occurrence that the end of a run is compared with.
+CONTEXT = 16
 #: Added to a line's number to tell it from a unit's.
-LINE = -(1 << 31)
-#: Words on either side of a unit that are known by a byte of their hash.
-CONTEXT = 8
+LINE = -(1 << 31) + 1
+#: The seq of a row that tells a task's waiting rows the first occurrence.
+TELLS = -(1 << 31)
+#: Occurrences in a slice that make a digest worth remembering for the rest of a task, and how many are.
+HOT, MAX_HOT = 8, 1 << 16
 
 
 class Units:
@@ -74,22 +83,33 @@ class Units:
         self.unit_row = row[self.begin]
         self.first_unit = np.searchsorted(self.begin, self.first)
         self.seq = np.arange(len(self.begin)) - self.first_unit[self.unit_row]
-        self.mark = (words >> np.uint64(56)).astype(np.uint64)
 
-    def contexts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The CONTEXT words before and those after units, a byte each, the nearest lowest; 0 beyond the row."""
+    def hints(self) -> np.ndarray:
+        """Of each unit its words (16 bits) and a byte of the hash of the word before and of that after (0 beyond the row)."""
         n = len(self.words)
-        row = self.unit_row[which]
+        if not len(self.begin):
+            return np.zeros(0, np.int32)
+        mark = (self.words >> np.uint64(56)).astype(np.int32)
+        first, last = self.first[self.unit_row], self.first[self.unit_row + 1]
+        before = np.where(self.begin > first, mark[np.maximum(self.begin - 1, 0)], 0)
+        after = np.where(self.end < last, mark[np.minimum(self.end, n - 1)], 0)
+        return (np.minimum(self.end - self.begin, 0x7FFF).astype(np.int32) << 16) | (before << 8) | after
+
+    def beside(self, at: np.ndarray, row: np.ndarray, step: int) -> np.ndarray:
+        """Hashes of the CONTEXT words before (step -1) or from (step 1) the word places `at`, the nearest first; 0 beyond the row."""
         first, last = self.first[row], self.first[row + 1]
-        out = []
-        for nearest, step in ((self.begin[which] - 1, -1), (self.end[which], 1)):
-            packed = np.zeros(len(which), np.uint64)
-            for k in range(CONTEXT):
-                at = nearest + k * step
-                inside = (at >= first) & (at < last)
-                packed |= np.where(inside, self.mark[np.clip(at, 0, n - 1)], np.uint64(0)) << np.uint64(8 * k)
-            out.append(packed)
-        return out[0], out[1]
+        places = (at + (step < 0) * step)[:, None] + step * np.arange(CONTEXT)
+        inside = (places >= first[:, None]) & (places < last[:, None])
+        return np.where(inside, self.words[np.clip(places, 0, max(0, len(self.words) - 1))], np.uint64(0))
+
+    def found(self, row: np.ndarray, seq: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units that (row, seq) name, and whether they are there with that digest."""
+        at = self.first_unit[row] + seq
+        fits = (seq >= 0) & (at < self.first_unit[row + 1])
+        at = np.where(fits, at, 0)
+        if len(self.digest):
+            fits &= self.digest[at] == digest
+        return at, fits
 
     def lines(self) -> Lines:
         """The lines that have more than white space; a line without words is known by its other bytes."""
@@ -124,63 +144,85 @@ class Lines:
     first: np.ndarray
 
 
-def _matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The number of equal words, counted from the nearest."""
-    differ = (a ^ b).view(np.uint8).reshape(-1, 8)[:, :CONTEXT] != 0
-    return np.where(differ.any(1), differ.argmax(1), CONTEXT)
-
-
 def _same(a, b) -> np.ndarray:
     """Equality of two Arrow arrays, nulls equal to each other."""
     both = pc.and_(pc.is_null(a), pc.is_null(b))
     return pc.or_(pc.fill_null(pc.equal(a, b), False), both).to_numpy(zero_copy_only=False)
 
 
+def _waiting_key(digest: np.ndarray, group: np.ndarray) -> np.ndarray:
+    return tk.mix(digest ^ tk.mix(group.astype(np.uint64)))
+
+
 def _candidates(batches, text: str, whole_lines: bool):
-    """(k, digest, doc_id, seq, before, after) of all units and, if asked for, lines.
+    """(k, doc, seq, digest, group, hint) of all units and, if asked for, lines.
 
-    What repeats within the slice has a digest, the words around its first
-    occurrence and a k that spreads it; candidates have none and k is theirs.
+    A row without a digest is a candidate and k is its digest; its group, if it
+    has one, is what later occurrences in this task wait under. Those have
+    their digest, that group and a k that spreads them.
     """
-    for batch in tk.slices(batches, text):
+    context = TaskContext.get()
+    part = context.partitionId() if context else 0
+    hot: dict[int, tuple] = {}
+    for number, batch in enumerate(tk.slices(batches, text)):
         units = Units(batch.column(1))
-        digests, rows, seqs = units.digest, units.unit_row, units.seq
-        before, after = units.contexts(np.arange(len(digests)))
+        digests, rows, seqs, hints = units.digest, units.unit_row, units.seq, units.hints()
         if whole_lines:
             lines = units.lines()
-            none = np.zeros(len(lines.digest), np.uint64)
             digests, rows = np.concatenate([digests, lines.digest]), np.concatenate([rows, lines.row])
             seqs = np.concatenate([seqs, np.arange(len(lines.row)) - lines.first[lines.row] + LINE])
-            before, after = np.concatenate([before, none]), np.concatenate([after, none])
+            hints = np.concatenate([hints, np.zeros(len(lines.row), np.int32)])
         n = len(digests)
         if not n:
             continue
-        rank = pc.rank(batch.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[rows].astype(np.int64)
+        docs = batch.column(0)
+        rank = pc.rank(docs, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[rows].astype(np.int64)
         order = np.lexsort((seqs, rank, digests))
         digest, place = digests[order], rank[order] * (1 << 32) + seqs[order]
         head = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
-        head_of = np.repeat(head, np.diff(np.append(head, n)))
-        repeat = np.zeros(n, bool)
-        repeat[order] = place > place[head_of]
-        first = np.empty(n, np.int64)
-        first[order] = order[head_of]
-        spread = tk.mix(digests ^ tk.mix(np.arange(n, dtype=np.uint64)))
-        key = np.where(repeat, spread, digests)
-        known = pa.array(digests.view(np.int64), mask=~repeat)
-        arrays = [pa.array(key.view(np.int64)), known, batch.column(0).take(pa.array(rows)), pa.array(seqs.astype(np.int32)), pa.array(before[first].view(np.int64)), pa.array(after[first].view(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["k", "digest", "doc", "seq", "before", "after"])
-
-
-def _repeats(batches):
-    """Of candidates sorted by (k, doc, seq), those after the first, with the words around the first; and what was known to repeat."""
-    names = ["doc", "seq", "digest", "before", "after"]
+        sizes = np.diff(np.append(head, n))
+        repeat = place > np.repeat(place[head], sizes)
+        own = np.int64(part << 32 | number)
+        group = np.full(n, own)
+        for k in np.flatnonzero(np.add.reduceat(repeat, head) >= HOT).tolist():
+            at = order[head[k]]
+            doc = docs[int(rows[at])].as_py()
+            here = (doc is not None, doc, int(seqs[at]))
+            before = hot.get(int(digest[head[k]]))
+            if before is not None and before[0] < here:  # all of them are later than what an earlier slice has sent
+                span = slice(head[k], head[k] + sizes[k])
+                repeat[span], group[span] = True, before[1]
+            elif before is not None or len(hot) < MAX_HOT:
+                hot[int(digest[head[k]])] = (here, own)
+        told = np.repeat(np.logical_or.reduceat(repeat, head), sizes)  # the digest has rows that wait
+        sent = np.zeros(n, bool)
+        sent[head] = ~repeat[head]
+        has_group = repeat | (told & sent)
+        spread = tk.mix(digest ^ tk.mix(np.arange(n, dtype=np.uint64) + np.uint64(own)))
+        key = np.where(repeat, spread, digest)
+        arrays = [
+            pa.array(key.view(np.int64)), docs.take(pa.array(rows[order])), pa.array(seqs[order].astype(np.int32)),
+            pa.array(digest.view(np.int64), mask=~repeat), pa.array(group, mask=~has_group), pa.array(hints[order]),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, names=["k", "doc", "seq", "digest", "group", "hint"])
+
+
+#: What `_firsts` gives: k, doc, seq, digest, hint and the first occurrence's fdoc, fseq, fhint.
+_MET = ["k", "doc", "seq", "digest", "hint", "fdoc", "fseq", "fhint"]
+
+
+def _firsts(batches):
+    """Of candidates sorted by (k, doc, seq): those after the first with the first, rows that tell a group's first, and the rows that wait for them."""
     held = None  # the first occurrence of the digest that the last batch ended with
     for batch in batches:
-        known = pc.is_valid(batch.column(1))
-        found = batch.filter(known)
+        waits = pc.is_valid(batch.column(3))
+        found = batch.filter(waits)
         if found.num_rows:
-            yield found.select(names)
-        batch = batch.filter(pc.invert(known))
+            key = _waiting_key(found.column(3).to_numpy().view(np.uint64), found.column(4).to_numpy())
+            none = pa.nulls(found.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), found.column(1), found.column(2), found.column(3), found.column(5), pa.nulls(found.num_rows, found.column(1).type), none, none], names=_MET)
+        batch = batch.filter(pc.invert(waits))
+        kept = held.num_rows if held is not None else 0
         if held is not None:
             batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(held.columns, batch.columns, strict=True)], schema=batch.schema)
         if not batch.num_rows:
@@ -189,137 +231,238 @@ def _repeats(batches):
         head = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
         held = batch.slice(int(head[-1]), 1)
         head_of = np.repeat(head, np.diff(np.append(head, len(digest))))
-        later = np.flatnonzero(head_of != np.arange(len(digest)))
+        fresh = np.arange(len(digest)) >= kept  # not the held row, which has been through this
+        at = np.flatnonzero(fresh & pc.is_valid(batch.column(4)).to_numpy(zero_copy_only=False))
+        if len(at):
+            first = batch.take(pa.array(head_of[at]))
+            key = _waiting_key(digest[at].view(np.uint64), batch.column(4).take(pa.array(at)).to_numpy())
+            arrays = [pa.array(key.view(np.int64)), first.column(1), pa.array(np.full(len(at), TELLS, np.int32)), pa.array(digest[at]), first.column(5), first.column(1), first.column(2), first.column(5)]
+            yield pa.RecordBatch.from_arrays(arrays, names=_MET)
+        later = np.flatnonzero(fresh & (head_of != np.arange(len(digest))))
         if not len(later):
             continue
         own, first = batch.take(pa.array(later)), batch.take(pa.array(head_of[later]))
-        same = _same(own.column(2), first.column(2)) & _same(own.column(3), first.column(3))
-        arrays = [own.column(2), own.column(3), own.column(0), first.column(4), first.column(5)]
-        yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(~same))
-
-
-def _line_spans(units: Units, lines: Lines, row: int, flags: list[dict], chars: np.ndarray) -> list[tuple[int, int]]:
-    """The spans of one row's repeated lines with their newlines, in code points."""
-    lo, hi = lines.first[row], lines.first[row + 1]
-    zero, size = units.offsets[row], units.offsets[row + 1]
-    out = []
-    for number, digest in sorted({(f["seq"] - LINE, f["digest"] & (1 << 64) - 1) for f in flags if f["seq"] < 0}):
-        k = lo + number
-        if k < hi and int(lines.digest[k]) == digest:
-            out.append((int(chars[lines.starts[k]] - chars[zero]), int(chars[min(lines.ends[k] + 1, size)] - chars[zero])))
-    return out
-
-
-def removed_spans(units: Units, row: int, flags: list[dict], chars: np.ndarray, lines: Lines | None = None) -> list[tuple[int, int]]:
-    """The spans of one row that go, in code points, given its repeated units and lines."""
-    spans = _run_spans(units, row, [f for f in flags if f["seq"] >= 0], chars)
-    if lines is None:
-        return spans
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans + _line_spans(units, lines, row, flags, chars)):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _run_spans(units: Units, row: int, flags: list[dict], chars: np.ndarray) -> list[tuple[int, int]]:
-    """The spans of one row's runs of repeated units."""
-    lo, hi = units.first_unit[row], units.first_unit[row + 1]
-    if lo == hi or not flags:
-        return []
-    seq, digest, before, after = (np.array([f[name] for f in flags], np.int64) for name in ("seq", "digest", "before", "after"))
-    fits = seq < hi - lo
-    seq, digest, before, after = seq[fits], digest[fits].view(np.uint64), before[fits].view(np.uint64), after[fits].view(np.uint64)
-    fits = units.digest[lo + seq] == digest  # a row that repeats a doc_id with another text has flags of its own
-    seq, before, after = seq[fits], before[fits], after[fits]
-    seq, at = np.unique(seq, return_index=True)
-    before, after = before[at], after[at]
-    if not len(seq):
-        return []
-    cuts = np.flatnonzero(np.diff(seq) != 1) + 1
-    first_word, last_word = units.first[row], units.first[row + 1]
-    out = []
-    zero, size = units.offsets[row], units.offsets[row + 1]
-    near = units.contexts(lo + seq)
-    back, ahead = _matching(near[0], before), _matching(near[1], after)
-    floor = first_word
-    for a, b in zip(np.append(0, cuts), np.append(cuts, len(seq)), strict=True):
-        begin, end = units.begin[lo + seq[a]], units.end[lo + seq[b - 1]]
-        begin = max(floor, begin - int(back[a]))
-        end = min(last_word, end + int(ahead[b - 1]))
-        if begin >= end:  # the run before has grown over it
-            continue
-        whole = units.line_start[begin] and (end == last_word or units.line_start[end])
-        if end - begin < (MIN_LINE_WORDS if whole else MIN_WORDS):
+        other = pa.array(~(_same(own.column(1), first.column(1)) & _same(own.column(2), first.column(2))))
+        spread = tk.mix(digest[later].view(np.uint64) + np.arange(len(later), dtype=np.uint64)).view(np.int64)
+        arrays = [pa.array(spread), own.column(1), own.column(2), own.column(0), own.column(5), first.column(1), first.column(2), first.column(5)]
+        yield pa.RecordBatch.from_arrays(arrays, names=_MET).filter(other)
+
+
+#: A repeat: its words, whether the word before and that after may equal those beside its first occurrence, and that place.
+_FLAG = ["doc", "seq", "digest", "words", "back", "ahead", "fdoc", "fseq"]
+
+
+def _settled(batches):
+    """Repeats with their first occurrences, from what `_firsts` gives sorted by (k, seq): rows that wait take what the row before them tells."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(held.columns, batch.columns, strict=True)], schema=batch.schema)
+        if not batch.num_rows:
             continue
-        floor = end
-        start_byte = units.starts[begin]
-        if end < last_word and not units.line_start[end]:
-            end_byte = units.starts[end]
-        else:
-            k = np.searchsorted(units.newlines, units.ends[end - 1])
-            line_end = min(int(units.newlines[k]), size) if k < len(units.newlines) else size
-            end_byte = min(line_end + 1, size) if whole else line_end
-        if out and chars[start_byte] - chars[zero] <= out[-1][1]:
-            out[-1] = (out[-1][0], int(chars[end_byte] - chars[zero]))
-        else:
-            out.append((int(chars[start_byte] - chars[zero]), int(chars[end_byte] - chars[zero])))
-    return out
-
-
-def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", whole_lines: bool = False) -> DataFrame:
+        seq = batch.column(2).to_numpy()
+        tells = seq == TELLS
+        last = np.maximum.accumulate(np.where(tells, np.arange(len(seq)), -1))
+        held = batch.slice(int(last[-1]), 1) if last[-1] >= 0 else None
+        known = pc.is_valid(batch.column(6)).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(~tells)
+        source = np.where(known[rows], rows, last[rows])
+        own, first = batch.take(pa.array(rows)), batch.take(pa.array(source))
+        hint, other = own.column(4).to_numpy(), first.column(7).to_numpy()
+        arrays = [own.column(1), own.column(2), own.column(3), pa.array(hint >> 16), pa.array((hint >> 8 & 255) == (other >> 8 & 255)), pa.array((hint & 255) == (other & 255)), first.column(5), first.column(6)]
+        yield pa.RecordBatch.from_arrays(arrays, names=_FLAG)
+
+
+def _contexts(batches, text: str):
+    """(ask, words): the hashes of the words beside asked units, from documents whose last column lists (seq, digest, side, ask)."""
+    for batch in tk.slices(batches, text):
+        units = Units(batch.column(batch.schema.get_field_index(text)))
+        asked = batch.column(batch.num_columns - 1)
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+        seq, digest, side, ask = asked.flatten().flatten()
+        at, fits = units.found(row, seq.to_numpy(), digest.to_numpy().view(np.uint64))
+        at, row, side, ask = at[fits], row[fits], side.to_numpy()[fits], ask.to_numpy()[fits]
+        for step, places in ((-1, units.begin), (1, units.end)):
+            mine = side == step
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ask[mine]), _packed(units.beside(places[at[mine]], row[mine], step))], names=["ask", "words"])
+
+
+def _packed(hashes: np.ndarray) -> pa.Array:
+    """Rows of 64-bit numbers as binary values."""
+    n, width = hashes.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (8 * width)).tobytes()), pa.py_buffer(np.ascontiguousarray(hashes).tobytes())])
+
+
+def _equal_words(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The number of equal words in each row, counted from the nearest; 0 is no word."""
+    differ = (own != other) | (own == 0)
+    return np.where(differ.any(1), differ.argmax(1), CONTEXT)
+
+
+def removed_spans(units: Units, lines: Lines | None, row: np.ndarray, flags: list[np.ndarray], min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of a slice that go, ascending and apart.
+
+    `flags` has for each entry seq, digest, opens (a run begins), side and, as
+    (n, CONTEXT) hashes, the words beside the first occurrence. side 0 marks a
+    repeat, -1 and 1 tell the words before and after a unit's first occurrence.
+    """
+    seq, digest, opens, side, words = flags
+    at, fits = units.found(row, seq, digest)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    repeats = np.flatnonzero(fits & (side == 0))
+    if len(repeats):
+        order = repeats[np.lexsort((~opens[repeats], at[repeats]))]
+        unit = at[order]
+        once = np.append(True, unit[1:] != unit[:-1])
+        unit, open_ = unit[once], opens[order][once]
+        breaks = np.append(True, (unit[1:] != unit[:-1] + 1) | open_[1:] | (units.unit_row[unit[1:]] != units.unit_row[unit[:-1]]))
+        first = np.flatnonzero(breaks)
+        head, tail = unit[first], unit[np.append(first[1:], len(unit)) - 1]
+        begin, end, of_row = units.begin[head], units.end[tail], units.unit_row[head]
+        for step, ends_of, places in ((-1, head, begin), (1, tail, end)):
+            told = np.flatnonzero(fits & (side == step))
+            if not len(told):
+                continue
+            told = told[np.lexsort((*words[told].T[::-1], at[told]))]  # of several answers the least
+            told = told[np.append(True, at[told][1:] != at[told][:-1])]
+            k = np.minimum(np.searchsorted(at[told], ends_of), len(told) - 1)
+            more = np.where(at[told][k] == ends_of, _equal_words(units.beside(places, of_row, step), words[told[k]]), 0)
+            if step < 0:
+                begin = begin - more
+            else:
+                end = end + more
+        last_word = units.first[of_row + 1]
+        to_line_end = (end == last_word) | units.line_start[np.minimum(end, len(units.words) - 1)]
+        whole = units.line_start[begin] & to_line_end
+        goes = (end - begin >= min_words) | (whole & (end - begin >= min_line_words))
+        begin, end, of_row, to_line_end, whole, last_word = (x[goes] for x in (begin, end, of_row, to_line_end, whole, last_word))
+        size = units.offsets[of_row + 1]
+        k = np.searchsorted(units.newlines, units.ends[end - 1])
+        line_end = np.minimum(np.append(units.newlines, len(units.data))[k], size)
+        line_end = np.where(whole, np.minimum(line_end + 1, size), line_end)
+        starts.append(units.starts[begin])
+        ends.append(np.where(to_line_end, line_end, units.starts[np.minimum(end, len(units.words) - 1)]))
+    if lines is not None:
+        k = lines.first[row] + (seq - LINE)
+        mine = (seq < 0) & (side == 0)
+        mine &= k < lines.first[row + 1]
+        k = np.unique(k[mine][lines.digest[k[mine]] == digest[mine]])
+        starts.append(lines.starts[k])
+        ends.append(np.minimum(lines.ends[k] + 1, units.offsets[lines.row[k] + 1]))
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    order = np.lexsort((end, start))
+    start, end = start[order], end[order]
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    # ranges of two rows don't join, though the rows' bytes meet
+    of_row = np.searchsorted(units.offsets, start, "right")
+    new = np.append(True, (start[1:] > reach[:-1]) | (of_row[1:] != of_row[:-1]))
+    return start[new], reach[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
+
+
+def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", whole_lines: bool = False) -> DataFrame:
+    """(doc, seq, digest, words, back, ahead, fdoc, fseq): the later occurrences of units (seq from 0) and lines (seq below 0), and the first ones."""
+    kind = docs.schema[doc_id].dataType
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    field = lambda n, k: T.StructField(n, k)
+    candidate = T.StructType([field("k", T.LongType()), field("doc", kind), field("seq", T.IntegerType()), field("digest", T.LongType()), field("group", T.LongType()), field("hint", T.IntegerType())])
+    met = T.StructType([*[candidate[n] for n in ("k", "doc", "seq", "digest", "hint")], field("fdoc", kind), field("fseq", T.IntegerType()), field("fhint", T.IntegerType())])
+    flag = T.StructType([*[candidate[n] for n in ("doc", "seq", "digest")], field("words", T.IntegerType()), field("back", T.BooleanType()), field("ahead", T.BooleanType()), met["fdoc"], met["fseq"]])
+    found = docs.select(doc_id, text).mapInArrow(lambda b: _candidates(b, text, whole_lines), candidate)
+    first = found.repartition(partitions, "k").sortWithinPartitions("k", "doc", "seq").mapInArrow(_firsts, met)
+    return first.repartition(partitions, "k").sortWithinPartitions("k", "seq").mapInArrow(_settled, flag)
+
+
+def _runs(found: DataFrame, least: int) -> DataFrame:
+    """Repeats of units by runs: opens and closes mark their ends; runs that can't have `least` words are left out."""
+    of_doc = Window.partitionBy("doc").orderBy("seq", "digest")
+    follows = F.lag("fdoc").over(of_doc).eqNullSafe(F.col("fdoc")) & (F.lag("seq").over(of_doc) == F.col("seq") - 1) & (F.lag("fseq").over(of_doc) == F.col("fseq") - 1)
+    units = found.filter("seq >= 0").withColumn("opens", ~F.coalesce(follows, F.lit(False)))
+    units = units.withColumn("run", F.sum(F.col("opens").cast("int")).over(of_doc)).withColumn("closes", F.coalesce(F.lead("opens").over(of_doc), F.lit(True)))
+    of_run = Window.partitionBy("doc", "run")
+    most = F.sum("words").over(of_run) + CONTEXT * (F.max(F.col("opens") & F.col("back")).over(of_run).cast("int") + F.max(F.col("closes") & F.col("ahead")).over(of_run).cast("int"))
+    return units.withColumn("most", most).filter(F.col("most") >= least)
+
+
+def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", whole_lines: bool = False, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """`docs` without repeated substrings: `text` loses them, `removed` has their spans in the original.
 
-    `whole_lines` also removes every line that equals an earlier one in its words
-    (lines without words: in all that isn't white space), of any length.
+    Runs of `min_words` words that stand earlier, word for word, go wherever
+    they are, and whole lines from `min_line_words` words on. `whole_lines` also
+    removes every line that equals an earlier one in its words (lines without
+    words: in all that isn't white space), of any length. Parts of lines of
+    fewer than `min_words` words stay.
     Adds removed (array of [start, end) code-point offsets in the original
     text) and n_units. Null texts stay null and empty ones empty. Rows that
     repeat a doc_id with the same text are the same document: none of them
     counts as the other's repeat. Null doc_ids rank first. Of equal units the
     one of the smallest doc_id stays, then the first in the text. An empty
-    table gives an empty one. Input columns of the added names are replaced.
+    table gives an empty one. Input columns of the added names are replaced;
+    others may have any name. A text is worked on as a whole, with about 60
+    bytes of memory for each of its bytes.
     """
-    spark = docs.sparkSession
-    base = docs.drop("removed", "n_units", "_flags", "_doc")
-    kind = base.schema[doc_id].dataType
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidate = T.StructType([T.StructField("k", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("doc", kind), T.StructField("seq", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("after", T.LongType())])
-    found = base.select(doc_id, text).mapInArrow(lambda b: _candidates(b, text, whole_lines), candidate)
-    found = found.repartition(partitions, "k").sortWithinPartitions("k", "doc", "seq")
-    repeats = found.mapInArrow(_repeats, T.StructType([candidate[n] for n in ("doc", "seq", "digest", "before", "after")]))
-    flags = repeats.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("seq", "digest", "before", "after")).alias("_flags"))
-    joined = base.join(flags, F.col(doc_id).eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    base = docs.drop("removed", "n_units")
+    flags_name, id_name = tk.fresh(base.columns, "flags", "id")
+    found = repeats(base, text=text, doc_id=doc_id, whole_lines=whole_lines)
+    runs = _runs(found, min(min_words, min_line_words))
+    sides = lambda a, b: F.array_compact(F.array(F.when(F.col(a), F.lit(-1)), F.when(F.col(b), F.lit(1))))
+    ends = runs.select("doc", "seq", "digest", "fdoc", "fseq", F.explode(sides("opens", "closes")).alias("side")).withColumn("ask", F.xxhash64("digest", "side"))
+    asked = ends.groupBy("fdoc").agg(F.collect_set(F.struct(F.col("fseq").alias("seq"), "digest", "side", "ask")).alias(flags_name)).withColumnRenamed("fdoc", id_name)
+    columns = [F.col(f"`{c}`") for c in base.columns]
+    # documents meet the questions and the answers by one key, so that they are shuffled once
+    on = F.col(f"`{doc_id}`").eqNullSafe(F.col(id_name))
+    told = base.join(asked, on).select(*columns, flags_name).mapInArrow(lambda b: _contexts(b, text), "ask long, words binary")
+    none = F.lit(None).cast("binary")
+    answers = ends.select("doc", "seq", "digest", "side", "ask").join(told, "ask").select("doc", "seq", "digest", F.lit(False).alias("opens"), "side", "words")
+    flags = runs.select("doc", "seq", "digest", "opens", F.lit(0).alias("side"), none.alias("words")).unionByName(answers)
+    if whole_lines:
+        flags = flags.unionByName(found.filter("seq < 0").select("doc", "seq", "digest", F.lit(True).alias("opens"), F.lit(0).alias("side"), none.alias("words")))
+    flags = flags.groupBy(F.col("doc").alias(id_name)).agg(F.collect_list(F.struct("seq", "digest", "opens", "side", "words")).alias(flags_name))
+    joined = base.join(flags, on, "left").select(*columns, flags_name)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*base.schema.fields, T.StructField("removed", spans), T.StructField("n_units", T.LongType())])
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches):
         for batch in tk.slices(batches, text):
             k = batch.schema.get_field_index(text)
             units = Units(batch.column(k))
-            chars = tk.char_index(units.data)
-            texts, removed = batch.column(k), [[]] * batch.num_rows
+            texts = batch.column(k)
+            removed = pa.array([[]] * batch.num_rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             flagged = batch.column(batch.num_columns - 1)
-            rows = np.flatnonzero(pc.is_valid(flagged).to_numpy(zero_copy_only=False)).tolist()
-            if rows:
-                texts = texts.to_pylist()
-                lines = units.lines() if whole_lines else None
-                for row in rows:
-                    spans = removed_spans(units, row, flagged[row].as_py(), chars, lines)
-                    removed[row] = [{"start": a, "end": b} for a, b in spans]
-                    out, at = [], 0
-                    for a, b in spans:
-                        out.append(texts[row][at:a])
-                        at = b
-                    if spans:
-                        texts[row] = "".join([*out, texts[row][at:]])
-                texts = pa.array(texts, batch.schema.field(k).type)
+            entries = flagged.flatten()
+            if len(entries):
+                row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(flagged), 0).to_numpy(zero_copy_only=False))
+                seq, digest, opens, side, words = entries.flatten()
+                beside = np.zeros((len(entries), CONTEXT), np.uint64)
+                has = np.flatnonzero(pc.is_valid(words).to_numpy(zero_copy_only=False))
+                beside[has] = np.frombuffer(b"".join(words.take(pa.array(has)).to_pylist()), np.uint64).reshape(-1, CONTEXT)
+                parts = [seq.to_numpy().astype(np.int64), digest.to_numpy().view(np.uint64), opens.to_numpy(zero_copy_only=False).astype(bool), side.to_numpy(), beside]
+                start, end = removed_spans(units, units.lines() if whole_lines else None, row, parts, min_words, min_line_words)
+                texts, removed = _without(units, texts, start, end)
             arrays = [texts if i == k else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, span_type), pa.array(np.diff(units.first_unit), pa.int64())], names=schema.names)
-
-    return joined.select(*[F.col(f"`{c}`") for c in base.columns], "_flags").mapInArrow(apply, schema)
+            yield pa.RecordBatch.from_arrays([*arrays, removed, pa.array(np.diff(units.first_unit), pa.int64())], names=schema.names)
+
+    return joined.mapInArrow(apply, schema)
+
+
+def _without(units: Units, texts, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Texts without the byte ranges, and the ranges of each as code points."""
+    stays = np.zeros(len(units.data) + 1, np.int64)
+    np.add.at(stays, start, 1)
+    np.add.at(stays, end, -1)
+    stays = np.cumsum(stays[:-1]) == 0
+    left = np.zeros(len(units.data) + 1, np.int64)
+    np.cumsum(stays, out=left[1:])
+    offsets = left[units.offsets]
+    valid = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+    out = pa.Array.from_buffers(pa.large_string(), len(texts), [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(units.data[stays].tobytes())]).cast(texts.type)
+    chars = tk.char_index(units.data)
+    row = np.searchsorted(units.offsets, start, "right") - 1
+    zero = chars[units.offsets[row]]
+    spans = pa.StructArray.from_arrays([pa.array(chars[start] - zero), pa.array(chars[end] - zero)], ["start", "end"])
+    return out, pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)), spans)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,8 +76,9 @@ def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a slice has about `limit` bytes of `column` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a slice has about `limit` bytes of `column` (one row at least; SLICE_BYTES by default)."""
+    limit = limit or SLICE_BYTES
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -117,3 +118,16 @@ def char_index(data: np.ndarray) -> np.ndarray:
 def rows_of(first: np.ndarray, n: int) -> np.ndarray:
     """The row of each of n words, from each row's first word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first)) if n else np.zeros(0, np.int64)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for internal columns that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        name = "_" + name
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
