@@ -153,7 +153,7 @@ def brute_dedup(rows, whole_lines=True, least=20, least_line=8):
             first_line.setdefault(key, (d, k))
     out = {}
     for d, (doc, text, words, units, lines) in enumerate(docs):
-        goes = [(a, b) for k, (key, a, b) in enumerate(lines) if whole_lines and first_line[key] != (d, k)]
+        goes = [(a, b) for k, (key, a, b) in enumerate(lines) if (whole_lines or (key[0] and len(key) >= least_line)) and first_line[key] != (d, k)]
         k = 0
         while k < len(units):
             if first[units[k][0]] == (d, k):
@@ -175,7 +175,7 @@ def brute_dedup(rows, whole_lines=True, least=20, least_line=8):
                 end, b = end + 1, b + 1
             opens = begin == 0 or words[begin - 1][3] != words[begin][3]
             closes = end == len(words) or words[end - 1][3] != words[end][3]
-            if end - begin >= least or (opens and closes and end - begin >= least_line):
+            if end - begin >= least:
                 stop = words[end - 1][3] if closes else words[end][1]
                 goes.append((words[begin][1], min(stop + 1, len(text)) if opens and closes else stop))
             k += n

@@ -8,13 +8,12 @@ lower-cased), hashed, and their digests grouped globally; the occurrence that
 ranks earliest by (doc_id, place in the document) stays, and each later one
 knows it. A unit alone may repeat by chance, so units go in runs: neighbours
 whose first occurrences are neighbours as well. The ends of a run are moved
-outwards over the words that equal those beside the first occurrence (compared
-by 64-bit hashes, CONTEXT of them on either side), and the run goes if it has
-MIN_WORDS words or more, or is whole lines of MIN_LINE_WORDS or more. So a
-removed run is a sequence of words that stands earlier in the corpus, word for
-word. With `whole_lines`, as the queries have it, every later occurrence of an
-equal line goes too, whatever its length. Removed spans keep their offsets in
-the original text.
+outwards over the words that equal those beside the first occurrence (CONTEXT
+of them on either side), and the run goes if it has MIN_WORDS words or more: a
+sequence of words that stands earlier in the corpus, word for word. Lines are
+hashed as a whole too, and later occurrences of an equal line go from
+MIN_LINE_WORDS words on or, as the queries have it, at any length. Removed spans
+keep their offsets in the original text.
 
 A frequent digest sends one row from each task to the global grouping; its other
 rows wait under a key of their own task and learn the first occurrence from that
@@ -40,10 +39,12 @@ from . import textkit as tk
 REACH = 2
 #: Words of a run of repeated units that is removed wherever it stands.
 MIN_WORDS = 20
-#: Words of a run that is removed if it is whole lines.
+#: Words of a whole line that is removed if an earlier line equals it.
 MIN_LINE_WORDS = 8
-#: Words beside a first occurrence that the end of a run is compared with.
+#: Words beside a first occurrence that the end of a run is compared with, by 32 bits of their hashes.
 CONTEXT = 16
+#: A unit is known by a byte of the hash of so many words on either side: where it differs, fewer of them are equal.
+NEAR = 6
 #: Added to a line's number to tell it from a unit's.
 LINE = -(1 << 31) + 1
 #: The seq of a row that tells a task's waiting rows the first occurrence.
@@ -85,22 +86,23 @@ class Units:
         self.seq = np.arange(len(self.begin)) - self.first_unit[self.unit_row]
 
     def hints(self) -> np.ndarray:
-        """Of each unit its words (16 bits) and a byte of the hash of the word before and of that after (0 beyond the row)."""
-        n = len(self.words)
+        """Of each unit its words (16 bits) and a byte of the NEAR words before and of those after, 0 where the row has fewer."""
         if not len(self.begin):
             return np.zeros(0, np.int32)
-        mark = (self.words >> np.uint64(56)).astype(np.int32)
+        out = np.minimum(self.end - self.begin, 0x7FFF).astype(np.int32) << 16
         first, last = self.first[self.unit_row], self.first[self.unit_row + 1]
-        before = np.where(self.begin > first, mark[np.maximum(self.begin - 1, 0)], 0)
-        after = np.where(self.end < last, mark[np.minimum(self.end, n - 1)], 0)
-        return (np.minimum(self.end - self.begin, 0x7FFF).astype(np.int32) << 16) | (before << 8) | after
+        for shift, low, high in ((8, self.begin - NEAR, self.begin), (0, self.end, self.end + NEAR)):
+            at = np.flatnonzero((low >= first) & (high <= last))
+            mark = (tk.ranges_hash(self.words, low[at], high[at]) >> np.uint64(56)).astype(np.int32)
+            out[at] |= np.maximum(mark, 1) << shift
+        return out
 
     def beside(self, at: np.ndarray, row: np.ndarray, step: int) -> np.ndarray:
-        """Hashes of the CONTEXT words before (step -1) or from (step 1) the word places `at`, the nearest first; 0 beyond the row."""
+        """32 bits of the hashes of the CONTEXT words before (step -1) or from (step 1) the word places `at`, the nearest first; 0 beyond the row."""
         first, last = self.first[row], self.first[row + 1]
         places = (at + (step < 0) * step)[:, None] + step * np.arange(CONTEXT)
         inside = (places >= first[:, None]) & (places < last[:, None])
-        return np.where(inside, self.words[np.clip(places, 0, max(0, len(self.words) - 1))], np.uint64(0))
+        return np.where(inside, self.words[np.clip(places, 0, max(0, len(self.words) - 1))], np.uint64(0)).astype(np.uint32)
 
     def found(self, row: np.ndarray, seq: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The units that (row, seq) name, and whether they are there with that digest."""
@@ -130,18 +132,19 @@ class Units:
         if len(bare):
             digest[bare] = tk.mix(tk.ranges_hash(data[tk.NON_SPACE[data]], solid[starts[bare]], solid[ends[bare]]) ^ np.uint64(0x14057B7EF767814F))
         first = np.searchsorted(row, np.arange(len(offsets)))
-        return Lines(starts, ends, row, digest, first)
+        return Lines(starts, ends, row, digest, first, b - a)
 
 
 @dataclass
 class Lines:
-    """Lines by their bytes [start, end), their rows and digests, and each row's first."""
+    """Lines by their bytes [start, end), their rows, digests and numbers of words, and each row's first."""
 
     starts: np.ndarray
     ends: np.ndarray
     row: np.ndarray
     digest: np.ndarray
     first: np.ndarray
+    words: np.ndarray
 
 
 def _same(a, b) -> np.ndarray:
@@ -154,8 +157,8 @@ def _waiting_key(digest: np.ndarray, group: np.ndarray) -> np.ndarray:
     return tk.mix(digest ^ tk.mix(group.astype(np.uint64)))
 
 
-def _candidates(batches, text: str, whole_lines: bool):
-    """(k, doc, seq, digest, group, hint) of all units and, if asked for, lines.
+def _candidates(batches, text: str, min_line_words: int):
+    """(k, doc, seq, digest, group, hint) of all units and of lines of so many words or more.
 
     A row without a digest is a candidate and k is its digest; its group, if it
     has one, is what later occurrences in this task wait under. Those have
@@ -167,11 +170,11 @@ def _candidates(batches, text: str, whole_lines: bool):
     for number, batch in enumerate(tk.slices(batches, text)):
         units = Units(batch.column(1))
         digests, rows, seqs, hints = units.digest, units.unit_row, units.seq, units.hints()
-        if whole_lines:
-            lines = units.lines()
-            digests, rows = np.concatenate([digests, lines.digest]), np.concatenate([rows, lines.row])
-            seqs = np.concatenate([seqs, np.arange(len(lines.row)) - lines.first[lines.row] + LINE])
-            hints = np.concatenate([hints, np.zeros(len(lines.row), np.int32)])
+        lines = units.lines()
+        at = np.flatnonzero(lines.words >= min_line_words)
+        digests, rows = np.concatenate([digests, lines.digest[at]]), np.concatenate([rows, lines.row[at]])
+        seqs = np.concatenate([seqs, at - lines.first[lines.row[at]] + LINE])
+        hints = np.concatenate([hints, np.zeros(len(at), np.int32)])
         n = len(digests)
         if not n:
             continue
@@ -211,13 +214,16 @@ def _candidates(batches, text: str, whole_lines: bool):
 _MET = ["k", "doc", "seq", "digest", "hint", "fdoc", "fseq", "fhint"]
 
 
-def _firsts(batches):
-    """Of candidates sorted by (k, doc, seq): those after the first with the first, rows that tell a group's first, and the rows that wait for them."""
+def _firsts(batches, waiting: bool):
+    """Of candidates sorted by (k, doc, seq): those after the first, with the first.
+
+    With `waiting` instead rows that tell a group's first, and the rows that wait for them.
+    """
     held = None  # the first occurrence of the digest that the last batch ended with
     for batch in batches:
         waits = pc.is_valid(batch.column(3))
         found = batch.filter(waits)
-        if found.num_rows:
+        if waiting and found.num_rows:
             key = _waiting_key(found.column(3).to_numpy().view(np.uint64), found.column(4).to_numpy())
             none = pa.nulls(found.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), found.column(1), found.column(2), found.column(3), found.column(5), pa.nulls(found.num_rows, found.column(1).type), none, none], names=_MET)
@@ -233,27 +239,22 @@ def _firsts(batches):
         head_of = np.repeat(head, np.diff(np.append(head, len(digest))))
         fresh = np.arange(len(digest)) >= kept  # not the held row, which has been through this
         at = np.flatnonzero(fresh & pc.is_valid(batch.column(4)).to_numpy(zero_copy_only=False))
-        if len(at):
+        if waiting and len(at):
             first = batch.take(pa.array(head_of[at]))
             key = _waiting_key(digest[at].view(np.uint64), batch.column(4).take(pa.array(at)).to_numpy())
             arrays = [pa.array(key.view(np.int64)), first.column(1), pa.array(np.full(len(at), TELLS, np.int32)), pa.array(digest[at]), first.column(5), first.column(1), first.column(2), first.column(5)]
             yield pa.RecordBatch.from_arrays(arrays, names=_MET)
         later = np.flatnonzero(fresh & (head_of != np.arange(len(digest))))
-        if not len(later):
+        if waiting or not len(later):
             continue
         own, first = batch.take(pa.array(later)), batch.take(pa.array(head_of[later]))
         other = pa.array(~(_same(own.column(1), first.column(1)) & _same(own.column(2), first.column(2))))
-        spread = tk.mix(digest[later].view(np.uint64) + np.arange(len(later), dtype=np.uint64)).view(np.int64)
-        arrays = [pa.array(spread), own.column(1), own.column(2), own.column(0), own.column(5), first.column(1), first.column(2), first.column(5)]
+        arrays = [own.column(0), own.column(1), own.column(2), own.column(0), own.column(5), first.column(1), first.column(2), first.column(5)]
         yield pa.RecordBatch.from_arrays(arrays, names=_MET).filter(other)
 
 
-#: A repeat: its words, whether the word before and that after may equal those beside its first occurrence, and that place.
-_FLAG = ["doc", "seq", "digest", "words", "back", "ahead", "fdoc", "fseq"]
-
-
 def _settled(batches):
-    """Repeats with their first occurrences, from what `_firsts` gives sorted by (k, seq): rows that wait take what the row before them tells."""
+    """Rows that wait, with the first occurrence, from what `_firsts` gives sorted by (k, seq): they take what the row before them tells."""
     held = None
     for batch in batches:
         if held is not None:
@@ -264,13 +265,9 @@ def _settled(batches):
         tells = seq == TELLS
         last = np.maximum.accumulate(np.where(tells, np.arange(len(seq)), -1))
         held = batch.slice(int(last[-1]), 1) if last[-1] >= 0 else None
-        known = pc.is_valid(batch.column(6)).to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(~tells)
-        source = np.where(known[rows], rows, last[rows])
-        own, first = batch.take(pa.array(rows)), batch.take(pa.array(source))
-        hint, other = own.column(4).to_numpy(), first.column(7).to_numpy()
-        arrays = [own.column(1), own.column(2), own.column(3), pa.array(hint >> 16), pa.array((hint >> 8 & 255) == (other >> 8 & 255)), pa.array((hint & 255) == (other & 255)), first.column(5), first.column(6)]
-        yield pa.RecordBatch.from_arrays(arrays, names=_FLAG)
+        own, first = batch.take(pa.array(rows)), batch.take(pa.array(last[rows]))
+        yield pa.RecordBatch.from_arrays([*own.columns[:5], *first.columns[5:]], names=_MET)
 
 
 def _contexts(batches, text: str):
@@ -289,9 +286,9 @@ def _contexts(batches, text: str):
 
 
 def _packed(hashes: np.ndarray) -> pa.Array:
-    """Rows of 64-bit numbers as binary values."""
+    """Rows of numbers as binary values."""
     n, width = hashes.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (8 * width)).tobytes()), pa.py_buffer(np.ascontiguousarray(hashes).tobytes())])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (hashes.itemsize * width)).tobytes()), pa.py_buffer(np.ascontiguousarray(hashes).tobytes())])
 
 
 def _equal_words(own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -300,7 +297,7 @@ def _equal_words(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), CONTEXT)
 
 
-def removed_spans(units: Units, lines: Lines | None, row: np.ndarray, flags: list[np.ndarray], min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def removed_spans(units: Units, lines: Lines, row: np.ndarray, flags: list[np.ndarray], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of a slice that go, ascending and apart.
 
     `flags` has for each entry seq, digest, opens (a run begins), side and, as
@@ -335,7 +332,7 @@ def removed_spans(units: Units, lines: Lines | None, row: np.ndarray, flags: lis
         last_word = units.first[of_row + 1]
         to_line_end = (end == last_word) | units.line_start[np.minimum(end, len(units.words) - 1)]
         whole = units.line_start[begin] & to_line_end
-        goes = (end - begin >= min_words) | (whole & (end - begin >= min_line_words))
+        goes = end - begin >= min_words
         begin, end, of_row, to_line_end, whole, last_word = (x[goes] for x in (begin, end, of_row, to_line_end, whole, last_word))
         size = units.offsets[of_row + 1]
         k = np.searchsorted(units.newlines, units.ends[end - 1])
@@ -343,13 +340,11 @@ def removed_spans(units: Units, lines: Lines | None, row: np.ndarray, flags: lis
         line_end = np.where(whole, np.minimum(line_end + 1, size), line_end)
         starts.append(units.starts[begin])
         ends.append(np.where(to_line_end, line_end, units.starts[np.minimum(end, len(units.words) - 1)]))
-    if lines is not None:
-        k = lines.first[row] + (seq - LINE)
-        mine = (seq < 0) & (side == 0)
-        mine &= k < lines.first[row + 1]
-        k = np.unique(k[mine][lines.digest[k[mine]] == digest[mine]])
-        starts.append(lines.starts[k])
-        ends.append(np.minimum(lines.ends[k] + 1, units.offsets[lines.row[k] + 1]))
+    k = lines.first[row] + (seq - LINE)
+    mine = (seq < 0) & (side == 0) & (k < lines.first[row + 1])
+    k = np.unique(k[mine][lines.digest[k[mine]] == digest[mine]])
+    starts.append(lines.starts[k])
+    ends.append(np.minimum(lines.ends[k] + 1, units.offsets[lines.row[k] + 1]))
     start, end = np.concatenate(starts), np.concatenate(ends)
     order = np.lexsort((end, start))
     start, end = start[order], end[order]
@@ -362,37 +357,56 @@ def removed_spans(units: Units, lines: Lines | None, row: np.ndarray, flags: lis
     return start[new], reach[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
 
 
-def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", whole_lines: bool = False) -> DataFrame:
-    """(doc, seq, digest, words, back, ahead, fdoc, fseq): the later occurrences of units (seq from 0) and lines (seq below 0), and the first ones."""
+def _key(column: str, kind: T.DataType) -> list:
+    """Two columns that are equal where `column` is, nulls too; a null-safe join compares the same."""
+    c = F.col(f"`{column}`")
+    filled = F.coalesce(c, F.lit(0).cast(kind)) if isinstance(kind, T.NumericType) else F.coalesce(c.cast("string"), F.lit(""))
+    return [filled, F.isnull(c)]
+
+
+def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """The later occurrences of units (seq from 0) and lines (seq below 0), each with its first.
+
+    doc and no_doc are the key of the document, fdoc and no_fdoc that of the
+    first occurrence's, seq and fseq the places. words counts a unit's; back and
+    ahead tell whether NEAR words or more before and after it may be equal.
+    """
     kind = docs.schema[doc_id].dataType
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     field = lambda n, k: T.StructField(n, k)
     candidate = T.StructType([field("k", T.LongType()), field("doc", kind), field("seq", T.IntegerType()), field("digest", T.LongType()), field("group", T.LongType()), field("hint", T.IntegerType())])
     met = T.StructType([*[candidate[n] for n in ("k", "doc", "seq", "digest", "hint")], field("fdoc", kind), field("fseq", T.IntegerType()), field("fhint", T.IntegerType())])
-    flag = T.StructType([*[candidate[n] for n in ("doc", "seq", "digest")], field("words", T.IntegerType()), field("back", T.BooleanType()), field("ahead", T.BooleanType()), met["fdoc"], met["fseq"]])
-    found = docs.select(doc_id, text).mapInArrow(lambda b: _candidates(b, text, whole_lines), candidate)
-    first = found.repartition(partitions, "k").sortWithinPartitions("k", "doc", "seq").mapInArrow(_firsts, met)
-    return first.repartition(partitions, "k").sortWithinPartitions("k", "seq").mapInArrow(_settled, flag)
+    found = docs.select(doc_id, text).mapInArrow(lambda b: _candidates(b, text, min_line_words), candidate)
+    dealt = found.repartition(partitions, "k").sortWithinPartitions("k", "doc", "seq")
+    waiting = dealt.mapInArrow(lambda b: _firsts(b, True), met).repartition(partitions, "k").sortWithinPartitions("k", "seq").mapInArrow(_settled, met)
+    out = dealt.mapInArrow(lambda b: _firsts(b, False), met).unionByName(waiting)
+    (doc, no_doc), (fdoc, no_fdoc) = _key("doc", kind), _key("fdoc", kind)
+    mark = lambda c, by: F.shiftright(c, by).bitwiseAND(F.lit(255))
+    alike = lambda by: (mark("hint", by) != 0) & (mark("hint", by) == mark("fhint", by))
+    return out.select(doc.alias("doc"), no_doc.alias("no_doc"), "seq", "digest", F.shiftright("hint", 16).alias("words"), alike(8).alias("back"), alike(0).alias("ahead"), fdoc.alias("fdoc"), no_fdoc.alias("no_fdoc"), "fseq")
 
 
 def _runs(found: DataFrame, least: int) -> DataFrame:
-    """Repeats of units by runs: opens and closes mark their ends; runs that can't have `least` words are left out."""
-    of_doc = Window.partitionBy("doc").orderBy("seq", "digest")
-    follows = F.lag("fdoc").over(of_doc).eqNullSafe(F.col("fdoc")) & (F.lag("seq").over(of_doc) == F.col("seq") - 1) & (F.lag("fseq").over(of_doc) == F.col("fseq") - 1)
-    units = found.filter("seq >= 0").withColumn("opens", ~F.coalesce(follows, F.lit(False)))
-    units = units.withColumn("run", F.sum(F.col("opens").cast("int")).over(of_doc)).withColumn("closes", F.coalesce(F.lead("opens").over(of_doc), F.lit(True)))
-    of_run = Window.partitionBy("doc", "run")
-    most = F.sum("words").over(of_run) + CONTEXT * (F.max(F.col("opens") & F.col("back")).over(of_run).cast("int") + F.max(F.col("closes") & F.col("ahead")).over(of_run).cast("int"))
-    return units.withColumn("most", most).filter(F.col("most") >= least)
+    """Repeats by runs: opens and closes mark their ends; runs of units that can't have `least` words are left out."""
+    key = ["doc", "no_doc"]
+    of_doc = Window.partitionBy(*key).orderBy("seq", "digest")
+    before = lambda c: F.lag(c).over(of_doc)
+    follows = (before("fdoc") == F.col("fdoc")) & (before("no_fdoc") == F.col("no_fdoc")) & (before("seq") == F.col("seq") - 1) & (before("fseq") == F.col("fseq") - 1)
+    rows = found.withColumn("opens", ~F.coalesce(follows, F.lit(False)))
+    rows = rows.withColumn("run", F.sum(F.col("opens").cast("int")).over(of_doc)).withColumn("closes", F.coalesce(F.lead("opens").over(of_doc), F.lit(True)))
+    of_run = Window.partitionBy(*key, "run")
+    more = lambda end, alike: F.when(F.max(F.col(end) & F.col(alike)).over(of_run), F.lit(CONTEXT)).otherwise(F.lit(NEAR - 1))
+    rows = rows.withColumn("most", F.sum("words").over(of_run) + more("opens", "back") + more("closes", "ahead"))
+    return rows.filter((F.col("most") >= least) | (F.col("seq") < 0))
 
 
 def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", whole_lines: bool = False, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """`docs` without repeated substrings: `text` loses them, `removed` has their spans in the original.
 
     Runs of `min_words` words that stand earlier, word for word, go wherever
-    they are, and whole lines from `min_line_words` words on. `whole_lines` also
-    removes every line that equals an earlier one in its words (lines without
-    words: in all that isn't white space), of any length. Parts of lines of
+    they are, and whole lines from `min_line_words` words on that equal an
+    earlier line in their words. `whole_lines` removes equal lines of any length
+    (those without words: equal in all that isn't white space). Other parts of
     fewer than `min_words` words stay.
     Adds removed (array of [start, end) code-point offsets in the original
     text) and n_units. Null texts stay null and empty ones empty. Rows that
@@ -404,23 +418,23 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     bytes of memory for each of its bytes.
     """
     base = docs.drop("removed", "n_units")
-    flags_name, id_name = tk.fresh(base.columns, "flags", "id")
-    found = repeats(base, text=text, doc_id=doc_id, whole_lines=whole_lines)
-    runs = _runs(found, min(min_words, min_line_words))
-    sides = lambda a, b: F.array_compact(F.array(F.when(F.col(a), F.lit(-1)), F.when(F.col(b), F.lit(1))))
-    ends = runs.select("doc", "seq", "digest", "fdoc", "fseq", F.explode(sides("opens", "closes")).alias("side")).withColumn("ask", F.xxhash64("digest", "side"))
-    asked = ends.groupBy("fdoc").agg(F.collect_set(F.struct(F.col("fseq").alias("seq"), "digest", "side", "ask")).alias(flags_name)).withColumnRenamed("fdoc", id_name)
+    flags_name, asked_name, id_name, no_id = tk.fresh(base.columns, "flags", "asked", "id", "no_id")
+    key, kind = ["doc", "no_doc"], base.schema[doc_id].dataType
+    runs = _runs(repeats(base, text=text, doc_id=doc_id, min_line_words=0 if whole_lines else min_line_words), min_words)
+    sides = F.array_compact(F.array(F.when(F.col("opens"), F.lit(-1)), F.when(F.col("closes"), F.lit(1))))
+    ends = runs.filter("seq >= 0").select(*key, "seq", "digest", "fdoc", "no_fdoc", "fseq", F.explode(sides).alias("side")).withColumn("ask", F.xxhash64("digest", "side"))
+    asked = ends.groupBy(F.col("fdoc").alias(id_name), F.col("no_fdoc").alias(no_id)).agg(F.collect_set(F.struct(F.col("fseq").alias("seq"), "digest", "side", "ask")).alias(asked_name))
     columns = [F.col(f"`{c}`") for c in base.columns]
     # documents meet the questions and the answers by one key, so that they are shuffled once
-    on = F.col(f"`{doc_id}`").eqNullSafe(F.col(id_name))
-    told = base.join(asked, on).select(*columns, flags_name).mapInArrow(lambda b: _contexts(b, text), "ask long, words binary")
-    none = F.lit(None).cast("binary")
-    answers = ends.select("doc", "seq", "digest", "side", "ask").join(told, "ask").select("doc", "seq", "digest", F.lit(False).alias("opens"), "side", "words")
-    flags = runs.select("doc", "seq", "digest", "opens", F.lit(0).alias("side"), none.alias("words")).unionByName(answers)
-    if whole_lines:
-        flags = flags.unionByName(found.filter("seq < 0").select("doc", "seq", "digest", F.lit(True).alias("opens"), F.lit(0).alias("side"), none.alias("words")))
-    flags = flags.groupBy(F.col("doc").alias(id_name)).agg(F.collect_list(F.struct("seq", "digest", "opens", "side", "words")).alias(flags_name))
-    joined = base.join(flags, on, "left").select(*columns, flags_name)
+    own = _key(doc_id, kind)
+    on = (own[0] == F.col(id_name)) & (own[1] == F.col(no_id))
+    told = base.join(asked, on).select(*columns, asked_name).mapInArrow(lambda b: _contexts(b, text), "ask long, words binary")
+    answers = ends.select(*key, "seq", "digest", "side", "ask").join(told, "ask")
+    answers = answers.groupBy(F.col("doc").alias(id_name), F.col("no_doc").alias(no_id)).agg(F.collect_list(F.struct("seq", "digest", F.lit(False).alias("opens"), "side", "words")).alias(asked_name))
+    none = F.lit(None).cast("binary").alias("words")
+    flags = runs.groupBy(F.col("doc").alias(id_name), F.col("no_doc").alias(no_id)).agg(F.collect_list(F.struct("seq", "digest", "opens", F.lit(0).alias("side"), none)).alias(flags_name))
+    entries = F.when(F.col(asked_name).isNull(), F.col(flags_name)).otherwise(F.concat(flags_name, asked_name))
+    joined = base.join(flags, on, "left").drop(id_name, no_id).join(answers, on, "left").select(*columns, entries.alias(flags_name))
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*base.schema.fields, T.StructField("removed", spans), T.StructField("n_units", T.LongType())])
 
@@ -435,11 +449,11 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
             if len(entries):
                 row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(flagged), 0).to_numpy(zero_copy_only=False))
                 seq, digest, opens, side, words = entries.flatten()
-                beside = np.zeros((len(entries), CONTEXT), np.uint64)
+                beside = np.zeros((len(entries), CONTEXT), np.uint32)
                 has = np.flatnonzero(pc.is_valid(words).to_numpy(zero_copy_only=False))
-                beside[has] = np.frombuffer(b"".join(words.take(pa.array(has)).to_pylist()), np.uint64).reshape(-1, CONTEXT)
+                beside[has] = np.frombuffer(b"".join(words.take(pa.array(has)).to_pylist()), np.uint32).reshape(-1, CONTEXT)
                 parts = [seq.to_numpy().astype(np.int64), digest.to_numpy().view(np.uint64), opens.to_numpy(zero_copy_only=False).astype(bool), side.to_numpy(), beside]
-                start, end = removed_spans(units, units.lines() if whole_lines else None, row, parts, min_words, min_line_words)
+                start, end = removed_spans(units, units.lines(), row, parts, min_words)
                 texts, removed = _without(units, texts, start, end)
             arrays = [texts if i == k else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, removed, pa.array(np.diff(units.first_unit), pa.int64())], names=schema.names)
