@@ -493,72 +493,14 @@ def test_near_dedup_edges(spark):
 # --- 6 ---
 
 
-def test_probabilities_sum_to_one(spark):
-    rng = np.random.default_rng(3)
-    texts = ["".join(rng.choice(list("abc d."), 400)) for _ in range(60)]
-    fitted = kneser_ney.fit(table(spark, texts))
-    assert set(fitted) == {"en", kneser_ney.ALL}
-    m = kneser_ney.compiled(fitted["en"])
-    assert np.allclose(np.exp(m.top.astype(float)).sum(1), 1, atol=1e-3)
-    assert np.allclose(np.exp(m.lower.astype(float)).reshape(-1, kneser_ney.SYMBOLS).sum(1), 1, atol=1e-3)
-
-
-def brute_kneser_ney(texts, order=kneser_ney.ORDER):
-    """Interpolated modified Kneser-Ney by plain dictionaries over symbol tuples."""
-    table = kneser_ney.symbol_table()
-    levels = [collections.Counter()]
-    for t in texts:
-        s = [kneser_ney.START] * (order - 1) + [int(table[ord(c)]) for c in t]
-        for i in range(order - 1, len(s)):
-            levels[0][tuple(s[i - order + 1 : i + 1])] += 1
+def brute_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over bytes by plain dictionaries: the log probability of a text, and p."""
+    order = kneser_ney.ORDER
+    pad = lambda t: bytes(order - 1) + t.encode()
+    levels = [collections.Counter(s[i - order + 1 : i + 1] for s in map(pad, texts) for i in range(order - 1, len(s)))]
     for _ in range(order - 1):
         levels.append(collections.Counter(g[1:] for g in levels[-1]))
     stats = []
-    for c in levels:
-        n = [sum(1 for v in c.values() if v == k) for k in range(5)]
-        y = n[1] / max(n[1] + 2 * n[2], 1)
-        d = [0] + [max(0.1 * k, min(k - 0.1, k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[1] else k / 2)) for k in (1, 2, 3)]
-        totals, kinds = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0, 0])
-        for g, v in c.items():
-            totals[g[:-1]] += v
-            kinds[g[:-1]][min(v, 3)] += 1
-        stats.append((c, d, totals, kinds))
-
-    def p(g, level=0):
-        if level == order:
-            return 1 / kneser_ney.SYMBOLS
-        c, d, totals, kinds = stats[level]
-        if g[:-1] not in totals:
-            return p(g[1:], level + 1)
-        own = c.get(g, 0)
-        gamma = sum(d[k] * kinds[g[:-1]][k] for k in (1, 2, 3)) / totals[g[:-1]]
-        return max(own - d[min(own, 3)], 0) / totals[g[:-1]] + gamma * p(g[1:], level + 1)
-
-    def perplexity(t):
-        s = [kneser_ney.START] * (order - 1) + [int(table[ord(c)]) for c in t]
-        return np.exp(-np.mean([np.log(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))]))
-
-    return perplexity
-
-
-def test_perplexity_is_that_of_plain_dictionaries(spark):
-    rng = np.random.default_rng(8)
-    texts = ["".join(rng.choice(list("abcde  .é"), 500)) for _ in range(50)]
-    queries = ["abc de", "zzz", "é" * 5, *texts[:3], None, ""]
-    fitted = kneser_ney.fit(table(spark, texts))
-    out = {r["doc_id"]: r["perplexity"] for r in kneser_ney.scored(table(spark, queries), fitted).collect()}
-    brute = brute_kneser_ney(texts)
-    for i, q in enumerate(queries):
-        assert out[i] is None if not q else np.isclose(out[i], brute(q), rtol=1e-4)
-
-
-def brute_words(texts):
-    """Interpolated modified Kneser-Ney over words by plain dictionaries."""
-    split = lambda t: ["<", "<", *t.split()]
-    levels = [collections.Counter(tuple(s[i - 2 : i + 1]) for s in map(split, texts) for i in range(2, len(s)))]
-    for _ in range(2):
-        levels.append(collections.Counter(g[1:] for g in levels[-1]))
-    stats = []
     for c in levels:
         n = [sum(v == k for v in c.values()) for k in range(5)]
         y = n[1] / max(n[1] + 2 * n[2], 1)
@@ -570,32 +512,52 @@ def brute_words(texts):
         stats.append((c, d, totals, gamma))
 
     def p(g, level=0):
-        if level == 3:
-            return 1 / (len(levels[2]) + 1)
+        if level == order:
+            return 1 / 256
         c, d, totals, gamma = stats[level]
         if g[:-1] not in totals:
             return p(g[1:], level + 1)
         return (max(c[g] - d[min(c[g], 3)], 0) + gamma[g[:-1]] * p(g[1:], level + 1)) / totals[g[:-1]]
 
-    return lambda t: sum(np.log(p(tuple(s[i - 2 : i + 1]))) for s in [split(t)] for i in range(2, len(s)))
+    return lambda t: sum(np.log(p(s[i - order + 1 : i + 1])) for s in [pad(t)] for i in range(order - 1, len(s))), p
 
 
-def test_words_are_scored_as_by_plain_dictionaries(spark):
-    rng = np.random.default_rng(9)
-    words = ["река", "reka", "река́", "日", "本", "été", "ete", "the", "x1"]
-    texts = [" ".join(rng.choice(words, 12)) for _ in range(30)]
-    queries = [*texts[:3], "река reka неизвестно", "the the the 本 日", "un known", "", None]
-    rows = lambda values: spark.createDataFrame([(7, t, i) for i, t in enumerate(values)], "m long, text string, row long")
-    model = kneser_ney.fit_words(rows(texts))
-    out = {r["row"]: r["log_sum"] for r in kneser_ney.scored_words(rows(queries), model).collect()}
-    brute = brute_words(texts)
-    for i, q in enumerate(queries):
-        assert out[i] is None if not q else np.isclose(out[i], brute(q), rtol=1e-6)
+def test_plain_dictionaries_sum_to_one():
+    _, p = brute_kneser_ney(["abc abd", "ab cab", "日本"])
+    for context in (b"abc ", b"xxxx", b"\0\0ab"):
+        assert np.isclose(sum(p(context + bytes([k])) for k in range(256)), 1)
 
 
-def test_accents_and_scripts_are_told_apart(spark):
-    keys, first = kneser_ney.word_grams(["é è", "日本 ж"], np.zeros(2, np.uint64), kneser_ney.word_kinds())
-    assert first.tolist() == [0, 2, 5] and len(set(keys["w"].tolist())) == 5
+@pytest.mark.parametrize("bucket_bytes", [kneser_ney.BUCKET_BYTES, 1 << 11])
+def test_perplexity_and_verdicts_are_those_of_plain_dictionaries(spark, bucket_bytes):
+    rng = np.random.default_rng(8)
+    rows, trusted = [], []
+    for i in range(240):
+        lang = [None, "de", "en", "zh", "xx"][i % 5]
+        letters = {"de": "abcdeß ", "en": "abcde .", "zh": "日本語文 ", "xx": "xyz ", None: "nop "}[lang]
+        t = "".join(rng.choice(list(letters), int(rng.integers(20, 150))))
+        rows.append((i, t, lang))
+        if i % 3 and lang != "xx":
+            trusted.append(i)
+    rows += [(300, None, "en"), (301, "", "en"), (302, "QQQQ#### " * 20, "en"), (303, "hi", "en"), (None, "abc de" * 20, "en"), (3, rows[3][1], rows[3][2]), (304, "日本" * 60, "de")]
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(7, 0), (302, 0), (None, 1)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    hold = {r["id"] for r in spark.range(400).filter(F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(kneser_ney.HOLD_OUT)) == 0).collect()}
+    good = [r for r in rows if r[0] in set(trusted) - {7}]
+    models = {name: brute_kneser_ney([t for i, t, lang in good if i not in hold and name in (lang, kneser_ney.ALL)])[0] for name in ("de", "en", "zh", kneser_ney.ALL)}
+    of = lambda lang: lang if lang in models else kneser_ney.ALL
+    perplexity = lambda t, lang: np.exp(-models[of(lang)](t) / len(t.encode())) if t else None
+    held = [(of(lang), perplexity(t, lang)) for i, t, lang in good if i in hold and len(t) >= kneser_ney.MIN_CHARS]
+    quantile = lambda v: sorted(v)[max(0, int(np.ceil(kneser_ney.QUANTILE * len(v))) - 1)]
+    out = {(r["doc_id"], r["lang"]): r for r in kneser_ney.judged(df, labels, bucket_bytes=bucket_bytes).collect()}
+    assert len(out) == len(rows) - 1
+    for i, t, lang in rows:
+        own, r = perplexity(t, lang), out[i, lang]
+        limit = kneser_ney.SLACK * quantile([x for n, x in held if n == of(lang)] or [x for _, x in held])
+        assert r["n_bytes"] == len((t or "").encode()) and r["n_chars_scored"] == len(t or "")
+        assert (r["perplexity"] is None) if own is None else np.isclose(r["perplexity"], own, rtol=1e-5)
+        assert np.isclose(r["threshold"], limit, rtol=1e-5)
+        assert r["kept"] == (bool(t) and (len(t) < kneser_ney.MIN_CHARS or own <= limit))
 
 
 def test_any_number_of_languages_has_models(spark):
@@ -616,6 +578,9 @@ def test_classifier_keeps_trusted_kind(spark):
     assert sum(out[i] for i in range(120)) >= 118 and not any(out[i] for i in range(120, 125))
     assert (out[125], out[126], out[127]) == (False, False, True)
     assert kneser_ney.judged(df.limit(0), labels).collect() == []
+    named = df.selectExpr("doc_id", "text", "lang", "1 AS row", "2 AS bucket", "3 AS held", "4 AS low", "5 AS Name", "6 AS kept")
+    odd = kneser_ney.judged(named, labels)
+    assert odd.columns[:7] == ["doc_id", "lang", "row", "bucket", "held", "low", "Name"] and {tuple(r)[2:7] for r in odd.collect()} == {(1, 2, 3, 4, 5)}
     unlabelled = kneser_ney.judged(df, labels.limit(0))
     assert unlabelled.filter("kept").count() == 126
 

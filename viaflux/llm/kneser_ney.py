@@ -1,23 +1,27 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-Documents are judged by a model over words in full code points (`judged`). Its
-table grows with the trusted text and is never gathered in one place: counts,
-discounts and contexts are joined on sharded keys, and each document's n-grams
-are joined with the table, whose answers are summed to its perplexity. A
-document is kept if that isn't above a quantile of the trusted documents of its
-language.
-
-`fit`, `compiled` and `scored` are a small model over characters folded to 64
-symbols (`SYMBOLS`), which isn't used to judge.
+The signs are the bytes of the text, so every script is modelled and nothing is
+folded; an n-gram of ORDER bytes is a number. A model is trained on the trusted
+texts of each language but a part of them that is held out, and a document is
+kept if its perplexity isn't above a quantile of the held-out trusted documents
+of its language.
+
+Documents and labels are dealt to buckets of a fixed amount of text, once. Each
+bucket counts its trusted n-grams, and counts are joined in shards. The shard of
+an n-gram goes by its inner bytes, so an n-gram, its context, its suffix and the
+suffix's context meet in one shard, and the counts of the two highest orders
+need no other data. Lower orders have as many n-grams as there are short byte
+strings and are one table for each language. To score, each bucket asks the
+shards for its distinct n-grams, is answered with what the two highest orders
+give, and sums its documents. Neither the model nor the corpus is ever gathered
+in one place; the number of shards grows with the text.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,403 +29,375 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .session import cut
 
-ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
-START = 1
-#: Trusted characters that a language needs for a model of its own; others use the model of all trusted text.
-MIN_TRUSTED = 20_000
-#: Languages with a model of their own, those with most trusted text first. Bounds what is sent to tasks.
-MAX_LANGUAGES = 32
+#: Bytes of an n-gram.
+ORDER = 5
+#: Bytes of text in a bucket, and there are as many shards as buckets.
+BUCKET_BYTES = 48 << 20
+#: One of so many trusted documents is held out of training to find the threshold.
+HOLD_OUT = 10
 QUANTILE = 0.995
-#: Allowance over the quantile, as the trusted texts were also trained on.
+#: Allowance over the quantile, as it is one of a sample.
 SLACK = 1.1
 #: Documents of fewer characters aren't judged.
 MIN_CHARS = 60
+#: The model of all languages, for texts of others.
 ALL = "\x00all"
+#: Buckets that a copy of a language's table of lower orders serves.
+SERVED = 16
+_INNER = np.int64((1 << 8 * (ORDER - 2)) - 1)
 
 
-def symbol_table() -> np.ndarray:
-    """The symbol of each code point: letters a-z, classes of other ASCII, and buckets of the rest by residue."""
-    table = np.zeros(0x110000, np.uint8)
-    table[0x80:] = 38 + np.arange(0x80, 0x110000) % (SYMBOLS - 38)
-    for k in range(26):
-        table[ord("a") + k] = 2 + k
-    table[ord("A") : ord("Z") + 1] = 28
-    table[ord("0") : ord("9") + 1] = 29
-    for symbol, characters in enumerate([" ", "\n\t\r", ".", ",", "!?;:", "'\"`", "-()[]{}", "#$%&*+/<=>@\\^_|~"], 30):
-        for c in characters:
-            table[ord(c)] = symbol
-    return table
-
-
-def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the ORDER-grams that end at each character (starts are padded), and each text's first."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    symbols = table[points].astype(np.uint32)
-    codes = symbols.copy()
-    since = np.arange(len(symbols)) - np.repeat(first[:-1], lengths)
+def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The ORDER bytes that end at each byte as a number, the last lowest; before a row stand zeros."""
+    out = data.astype(np.int64)
+    since = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     for back in range(1, ORDER):
-        before = np.full(len(symbols), START, np.uint32)
-        before[back:] = symbols[:-back] if back else symbols
-        codes |= np.where(since >= back, before, START).astype(np.uint32) << np.uint32(BITS * back)
-    return codes, first
-
-
-def _count(batches, text: str, lang: str):
-    """(lang, gram, n) of a task's texts, as few rows as its memory allows; every text also counts for ALL."""
-    table = symbol_table()
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def flush():
-        for name, (codes, n) in held.items():
-            for at in range(0, len(codes), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes[part]), pa.string()), pa.array(codes[part].astype(np.int64)), pa.array(n[part])], names=["lang", "gram", "n"])
-        held.clear()
-
-    for batch in tk.slices(batches, text):
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for name in set(langs):
-            codes, _ = grams([t or "" for t, x in zip(texts, langs, strict=True) if x == name], table)
-            codes, n = np.unique(codes, return_counts=True)
-            for key in {name, ALL} - {None}:
-                if key in held:
-                    both = np.concatenate([held[key][0], codes])
-                    merged, at = np.unique(both, return_inverse=True)
-                    held[key] = merged, np.bincount(at, np.concatenate([held[key][1], n])).astype(np.int64)
-                else:
-                    held[key] = codes, n.astype(np.int64)
-        if sum(len(c) for c, _ in held.values()) > 4_000_000:
-            yield from flush()
-    yield from flush()
-
-
-@dataclass
-class Model:
-    """Dense log probabilities: by order, and rows for the seen contexts of the highest."""
-
-    row: np.ndarray  # context -> row of `top`, -1 if unseen
-    top: np.ndarray
-    lower: np.ndarray  # of order ORDER - 1
-
-    def sums(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log probability of each text."""
-        row = self.row[codes >> BITS]
-        logs = np.where(row >= 0, self.top[row, codes & (SYMBOLS - 1)], self.lower[codes & (SYMBOLS ** (ORDER - 1) - 1)]).astype(np.float64)
-        total = np.concatenate([[0.0], np.cumsum(logs)])
-        return total[first[1:]] - total[first[:-1]]
-
-
-def compiled(parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-    """A model from (grams, discounted parts, contexts, left weights) of each order, interpolated from below."""
-    p = np.full(1, 1 / SYMBOLS)
-    for order in range(1, ORDER):
-        seen, alpha, contexts, gamma = parts[order]
-        weight = np.ones(SYMBOLS ** (order - 1))
-        weight[contexts] = gamma
-        lower = np.full(SYMBOLS, p[0]) if order == 1 else np.tile(p, SYMBOLS).reshape(-1, SYMBOLS).ravel()
-        p = lower * np.repeat(weight, SYMBOLS)
-        p[seen] += alpha
-    seen, alpha, contexts, gamma = parts[ORDER]
-    contexts, at = np.unique(contexts, return_index=True)
-    row = np.full(SYMBOLS ** (ORDER - 1), -1, np.int32)
-    row[contexts] = np.arange(len(contexts))
-    suffix = (contexts % SYMBOLS ** (ORDER - 2))[:, None] * SYMBOLS + np.arange(SYMBOLS)
-    top = p[suffix] * gamma[at][:, None]
-    top[row[seen >> BITS], seen & (SYMBOLS - 1)] += alpha
-    return Model(row, np.log(np.maximum(top, 1e-12)).astype(np.float32), np.log(np.maximum(p, 1e-12)).astype(np.float32))
-
-
-def tables(counts: DataFrame) -> DataFrame:
-    """(lang, order, kind, code, value) from counts (lang, gram, n): kind 0 the discounted parts, 1 the left weights.
-
-    Lower orders count the distinct signs before an n-gram. All joins are on
-    (lang, context), by which counts are sharded.
-    """
-    out = []
-    level = counts.select("lang", "gram", F.col("n").cast("long").alias("c"))
-    for order in range(ORDER, 0, -1):
-        if order < ORDER:
-            level = level.groupBy("lang", (F.col("gram") % SYMBOLS**order).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-        few = level.groupBy("lang").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-        d = {k: F.greatest(F.lit(0.1 * k), F.least(F.lit(k - 0.1), F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(k / 2)))) for k in (1, 2, 3)}
-        discounts = few.select("lang", *[d[k].alias(f"d{k}") for k in d])
-        keyed = level.withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("long"))
-        contexts = keyed.groupBy("lang", "context").agg(F.sum("c").alias("total"), *[F.count_if((F.col("c") == k) if k < 3 else (F.col("c") >= 3)).alias(f"m{k}") for k in (1, 2, 3)])
-        contexts = contexts.join(discounts, "lang")
-        left = reduce(lambda a, b: a + b, [F.col(f"d{k}") * F.col(f"m{k}") for k in (1, 2, 3)]) / F.col("total")
-        own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = keyed.join(contexts, ["lang", "context"])
-        out.append(seen.select("lang", F.lit(order).alias("order"), F.lit(0).alias("kind"), F.col("gram").alias("code"), ((F.col("c") - own) / F.col("total")).alias("value")))
-        out.append(contexts.select("lang", F.lit(order).alias("order"), F.lit(1).alias("kind"), F.col("context").alias("code"), left.alias("value")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def fit(trusted: DataFrame, *, text: str = "text", lang: str = "lang") -> dict[str, dict]:
-    """The tables of each language with enough trusted text, and of ALL."""
-    counts = cut(trusted.select(text, lang).mapInArrow(lambda b: _count(b, text, lang), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).filter((F.col("n") >= MIN_TRUSTED) | (F.col("lang") == ALL))
-    chosen = sizes.orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES + 1).select("lang")
-    table = tables(counts.join(chosen, "lang", "left_semi")).toArrow()
-    names, order, kind = table.column("lang").to_numpy(), table.column("order").to_numpy(), table.column("kind").to_numpy()
-    code, value = table.column("code").to_numpy(), table.column("value").to_numpy()
-    out: dict[str, dict] = {}
-    for name in sorted(set(names.tolist())):
-        parts = {}
-        for k in range(1, ORDER + 1):
-            a, b = (names == name) & (order == k) & (kind == 0), (names == name) & (order == k) & (kind == 1)
-            parts[k] = code[a].astype(np.uint32), value[a], code[b].astype(np.uint32), value[b]
-        out[name] = parts
+        before = np.zeros(len(data), np.int64)
+        before[back:] = data[:-back] if len(data) > back else 0
+        out |= np.where(since >= back, before, 0) << (8 * back)
     return out
 
 
-def scored(docs: DataFrame, fitted: dict[str, dict], *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """`docs` without the text, with n_chars_scored and perplexity of each whole text (null without characters or model)."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    kept = [c for c in docs.columns if c not in (text, "n_chars_scored", "perplexity")]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("n_chars_scored", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-
-    def run(batches):
-        table = symbol_table()
-        models = {k: compiled(v) for k, v in shared.value.items()}
-        for batch in tk.slices(batches, text, 1 << 20):
-            texts = [t or "" for t in batch.column(batch.num_columns - 2).to_pylist()]
-            langs = batch.column(batch.num_columns - 1).to_pylist()
-            lengths = np.array([len(t) for t in texts], np.int64)
-            logs = np.full(len(texts), np.nan)
-            for name in {x if x in models else ALL for x in langs} & set(models):
-                rows = [i for i, x in enumerate(langs) if (x if x in models else ALL) == name]
-                logs[rows] = models[name].sums(*grams([texts[i] for i in rows], table))
-            fine = (lengths > 0) & ~np.isnan(logs)
-            value = np.exp(-logs / np.maximum(lengths, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lengths), pa.array(value, mask=~fine)], names=schema.names)
-
-    return docs.select(*[f"`{c}`" for c in kept], F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInArrow(lambda b: run(_renamed(b, text)), schema)
-
-
-def _renamed(batches, text: str):
-    for b in batches:
-        names = [*b.schema.names[:-2], text, "_lang"]
-        yield pa.RecordBatch.from_arrays(b.columns, names=names)
-
-
-#: Words of the n-grams that documents are judged by.
-WORD_ORDER = 3
-#: Ranges of code points that are words by themselves, as their scripts put no spaces between words.
-SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xA960, 0xA97F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
-_MODEL_START = np.uint64(0x2545F4914F6CDD1D)
-
-
-def word_kinds() -> np.ndarray:
-    """The kind of each code point: 0 white space, 1 part of a word, 2 a word by itself."""
-    kinds = np.ones(0x110000, np.uint8)
-    kinds[:0x80] = [0 if i <= 32 or i == 127 else 1 if chr(i).isalnum() else 2 for i in range(0x80)]
-    kinds[[0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
-    for low, high in SINGLE:
-        kinds[low : high + 1] = np.where(kinds[low : high + 1] == 0, 0, 2)
-    return kinds
-
-
-def word_grams(texts: list[str], seeds: np.ndarray, kinds: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Keys of the n-grams that end at each word, and each text's first word.
-
-    w is the word, v the one before, g2 both, c3 the two before and g3 all
-    three. Words are taken as they are, in full code points. A key is a 64-bit
-    hash seeded by the model, so keys of two models or orders don't meet.
-    """
-    lengths = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    edge = np.concatenate([[0], np.cumsum(lengths)])
-    kind = kinds[points]
-    begins = kind > 0
-    inner = (kind[1:] == 1) & (kind[:-1] == 1)
-    joint = np.zeros(len(points), bool)
-    joint[1:] = inner
-    joint[edge[:-1][lengths > 0]] = False
-    begins &= ~joint
-    ends = np.zeros(len(points), bool)
-    ends[:-1] = ~joint[1:]
-    ends[-1:] = True
-    ends &= kind > 0
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    first = np.searchsorted(starts, edge)
-    counts = np.diff(first)
-    seed = np.repeat(seeds, counts)
-    w = tk.mix(tk.ranges_hash(points, starts, stops) ^ seed)
-    opening = tk.mix(_MODEL_START ^ seed)
-    since = np.arange(len(w)) - np.repeat(first[:-1], counts)
-    v, u = opening.copy(), opening.copy()
-    v[1:] = np.where(since[1:] >= 1, w[:-1], opening[1:])
-    u[2:] = np.where(since[2:] >= 2, w[:-2], opening[2:])
-    pair = lambda x, y: tk.mix(x * np.uint64(0x9E3779B97F4A7C15) + tk.mix(y + np.uint64(2)))
-    c3 = pair(u, v)
-    return {"g3": pair(c3 + np.uint64(1), w), "g2": pair(v, w), "c3": c3, "v": v, "w": w}, first
-
-
-def _read(batch) -> tuple[list[str], np.ndarray]:
-    """Texts and the models' seeds."""
-    return [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_numpy().view(np.uint64)
-
-
-def _count_words(batches):
-    """(m, g3, g2, c3, v, w, n): the 3-grams of a slice with their counts, from (m, text)."""
-    kinds = word_kinds()
-    for batch in tk.slices(batches, "text"):
-        texts, seeds = _read(batch)
-        keys, first = word_grams(texts, seeds, kinds)
-        _, at, n = np.unique(keys["g3"], return_index=True, return_counts=True)
-        m = np.repeat(seeds, np.diff(first))[at]
-        arrays = [pa.array(m.view(np.int64)), *[pa.array(keys[k][at].view(np.int64)) for k in keys], pa.array(n.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["m", *keys, "n"])
-
-
-def _level(level: DataFrame, context: str | None) -> DataFrame:
-    """Counts c of n-grams with what modified Kneser-Ney needs: alpha, the discounted part, and gamma, what their context leaves.
-
-    Discounts are one row for each model, contexts are joined on their keys.
-    """
-    few = level.groupBy("m").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-    d = {k: F.greatest(F.lit(0.1 * k), F.least(F.lit(k - 0.1), F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(k / 2)))) for k in (1, 2, 3)}
-    on = ["m"] if context is None else ["m", context]
-    sums = [F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), *[F.count_if((F.col("c") == k) if k < 3 else (F.col("c") >= 3)).alias(f"m{k}") for k in (1, 2, 3)]]
-    contexts = level.groupBy(*on).agg(*sums).join(F.broadcast(few.select("m", *[d[k].alias(f"d{k}") for k in d])), "m")
-    gamma = reduce(lambda a, b: a + b, [F.col(f"d{k}") * F.col(f"m{k}") for k in (1, 2, 3)]) / F.col("total")
-    contexts = contexts.select(*on, "total", "kinds", "d1", "d2", "d3", gamma.alias("gamma"))
-    own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    joined = level.join(F.broadcast(contexts) if context is None else contexts, on)
-    return joined.withColumn("alpha", (F.col("c") - own) / F.col("total")).drop("total", "d1", "d2", "d3")
-
-
-def fit_words(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sharded model of (m, text), m the number of each text's model.
-
-    (k, l, b): of each seen n-gram its interpolated log probability and, as a
-    context, the log of what it leaves to the lower order; and (m, unseen), the
-    log probability of a word never seen.
-    """
-    counts = cut(trusted.select("m", "text").mapInArrow(_count_words, "m long, g3 long, g2 long, c3 long, v long, w long, n long").groupBy("m", "g3", "g2", "c3", "v", "w").agg(F.sum("n").alias("c")))
-    two = counts.groupBy("m", "g2", "v", "w").agg(F.count(F.lit(1)).alias("c"))
-    one = two.groupBy("m", "w").agg(F.count(F.lit(1)).alias("c"))
-    one = cut(_level(one, None).withColumn("unseen", F.col("gamma") / (F.col("kinds") + 1)).withColumn("p", F.col("alpha") + F.col("unseen")).select("m", "w", "p", "unseen"))
-    two = cut(_level(two, "v").join(one.select("w", F.col("p").alias("lower")), "w").withColumn("p", F.col("alpha") + F.col("gamma") * F.col("lower")).select("g2", "v", "p", "gamma"))
-    three = cut(_level(counts, "c3").join(two.select("g2", F.col("p").alias("lower")), "g2").withColumn("p", F.col("alpha") + F.col("gamma") * F.col("lower")).select("g3", "c3", "p", "gamma"))
-    none = F.lit(None).cast("double")
-    rows = [x.select(F.col(k).alias("k"), F.log("p").alias("l"), none.alias("b")) for x, k in ((one, "w"), (two, "g2"), (three, "g3"))]
-    rows += [x.select(F.col(k).alias("k"), none.alias("l"), F.log("gamma").alias("b")) for x, k in ((two, "v"), (three, "c3"))]
-    table = reduce(DataFrame.unionByName, rows).groupBy("k").agg(F.max("l").alias("l"), F.max("b").alias("b"))
-    return cut(table), one.groupBy("m").agg(F.log(F.first("unseen")).alias("unseen"))
-
-
-def _ask(batches):
-    """(row, k): the n-grams and contexts of each row, once each, from (m, text, row)."""
-    kinds = word_kinds()
-    for batch in tk.slices(batches, "text", 1 << 20):
-        texts, seeds = _read(batch)
-        keys, first = word_grams(texts, seeds, kinds)
-        row = batch.column(2).to_numpy()
-        for i in range(len(texts)):
-            own = np.unique(np.concatenate([keys[k][first[i] : first[i + 1]] for k in keys]))
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row[i])), pa.array(own.view(np.int64))], names=["row", "k"])
-
-
-def _answer(batches):
-    """(row, log_sum, words) from (m, text, row, unseen, hits)."""
-    kinds = word_kinds()
-    for batch in tk.slices(batches, "text", 1 << 20):
-        texts, seeds = _read(batch)
-        keys, first = word_grams(texts, seeds, kinds)
-        unseen = batch.column(3).to_numpy(zero_copy_only=False)
-        sums = np.full(len(texts), np.nan)
-        for i in range(len(texts)):
-            hits = batch.column(4)[i].values
-            if np.isnan(unseen[i]) or first[i] == first[i + 1]:
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shards of n-grams: those of the same inner bytes meet."""
+    return (tk.mix((keys >> 8 & _INNER).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """D0 to D3 of an order from how many of its n-grams have the counts 1 to 4."""
+    y = n[0] / max(n[0] + 2 * n[1], 1)
+    return np.array([0.0] + [max(0.1 * k, min(k - 0.1, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[0] else k / 2)) for k in (1, 2, 3)])
+
+
+class Level:
+    """n-grams of one order with counts: what each gives after its discount, and what its context leaves."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, d: np.ndarray):
+        self.keys = keys  # ascending
+        context = keys >> 8
+        head = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
+        taken = d[np.minimum(counts, 3)]
+        total = np.add.reduceat(counts, head) if len(keys) else np.zeros(0)
+        self.contexts = context[head]
+        self.gamma = np.add.reduceat(taken, head) / total if len(keys) else np.zeros(0)
+        self.alpha = (counts - taken) / np.repeat(total, np.diff(np.append(head, len(keys)))) if len(keys) else np.zeros(0)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """alpha (0 if unseen) and gamma (1 if the context is unseen) of n-grams."""
+        return _look(self.keys, self.alpha, keys, 0.0), _look(self.contexts, self.gamma, keys >> 8, 1.0)
+
+
+def _look(known: np.ndarray, values: np.ndarray, keys: np.ndarray, otherwise: float) -> np.ndarray:
+    if not len(known):
+        return np.full(len(keys), otherwise)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], otherwise)
+
+
+def _tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts."""
+    if counts is None:
+        found, n = np.unique(keys, return_counts=True)
+        return found, n.astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(counts, head).astype(np.int64) if len(keys) else counts
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Numbers below 2**40, their low 32 bits after their high ones, which compress well."""
+    return (keys >> 32).astype(np.uint8).tobytes() + (keys & 0xFFFFFFFF).astype(np.uint32).tobytes()
+
+
+def _unpack(value: bytes) -> np.ndarray:
+    n = len(value) // 5
+    return np.frombuffer(value, np.uint8, n).astype(np.int64) << 32 | np.frombuffer(value, np.uint32, n, n)
+
+
+class Bucket:
+    """The documents of one bucket, and which of them are trusted."""
+
+    def __init__(self, table: pa.Table):
+        is_doc = table.column("label_of").is_null() if table.num_rows else pa.chunked_array([], pa.bool_())
+        self.docs = table.filter(is_doc)
+        marks = table.filter(pc.invert(is_doc))
+        ids = marks.column("id")
+        bad = ids.filter(pc.equal(marks.column("label_of"), 0))
+        good = ids.filter(pc.equal(marks.column("label_of"), 1))
+        own = self.docs.column("id")
+        trusted = pc.and_(pc.is_in(own, value_set=good, skip_nulls=True), pc.invert(pc.is_in(own, value_set=bad, skip_nulls=True)))
+        # a trusted id is in the value set; a null id never is
+        self.trusted = pc.and_(trusted, pc.is_valid(own)).to_numpy() if self.docs.num_rows else np.zeros(0, bool)
+        self.held = self.docs.column("held").to_numpy() if self.docs.num_rows else np.zeros(0, bool)
+
+    def parts(self, rows: np.ndarray | None = None):
+        """(lang, rows, n-grams of their bytes, each row's first) of slices of documents of one language."""
+        langs = self.docs.column("lang").to_pylist()
+        by_lang: dict = {}
+        for i in range(len(langs)) if rows is None else rows.tolist():
+            by_lang.setdefault(langs[i], []).append(i)
+        text = self.docs.column("text").combine_chunks()
+        size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        for lang, own in by_lang.items():
+            own = np.array(own)
+            ends = np.cumsum(size[own], dtype=np.int64)
+            at = 0
+            while at < len(own):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tk.SLICE_BYTES, "right")))
+                data, offsets = tk.buffer_of(text.take(pa.array(own[at:to])))
+                yield lang, own[at:to], grams(data, offsets), offsets
+                at = to
+
+    def distinct(self, rows: np.ndarray | None = None) -> dict:
+        """Of each language the distinct n-grams with their counts."""
+        out: dict = {}
+        for lang, _, keys, _ in self.parts(rows):
+            keys, counts = _tally(keys)
+            if lang in out:
+                keys, counts = _tally(np.concatenate([out[lang][0], keys]), np.concatenate([out[lang][1], counts]))
+            out[lang] = keys, counts
+        return out
+
+
+_COUNTED = "shard long, lang string, keys binary, counts binary"
+
+
+def _counted(shards: int):
+    """Counts of a bucket's trusted n-grams, a row for each language and shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = Bucket(table)
+        rows = []
+        for lang, (keys, counts) in bucket.distinct(np.flatnonzero(bucket.trusted & ~bucket.held)).items():
+            shard = shard_of(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            rows += [(s, lang, _pack(keys[own]), counts[own].astype(np.uint32).tobytes()) for s in np.flatnonzero(np.diff(edges)).tolist() for own in (order[edges[s] : edges[s + 1]],)]
+        return _table(rows, ["shard", "lang", "keys", "counts"], [pa.int64(), pa.string(), pa.binary(), pa.binary()])
+
+    return run
+
+
+def _table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The counts of a shard by model: those of each language, and of all together."""
+    held: dict[str, list] = {}
+    for shard, lang, keys, counts in zip(*(table.column(c).to_pylist() for c in ("shard", "lang", "keys", "counts")), strict=True):
+        for name in {lang, ALL} - {None}:
+            held.setdefault(name, []).append((_unpack(keys), np.frombuffer(counts, np.uint32).astype(np.int64)))
+    rows = []
+    for name, parts in held.items():
+        keys, counts = _tally(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        rows.append((shard, name, _pack(keys), counts.tobytes()))
+    return _table(rows, ["shard", "name", "keys", "counts"], [pa.int64(), pa.string(), pa.binary(), pa.binary()])
+
+
+def _suffixes(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct suffixes, a byte shorter than `order`, with the number of signs that stand before them."""
+    return _tally(keys & ((1 << 8 * (order - 1)) - 1))
+
+
+def _statistics(batches):
+    """(name, kind, key, n) of shards' counts: of orders 5 and 4 how many have the counts 1 to 4, and the counts of order 3."""
+    for batch in batches:
+        rows = []
+        for name, keys, counts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            keys, counts = _unpack(keys), np.frombuffer(counts, np.int64)
+            for order in (ORDER, ORDER - 1):
+                rows.append((name, np.full(4, order), np.arange(1, 5), np.array([(counts == k).sum() for k in range(1, 5)])))
+                keys, counts = _suffixes(keys, order)
+            rows.append((name, np.full(len(keys), ORDER - 2), keys, counts))
+        if rows:
+            names = pa.array(np.repeat(np.array([r[0] for r in rows], object), [len(r[1]) for r in rows]), pa.string())
+            yield pa.RecordBatch.from_arrays([names, *[pa.array(np.concatenate([r[i] for r in rows]).astype(np.int64)) for i in (1, 2, 3)]], names=["name", "kind", "key", "n"])
+
+
+def _completed(table: pa.Table) -> pa.Table:
+    """A model's discounts of the two highest orders, and its table of the lower ones."""
+    name = table.column("name")[0].as_py()
+    kind, key, n = (table.column(c).to_numpy() for c in ("kind", "key", "n"))
+    high = []
+    for order in (ORDER, ORDER - 1):
+        found = np.zeros(4)
+        np.add.at(found, key[kind == order] - 1, n[kind == order])
+        high.append(discounts(found))
+    keys, counts = _tally(key[kind == ORDER - 2], n[kind == ORDER - 2])
+    parts = []
+    for order in range(ORDER - 2, 0, -1):
+        parts.append(keys.astype(np.uint32).tobytes() + counts.astype(np.int64).tobytes())
+        keys, counts = _suffixes(keys, order)
+    return pa.table([pa.array([name]), pa.array([np.concatenate(high).tolist()], pa.list_(pa.float64())), pa.array([parts], pa.list_(pa.binary()))], names=["name", "d", "low"])
+
+
+class Low:
+    """Probabilities under the lower orders of one model."""
+
+    def __init__(self, parts: list[bytes]):
+        self.levels = []
+        for part in parts:
+            n = len(part) // 12
+            keys, counts = np.frombuffer(part, np.uint32, n).astype(np.int64), np.frombuffer(part[4 * n :], np.int64)
+            self.levels.append(Level(keys, counts, discounts(np.array([(counts == k).sum() for k in range(1, 5)]))))
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        p = np.full(len(keys), 1 / 256)
+        for order, level in zip(range(1, len(self.levels) + 1), self.levels[::-1], strict=True):
+            alpha, gamma = level.of(keys & ((1 << 8 * order) - 1))
+            p = alpha + gamma * p
+        return p
+
+
+_ASKED = "shard long, bucket long, lang string, keys binary"
+
+
+def _in_shards(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending keys by shard, and where each shard begins in it."""
+    shard = shard_of(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _asked(shards: int):
+    """The distinct n-grams of a bucket's documents, a row for each language and shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = []
+        for lang, (keys, _) in Bucket(table).distinct().items():
+            order, edges = _in_shards(keys, shards)
+            rows += [(s, table.column("bucket")[0].as_py(), lang, _pack(keys[order[edges[s] : edges[s + 1]]])) for s in np.flatnonzero(np.diff(edges)).tolist()]
+        return _table(rows, ["shard", "bucket", "lang", "keys"], [pa.int64(), pa.int64(), pa.string(), pa.binary()])
+
+    return run
+
+
+_ANSWERED = "bucket long, lang string, shard long, name string, a binary, g binary"
+
+
+def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """For each asked n-gram a and g: its probability is a + g * p, p that of its last bytes under the lower orders."""
+    names = ["bucket", "lang", "shard", "name", "a", "g"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+    levels = {}
+    none = (b"", b"")
+    seen = {n: (k, c) for n, k, c in zip(*(model.column(x).to_pylist() for x in ("name", "keys", "counts")), strict=True) if k is not None}
+    for name, d in zip(model.column("name").to_pylist(), model.column("d").to_pylist(), strict=True):
+        if d is not None:
+            keys, counts = seen.get(name, none)
+            keys, counts = _unpack(keys), np.frombuffer(counts, np.int64)
+            levels[name] = Level(keys, counts, np.array(d[:4])), Level(*_suffixes(keys, ORDER), np.array(d[4:]))
+    rows = []
+    for bucket, lang, shard, keys in zip(*(asked.column(x).to_pylist() for x in ("bucket", "lang", "shard", "keys")), strict=True):
+        name = lang if lang in levels else ALL
+        if name not in levels:
+            continue
+        high, low = levels[name]
+        keys = _unpack(keys)
+        alpha, gamma = high.of(keys)
+        a, g = low.of(keys & ((1 << 8 * (ORDER - 1)) - 1))
+        rows.append((bucket, lang, shard, name, (alpha + gamma * a).astype(np.float32).tobytes(), (gamma * g).astype(np.float32).tobytes()))
+    return _table(rows, names, kinds)
+
+
+def _scored(shards: int, schema: pa.Schema):
+    """The documents of a bucket with the sums of their log probabilities."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        bucket = Bucket(table)
+        n = bucket.docs.num_rows
+        low, found, name_of = {}, {}, {}
+        for lang, shard, name, a, g, parts in zip(*(answers.column(c).to_pylist() for c in ("lang", "shard", "name", "a", "g", "low")), strict=True):
+            if parts is not None:
+                low[name] = Low(parts)
+            else:
+                found.setdefault(lang, {})[shard] = np.frombuffer(a, np.float32), np.frombuffer(g, np.float32)
+                name_of[lang] = name
+        logs: dict = {}
+        for lang, (keys, _) in bucket.distinct().items():
+            if lang not in found:
                 continue
-            if hits is None or not len(hits):
-                sums[i] = unseen[i] * (first[i + 1] - first[i])
-                continue
-            known = hits.field(0).to_numpy().view(np.uint64)
-            order = np.argsort(known)
-            known = known[order]
-            l, b = (hits.field(k).to_numpy(zero_copy_only=False).astype(np.float64)[order] for k in (1, 2))
-
-            def look(name, values, i=i, known=known):
-                own = keys[name][first[i] : first[i + 1]]
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                return np.where(known[at] == own, values[at], np.nan)
-
-            p = look("w", l)
-            p = np.where(np.isnan(p), unseen[i], p)
-            for gram, context in (("g2", "v"), ("g3", "c3")):
-                seen = look(gram, l)
-                p = np.where(np.isnan(seen), np.nan_to_num(look(context, b)) + p, seen)
-            sums[i] = p.sum()
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sums, mask=np.isnan(sums)), pa.array(np.diff(first))], names=["row", "log_sum", "words"])
-
-
-def scored_words(rows: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(row, log_sum, words) of rows (m, text, row): n-grams meet the model by their keys, and what is found goes back to its row.
-
-    Rows of one number have to be equal. log_sum is null without words or model.
-    """
-    table, unseen = model
-    rows = rows.select("m", "text", "row")
-    hits = rows.mapInArrow(_ask, "row long, k long").join(table.hint("merge"), "k").groupBy("row").agg(F.collect_list(F.struct("k", "l", "b")).alias("hits"))
-    asked = rows.join(F.broadcast(unseen), "m", "left").join(hits.hint("merge"), "row", "left").select("m", "text", "row", F.col("unseen"), "hits")
-    return asked.mapInArrow(_answer, "row long, log_sum double, words long")
-
-
-def judged(docs: DataFrame, labels: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """`docs` without the text, with n_chars_scored, n_words, perplexity (of a word), threshold and kept.
+            order, edges = _in_shards(keys, shards)
+            a, g = (np.concatenate([found[lang][s][i] for s in np.flatnonzero(np.diff(edges)).tolist()]).astype(float) for i in (0, 1))
+            value = np.empty(len(keys))
+            value[order] = np.log(a + g * low[name_of[lang]].of(keys[order] & _INNER))
+            logs[lang] = keys, value
+        sums, size = np.full(n, np.nan), np.zeros(n, np.int64)
+        for lang, rows, keys, offsets in bucket.parts():
+            size[rows] = np.diff(offsets)
+            if lang in logs:
+                known, value = logs[lang]
+                total = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(known, keys)])])
+                sums[rows] = total[offsets[1:]] - total[offsets[:-1]]
+        text = bucket.docs.column("text")
+        chars = pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64())
+        names = [name_of.get(x) for x in bucket.docs.column("lang").to_pylist()]
+        arrays = [bucket.docs.column("row"), pa.array(names, pa.string()), pa.array(bucket.trusted & bucket.held), chars, pa.array(size), pa.array(sums, mask=np.isnan(sums) | (size == 0))]
+        return pa.table(arrays, schema=schema)
+
+    return run
+
+
+def judged(docs: DataFrame, labels: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """`docs` without the text, with n_chars_scored, n_bytes, perplexity (of a byte), threshold and kept.
 
     Trusted are documents labelled 1 (a doc_id labelled both ways isn't). Every
     language with trusted text has a model of its own; null languages and the
-    others use the model of all. As a model knows the words it was trained on,
-    the quantile is that of trusted documents under the model of the other half
-    of them; a language without such values uses the quantile of all.
-    Texts of fewer than MIN_CHARS characters are kept unjudged; those without
-    words have no perplexity and aren't kept. Without any trusted text nothing
-    has a perplexity and all texts with words are kept. Repeated rows count as
-    often as they stand. Input columns of the added names are replaced.
+    others use the model of all. One of HOLD_OUT trusted documents, by a hash of
+    its doc_id, isn't trained on; the threshold is the quantile of those of the
+    language, or of all where it has none, times the slack.
+    Texts of fewer than MIN_CHARS characters are kept unjudged; null and empty
+    texts have no perplexity and aren't kept. Without any trusted text nothing
+    has a perplexity and all other texts are kept. Repeated rows are scored
+    alike and count as often as they stand; rows without a doc_id are never
+    trusted. An empty table gives an empty one. Input columns of the added
+    names are replaced; others may have any name.
     """
-    ids = labels.filter(F.col(label).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("_l")).filter("_l = 1").select(doc_id)
-    base = docs.drop("n_chars_scored", "n_words", "perplexity", "threshold", "kept")
-    # texts meet their labels in a shuffle at any size: labels grow with the corpus, so they aren't broadcast
-    trusted = base.select(F.col(text).alias("text"), F.col(lang).alias("lang"), doc_id).join(ids.hint("merge"), doc_id, "left_semi").filter(F.length("text") > 0)
-    own = trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).filter("lang IS NOT NULL").select(F.col("lang").alias("_own"))
-    half = F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2))
-    number = lambda name, part: F.xxhash64(name, part)
-    whole = F.lit(2).cast("long")
-    names = F.array_compact(F.array(F.col("lang"), F.lit(ALL)))
-    model = fit_words(trusted.withColumn("name", F.explode(names)).withColumn("part", F.explode(F.array(half, whole))).select(number(F.col("name"), F.col("part")).alias("m"), "text"))
-    name = F.coalesce(F.col("_own"), F.lit(ALL))
-    row = F.xxhash64(doc_id, text, lang)
-    known = base.join(F.broadcast(own), F.col(lang) == F.col("_own"), "left")
-    rows = known.select(number(name, whole).alias("m"), F.col(text).alias("text"), row.alias("row"))
-    # a row that stands twice is asked for once: its sums are those of one
-    sums = scored_words(rows, model).groupBy("row").agg(F.max("log_sum").alias("_sum"), F.max("words").alias("n_words"))
+    base = docs.drop("n_chars_scored", "n_bytes", "perplexity", "threshold", "kept")
     kept_columns = [c for c in base.columns if c != text]
-    out = known.select(*[F.col(f"`{c}`") for c in kept_columns], name.alias("_name"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars_scored"), row.alias("row")).join(sums.hint("merge"), "row").drop("row")
-    out = cut(out.withColumn("perplexity", F.exp(-F.col("_sum") / F.col("n_words"))).drop("_sum"))
-    held = trusted.filter(F.length("text") >= MIN_CHARS)
-    held = held.select(number(F.coalesce(F.col("lang"), F.lit(ALL)), 1 - half).alias("m"), "text", F.coalesce(F.col("lang"), F.lit(ALL)).alias("name"), F.xxhash64(doc_id, "text", "lang").alias("row"))
-    marked = held.select("name", "row").join(scored_words(held, model).groupBy("row").agg((-F.max("log_sum") / F.max("words")).alias("x")), "row").filter("x IS NOT NULL")
-    marked = cut(marked.select("name", F.exp("x").alias("perplexity")))
+    size = base.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
+    shards = max(1, -(-size // bucket_bytes))
+    t, i = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(shards))
+    # rows without an id are dealt by their text
+    rows = base.select(
+        F.when(i.isNull(), place(t)).otherwise(place(i)).alias("bucket"), F.lit(None).cast("int").alias("label_of"), i.alias("id"), t.alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"),
+        (F.pmod(F.xxhash64(F.lit("held"), i), F.lit(HOLD_OUT)) == 0).alias("held"), F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row"),
+    )
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    mark = F.col(f"`{label}`")
+    marks = labels.filter(mark.isNotNull()).select(F.col(f"`{doc_id}`").cast(kinds["id"]).alias("id"), (mark == 1).cast("int").alias("label_of")).filter("id IS NOT NULL")
+    marks = marks.select(place(F.col("id")).alias("bucket"), "label_of", "id", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("text", "lang", "held", "row")])
+    # one shuffle deals texts and labels for counting, asking and scoring
+    dealt = rows.unionByName(marks).groupBy("bucket")
+    counts = cut(dealt.applyInArrow(_counted(shards), _COUNTED).groupBy("shard").applyInArrow(_merged, "shard long, name string, keys binary, counts binary"))
+    statistics = counts.mapInArrow(_statistics, "name string, kind long, key long, n long").groupBy("name", "kind", "key").agg(F.sum("n").alias("n"))
+    models = cut(statistics.groupBy("name").applyInArrow(_completed, "name string, d array<double>, low array<binary>"))
+    none = F.lit(None)
+    model = counts.select("shard", "name", "keys", "counts", none.cast("array<double>").alias("d"))
+    model = model.unionByName(models.select("name", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), none.cast("binary").alias("keys"), none.cast("binary").alias("counts")))
+    answers = dealt.applyInArrow(_asked(shards), _ASKED).groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answered, _ANSWERED)
+    # a copy of a table of lower orders serves SERVED buckets, so no task hands it to all
+    used = answers.select("bucket", "name").distinct().withColumn("copy", F.floor(F.col("bucket") / SERVED))
+    copies = models.select("name", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((shards - 1) // SERVED).cast("long"))).alias("copy"))
+    lows = used.join(copies, ["name", "copy"]).select("bucket", none.cast("string").alias("lang"), none.cast("long").alias("shard"), "name", none.cast("binary").alias("a"), none.cast("binary").alias("g"), "low")
+    told = answers.withColumn("low", none.cast("array<binary>")).unionByName(lows)
+    out_schema = T.StructType([T.StructField("row", kinds["row"]), T.StructField("name", T.StringType()), T.StructField("held", T.BooleanType()), T.StructField("chars", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("log_sum", T.DoubleType())])
+    arrow = docs.sparkSession.createDataFrame([], out_schema).toArrow().schema
+    out = cut(dealt.cogroup(told.groupBy("bucket")).applyInArrow(_scored(shards, arrow), out_schema)).withColumn("perplexity", F.exp(-F.col("log_sum") / F.col("bytes")))
+    held = out.filter(F.col("held") & F.col("perplexity").isNotNull() & (F.col("chars") >= MIN_CHARS))
     percentile = F.percentile_approx("perplexity", quantile, 10_000)
-    limits = marked.groupBy("name").agg(percentile.alias("_q"))
-    overall = marked.agg(percentile.alias("q")).first()["q"]
-    out = out.join(F.broadcast(limits.withColumnRenamed("name", "_name")), "_name", "left")
-    threshold = F.coalesce(F.col("_q"), F.lit(overall).cast("double")) * F.lit(slack)
-    kept = (F.col("n_words") > 0) & ((F.col("n_chars_scored") < MIN_CHARS) | F.coalesce(F.col("perplexity") <= threshold, F.lit(True)))
-    return out.withColumn("threshold", threshold).withColumn("kept", kept).drop("_q", "_name")
+    overall = held.agg(percentile.alias("q")).first()["q"]
+    limits = held.groupBy(F.col("name").alias("of")).agg(percentile.alias("limit"))
+    out = out.join(limits, F.col("name") == F.col("of"), "left")
+    threshold = F.coalesce(F.col("limit"), F.lit(overall).cast("double")) * F.lit(slack)
+    kept = (F.col("bytes") > 0) & ((F.col("chars") < MIN_CHARS) | F.coalesce(F.col("perplexity") <= threshold, F.lit(True)))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept_columns], F.col("chars").alias("n_chars_scored"), F.col("bytes").alias("n_bytes"), "perplexity", threshold.alias("threshold"), kept.alias("kept"))
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select("doc_id", F.col("n_words").alias("n_symbols"), "perplexity", "threshold", "kept")
+    return out.select("doc_id", F.col("n_bytes").alias("n_symbols"), "perplexity", "threshold", "kept")
