@@ -295,9 +295,39 @@ def test_suffixes_and_search(values):
         assert places == [i for i in range(len(text)) if tuple(text[i : i + len(p)].tolist()) == p]
 
 
+def test_benchmarks_of_many_blocks(spark):
+    rng = np.random.default_rng(12)
+    words = [f"b{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(words, int(rng.integers(0, 40))))) for i in range(60)] + [(60, None), (61, "b1 b2")]
+    texts = [" ".join([*rng.choice(words, 20), *items[int(rng.integers(60))][1].split()[:15], "x"]) for _ in range(80)] + ODD
+    docs = table(spark, texts + texts[:3]).withColumn("key", F.lit(1)).withColumn("_runs", F.lit(2)).withColumn("ITEMS", F.lit(3))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for clean in (False, True):
+        whole = decontaminate.contamination(docs, benchmark, clean=clean)
+        parts = decontaminate.contamination(docs, benchmark, clean=clean, block_bytes=900)
+        assert parts.columns == whole.columns and parts.columns[4:7] == ["key", "_runs", "ITEMS"]
+        assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+
+
 # --- 3 ---
 
 
+def test_quality_with_any_column_names(spark):
+    names = ["_t", "_w", "_h", "_o", "_lines", "_row", "_lang", "_of", "_classes", "_Words", "row", "kept"]
+    df = table(spark, ODD).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = quality_rules.judged(df)
+    assert out.columns[: 3 + 11] == ["doc_id", "lang", "source", *names[:-1]] and {tuple(r)[3:14] for r in out.collect()} == {tuple(range(11))}
+    plain = quality_rules.judged(table(spark, ODD)).select("doc_id", "kept").collect()
+    assert sorted(map(tuple, out.select("doc_id", "kept").collect())) == sorted(map(tuple, plain))
+
+
+def test_common_words_between_marks(spark):
+    texts = ['"which", (nicht), «the» “the” the— 2the of3', "the's x"]
+    words = {"en": ["the", "which", "of"]}
+    out = {r["_row"]["doc_id"]: list(r["_words"]) for r in quality_rules.features(table(spark, texts), words=words).collect()}
+    assert out == {0: [4, 1, 1, 1], 1: [0, 0, 0, 2]}
+
+
 def brute_quality(t):
     t = t or ""
     w = SPACES.findall(t)
@@ -482,6 +512,15 @@ def test_chains_join(spark):
     assert {roots[i] for i in range(41)} == {0} and roots[101] == 100
 
 
+def test_near_dedup_with_any_column_names_and_frequent_prints(spark, monkeypatch):
+    df = table(spark, ["a b c d"] * 30 + ["e f g h"] + [None, ""]).select("*", *[F.lit(i).alias(n) for i, n in enumerate(["_kept", "fp", "i", "first", "component_id", "n"])])
+    out = simhash.keep_first(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 30, 31]
+    before = sorted(map(tuple, simhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(simhash, "MANY", 2)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == before
+
+
 def test_near_dedup_edges(spark):
     df = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (1, None), (2, "")], "doc_id long, text string")
     out = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
@@ -651,6 +690,46 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id >= 1500").count() == 3
 
 
+def test_toxicity_does_not_depend_on_partitioning(spark):
+    docs, labels, _ = toxic_table(spark, 7000)
+    odd = spark.createDataFrame([(7, f"again w{i} w{i % 7}", "x") for i in range(600)] + [(None, f"none w{i}", "x") for i in range(600)], docs.schema)
+    docs = docs.unionByName(odd)
+    options = {"max_positive": 300, "max_unlabelled": 1500}
+    results = []
+    for part in (docs.coalesce(1), docs.repartition(7), docs.repartition(3, "text")):
+        model = toxicity.fit(part, labels, **options)
+        results.append(sorted((r["text"] or "", r["score"]) for r in toxicity.scored(part, model).collect()))
+    assert results[0] == results[1] == results[2]
+
+
+def test_risk_and_gradient_by_plain_sums():
+    rng = np.random.default_rng(5)
+    score, prior = rng.normal(0, 2, 30), 0.3
+    p = np.arange(30) < 10
+    w_p, w_u = np.where(p, 1 / 10, 0), np.where(p, 0, 1 / 20)
+    plain = lambda s: (prior * sum(np.log1p(np.exp(-x)) for x in s[:10]) / 10, sum(np.log1p(np.exp(x)) for x in s[10:]) / 20 - prior * sum(np.log1p(np.exp(x)) for x in s[:10]) / 10)
+    got = toxicity.risk(score, w_p, w_u, prior)
+    assert np.allclose(got[:2], plain(score))
+    for k in range(30):
+        step = np.where(np.arange(30) == k, 1e-6, 0)
+        high, low = plain(score + step), plain(score - step)
+        assert np.isclose(got[2][k], (high[0] - low[0]) / 2e-6, atol=1e-6) and np.isclose(got[3][k], (high[1] - low[1]) / 2e-6, atol=1e-6)
+
+
+def test_scores_are_those_of_plain_dictionaries(spark):
+    docs, labels, _ = toxic_table(spark, 400)
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    for r in toxicity.scored(docs, model).collect():
+        counts = collections.Counter()
+        for w in WORDS.findall(lower(r["text"])):
+            b = w.encode()
+            h = lambda x: int(tk.ranges_hash(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+            counts.update([h(b), *[h(b[:n]) ^ n for n in toxicity.PREFIXES if len(b) >= n]])
+        z = model.bias + sum(weight.get(k, 0) * np.log1p(c) for k, c in counts.items())
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(i,) for i in range(200)], "doc_id long").select("doc_id", toxicity.fold(F.col("doc_id")).alias("f"))
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in df.collect())
@@ -727,6 +806,13 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mixing_with_any_column_names(spark):
+    df = table(spark, ["a b", "c", None, ""] * 20).select("*", *[F.lit(i).alias(n) for i, n in enumerate(["_copy", "_of", "_rate", "copies", "row", "t", "s", "i0", "nth", "mix_size"])])
+    out = mixing.mix(df)
+    assert out.columns == df.columns and {tuple(r)[4:] for r in out.collect()} == {tuple(range(10))}
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in mixing.mix(df.select("doc_id", "text", "source")).collect())
+
+
 def test_mixing_runs_no_python(spark):
     plan = mixing.mix(table(spark, ["a b"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

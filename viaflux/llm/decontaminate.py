@@ -5,14 +5,16 @@ benchmark's vocabulary; any other word is a separator), its suffixes are sorted,
 and the Burrows-Wheeler transform is kept in a wavelet matrix. All test phrases
 are then searched backwards at once, each step taking two wavelet ranks, and
 their occurrences are located by walking to sampled suffix positions. Spans of
-occurrences are merged per document. Documents are never shuffled: the phrases
-travel to the shards, and their size is checked first.
+occurrences are merged per document. The phrases travel to the shards. Where
+they are more than a block, each block has its own pass, and what it finds meets
+the documents by their text; one block needs no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from . import textkit as tk
 WINDOW = 10
 #: Every so many positions of a shard keep their suffix position.
 SAMPLE = 16
-#: UTF-8 bytes of benchmark text that may be broadcast. A larger query set has to be split by its owner.
-MAX_BENCHMARK_BYTES = 64 << 20
+#: UTF-8 bytes of benchmark text that are searched for at once; more is searched for in blocks of about that size.
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass
@@ -50,28 +52,21 @@ def phrases_of(item_ids: list, texts: list, window: int = WINDOW) -> Phrases:
     hashes = tk.ranges_hash(data, starts, ends)
     vocabulary, symbols = np.unique(hashes, return_inverse=True)
     symbols = symbols.astype(np.int32) + 1
-    seen: dict[bytes, int] = {}
-    rows, lengths, owners = [], [], []
-    for item in range(len(texts)):
-        own = symbols[first[item] : first[item + 1]]
-        for at in range(max(1, len(own) - window + 1) if len(own) else 0):
-            part = own[at : at + window]
-            key = part.tobytes()
-            if key not in seen:
-                seen[key] = len(rows)
-                row = np.zeros(window, np.int32)
-                row[window - len(part) :] = part
-                rows.append(row)
-                lengths.append(len(part))
-                owners.append(set())
-            owners[seen[key]].add(item)
-    counts = np.array([len(x) for x in owners], np.int64)
+    n_words = np.diff(first)
+    n_windows = np.where(n_words > 0, np.maximum(1, n_words - window + 1), 0)
+    item = np.repeat(np.arange(len(texts)), n_windows)
+    at = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    length = np.minimum(n_words[item], window)
+    place = at[:, None] + np.arange(window) - (window - length)[:, None]
+    rows = np.where(place >= at[:, None], symbols[np.clip(place, 0, max(0, len(symbols) - 1))], 0).astype(np.int32) if len(item) else np.zeros((0, window), np.int32)
+    _, head, number = np.unique(rows.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+    owners = np.unique(number.astype(np.int64) * len(texts) + item) if len(item) else np.zeros(0, np.int64)
     return Phrases(
         vocabulary,
-        np.array(rows, np.int32).reshape(-1, window),
-        np.array(lengths, np.int64),
-        np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
-        np.array([i for x in owners for i in sorted(x)], np.int64),
+        rows[head],
+        length[head],
+        np.searchsorted(owners, np.arange(len(head) + 1) * max(1, len(texts))).astype(np.int64),
+        owners % max(1, len(texts)),
         ["" if x is None else str(x) for x in item_ids],
     )
 
@@ -229,14 +224,21 @@ def shard_hits(column, phrases: Phrases) -> tuple[np.ndarray, ...]:
     text = np.insert(symbols[at], breaks, 0)
     words = np.insert(at, breaks, -1)
     text, words = np.append(text, 0), np.append(words, -1)
+    # windows with a word that the shard hasn't can't occur
+    present = np.zeros(len(phrases.vocabulary) + 1, bool)
+    present[text] = present[0] = True
+    possible = np.flatnonzero(present[phrases.windows].all(1))
+    if not len(possible):
+        return starts, ends, first, hit, none, none
     index = FMIndex(text, len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.windows)
-    found = np.flatnonzero(high > low)
+    low, high = index.search(phrases.windows[possible])
+    some = np.flatnonzero(high > low)
+    found, low, high = possible[some], low[some], high[some]
     if not len(found):
         return starts, ends, first, hit, none, none
-    count = high[found] - low[found]
+    count = high - low
     window = np.repeat(found, count)
-    rows = np.repeat(low[found], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    rows = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     word = words[index.locate(rows)]
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, word, 1)
@@ -246,16 +248,50 @@ def shard_hits(column, phrases: Phrases) -> tuple[np.ndarray, ...]:
     return starts, ends, first, hit, row, window
 
 
-def _phrases(benchmark: DataFrame, item: str, text: str, window: int) -> Phrases:
-    size = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; split it into parts of {MAX_BENCHMARK_BYTES}")
-    table = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).toArrow()
-    return phrases_of(table.column("i").to_pylist(), table.column("t").to_pylist(), window)
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
+    """The (item, text) rows of a benchmark in parts of about `block_bytes` of text; equal texts share a part."""
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // block_bytes))
+    return [rows] if parts == 1 else [rows.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _shared(block: DataFrame, window: int):
+    """A block's phrases, broadcast: their size is that of a block."""
+    table = block.toArrow()
+    return block.sparkSession.sparkContext.broadcast(vars(phrases_of(table.column("i").to_pylist(), table.column("t").to_pylist(), window)))
+
+
+def _searched(column, phrases: Phrases) -> tuple[np.ndarray, dict[int, list[str]]]:
+    """Hit flags of the words of a slice, and the items of each row that has any."""
+    _, _, _, hit, row, window_no = shard_hits(column, phrases)
+    pairs = np.unique(row * np.int64(len(phrases.windows)) + window_no)
+    owner, items = pairs // max(1, len(phrases.windows)), {}
+    for doc in np.unique(owner).tolist():
+        windows = pairs[np.searchsorted(owner, doc) : np.searchsorted(owner, doc, "right")] % len(phrases.windows)
+        items[doc] = sorted({phrases.names[i] for w in windows.tolist() for i in phrases.items[phrases.item_starts[w] : phrases.item_starts[w + 1]].tolist()})
+    return hit, items
+
 
+def _runs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags."""
+    step = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, clean: bool = False) -> DataFrame:
-    """`docs` with what of the benchmark occurs in each document, row by row and without a shuffle.
+
+def _found(batches, phrases: Phrases):
+    """(key, runs, items) of the texts of (key, text) that have a hit."""
+    for batch in tk.slices(batches, "t"):
+        hit, items = _searched(batch.column(1), phrases)
+        if items:
+            data, offsets = tk.buffer_of(batch.column(1))
+            _, _, first = tk.word_bounds(tk.LOWER[data], offsets, tk.ALNUM)
+            runs = [np.stack(_runs(hit[first[d] : first[d + 1]]), 1).ravel().tolist() for d in items]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(list(items))), pa.array(runs, pa.list_(pa.int64())), pa.array(list(items.values()), pa.list_(pa.string()))], names=["key", "runs", "items"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, clean: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`docs` with what of the benchmark occurs in each document, row by row.
 
     Adds n_words, n_hit, n_items, items_sha256, contaminated and spans (merged
     [start, end) code-point offsets of hit words, from the first to the last of
@@ -264,11 +300,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     Null and empty texts have no words. Repeated rows are judged each for
     itself. Items of fewer words than a window are one window; items without
     words never occur; equal windows of several items count for each. An empty
-    benchmark leaves everything clean. Columns of the input with the added
-    names are replaced.
+    benchmark leaves everything clean, an empty table gives an empty one. Input
+    columns of the added names are replaced; others may have any name. A
+    benchmark may have any size, an item that of a block.
     """
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vars(_phrases(benchmark, item, item_text, window)))
     added = T.StructType(
         [
             T.StructField("n_words", T.LongType()),
@@ -281,48 +316,67 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     )
     base = docs.drop(*[f.name for f in added if f.name != text])
     schema = T.StructType([*base.schema.fields, *added.fields])
-    empty_digest = hashlib.sha256(b"").hexdigest()
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches):
-        phrases = Phrases(**shared.value)
+    def judged(arrays: list, column, hit: np.ndarray, items: dict[int, list[str]]) -> pa.RecordBatch:
+        data, offsets = tk.buffer_of(column)
+        starts, ends, first = tk.word_bounds(tk.LOWER[data], offsets, tk.ALNUM)
+        n = len(offsets) - 1
+        total = np.concatenate([[0], np.cumsum(hit)])
+        n_hit = total[first[1:]] - total[first[:-1]]
+        n_items, digests = np.zeros(n, np.int64), [hashlib.sha256(b"").hexdigest()] * n
+        spans: list[list] = [[] for _ in range(n)]
+        if items:
+            chars, texts = tk.char_index(data), column.to_pylist() if clean else None
+            for doc, names in items.items():
+                n_items[doc] = len(names)
+                digests[doc] = hashlib.sha256(",".join(names).encode()).hexdigest()
+                a, b = _runs(hit[first[doc] : first[doc + 1]])
+                zero = chars[offsets[doc]]
+                found = list(zip((chars[starts[a + first[doc]]] - zero).tolist(), (chars[ends[b - 1 + first[doc]]] - zero).tolist(), strict=True))
+                spans[doc] = [{"start": x, "end": y} for x, y in found]
+                if clean:
+                    texts[doc] = without(texts[doc], found)
+            if clean:
+                k = schema.names.index(text)
+                arrays = [pa.array(texts, c.type) if i == k else c for i, c in enumerate(arrays)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.array(spans, kind)], names=schema.names)
+
+    blocks = _blocks(benchmark, item, item_text, block_bytes)
+    shared = [_shared(block, window) for block in blocks]
+    if len(blocks) == 1:
+
+        def run(batches):
+            phrases = Phrases(**shared[0].value)
+            for batch in tk.slices(batches, text):
+                column = batch.column(batch.schema.get_field_index(text))
+                yield judged(batch.columns, column, *_searched(column, phrases))
+
+        return base.mapInArrow(run, schema)
+
+    key, runs_name, items_name = tk.fresh(base.columns, "key", "runs", "items")
+    columns = [F.col(f"`{c}`") for c in base.columns]
+    digest = F.sha2(F.col(f"`{text}`"), 256)
+    texts = base.select(digest.alias("key"), F.col(f"`{text}`").alias("t"))
+    parts = [texts.mapInArrow(lambda b, s=s: _found(b, Phrases(**s.value)), "key string, runs array<long>, items array<string>") for s in shared]
+    # equal texts give equal rows, so a frequent text is one row before it is shuffled
+    found = reduce(DataFrame.unionByName, parts).groupBy(F.col("key").alias(key)).agg(F.flatten(F.collect_set("runs")).alias(runs_name), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(items_name))
+    joined = base.join(found, digest == F.col(key), "left").select(*columns, runs_name, items_name)
+
+    def merge(batches):
         for batch in tk.slices(batches, text):
             column = batch.column(batch.schema.get_field_index(text))
-            starts, ends, first, hit, row, window_no = shard_hits(column, phrases)
-            n = batch.num_rows
-            n_words = np.diff(first)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[first[1:]] - total[first[:-1]]
-            n_items, digests = np.zeros(n, np.int64), [empty_digest] * n
-            spans: list[list] = [[] for _ in range(n)]
-            texts = None
-            if len(row):
-                data, offsets = tk.buffer_of(column)
-                chars = tk.char_index(data)
-                pairs = np.unique(row * np.int64(len(phrases.windows)) + window_no)
-                owner = pairs // len(phrases.windows)
-                for doc in np.unique(owner).tolist():
-                    windows = pairs[owner == doc] % len(phrases.windows) if len(pairs) < 1000 else pairs[np.searchsorted(owner, doc) : np.searchsorted(owner, doc, "right")] % len(phrases.windows)
-                    items = sorted({phrases.names[i] for w in windows.tolist() for i in phrases.items[phrases.item_starts[w] : phrases.item_starts[w + 1]].tolist()})
-                    n_items[doc] = len(items)
-                    digests[doc] = hashlib.sha256(",".join(items).encode()).hexdigest()
-                    own = hit[first[doc] : first[doc + 1]].astype(np.int8)
-                    step = np.diff(np.concatenate([[0], own, [0]]))
-                    a, b = np.flatnonzero(step == 1) + first[doc], np.flatnonzero(step == -1) - 1 + first[doc]
-                    zero = chars[offsets[doc]]
-                    spans[doc] = [{"start": int(x), "end": int(y)} for x, y in zip(chars[starts[a]] - zero, chars[ends[b]] - zero, strict=True)]
-                if clean:
-                    texts = column.to_pylist()
-                    for doc in np.unique(owner).tolist():
-                        texts[doc] = without(texts[doc], [(s["start"], s["end"]) for s in spans[doc]])
-            arrays = [c for c in batch.columns]
-            if texts is not None:
-                k = batch.schema.get_field_index(text)
-                arrays[k] = pa.array(texts, batch.schema.field(k).type)
-            arrays += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return base.mapInArrow(run, schema)
+            data, offsets = tk.buffer_of(column)
+            _, _, first = tk.word_bounds(tk.LOWER[data], offsets, tk.ALNUM)
+            edge, items = np.zeros(int(first[-1]) + 1, np.int64), {}
+            for doc, (runs, names) in enumerate(zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                if runs:
+                    items[doc] = names
+                    np.add.at(edge, first[doc] + np.array(runs[::2]), 1)
+                    np.add.at(edge, first[doc] + np.array(runs[1::2]), -1)
+            yield judged(batch.columns[:-2], column, np.cumsum(edge[:-1]) > 0, items)
+
+    return joined.mapInArrow(merge, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
+
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -22,7 +24,7 @@ _RANGE = float(1 << 32)
 def n_words(text: str) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text column; null has none."""
     # \S+ runs become one sign each, so nothing but their number is built
-    runs = F.regexp_replace(F.col(text), r"[^\x20\x09-\x0D]+", "a")
+    runs = F.regexp_replace(F.col(f"`{text}`"), r"[^\x20\x09-\x0D]+", "a")
     return F.coalesce(F.length(F.regexp_replace(runs, r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("long")
 
 
@@ -70,23 +72,33 @@ def planned(docs: DataFrame, *, text: str = "text", source: str = "source", iden
     gives an empty one. Input columns of the added names are replaced.
     """
     added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
-    sized = docs.drop(*added).withColumn("mix_size", n_words(text))
-    sizes = docs.select(F.col(source).alias("source"), n_words(text).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    rates = source_targets(sizes, weights, max_repeats).select(
-        F.col("source").alias("_mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("_mix_rate")
-    )
+    base = docs.drop(*added)
+    of, rate = tk.fresh(base.columns, "of", "rate")
+    own = F.col(f"`{source}`")
+    sized = base.withColumn("mix_size", n_words(text))
+    sizes = docs.select(own.alias("source"), n_words(text).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    rates = source_targets(sizes, weights, max_repeats).select(F.col("source").alias(of), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias(rate))
     # few sources: Spark broadcasts the rates where their size allows it, and splits skewed sources where not
-    out = sized.join(rates, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
-    whole = F.floor("_mix_rate")
-    copies = whole + F.when(draw([F.col(c) for c in identity], seed) < F.col("_mix_rate") - whole, 1).otherwise(0)
-    return out.withColumn("mix_copies", copies.cast("long")).drop("_mix_source", "_mix_rate")
+    out = sized.join(rates, own.eqNullSafe(F.col(of)), "left")
+    whole = F.floor(rate)
+    copies = whole + F.when(draw([F.col(f"`{c}`") for c in identity], seed) < F.col(rate) - whole, 1).otherwise(0)
+    return out.withColumn("mix_copies", copies.cast("long")).drop(of, rate)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row as often as `planned` takes it, in the input's columns."""
-    plan = planned(docs, **options).filter(F.col("mix_copies") > 0)
-    copies = plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixed corpus: each row as often as `planned` takes it, in the input's columns, whatever their names.
+
+    Nulls, repeated rows and empty tables are as `planned` says; texts without
+    words have size 0 and are taken at the rate of their source.
+    """
+    row, copies, nth = "row", "copies", "nth"
+    names = {"text": "text", "source": "source", "identity": ("doc_id",)} | {k: v for k, v in options.items() if k in ("text", "source", "identity")}
+    keys = [f"i{k}" for k in range(len(names["identity"]))]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    inner = docs.select(F.struct(*columns).alias(row), F.col(f"`{names['text']}`").alias("t"), F.col(f"`{names['source']}`").alias("s"), *[F.col(f"`{c}`").alias(k) for c, k in zip(names["identity"], keys, strict=True)])
+    plan = planned(inner, **(options | {"text": "t", "source": "s", "identity": tuple(keys)})).select(row, F.col("mix_copies").alias(copies)).filter(F.col(copies) > 0)
+    taken = plan.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return taken.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

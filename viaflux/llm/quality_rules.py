@@ -44,8 +44,8 @@ MAX_CLASS_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.29
 
 _SPACE = r"[\x20\x09-\x0D]"
-#: What may stand beside a common word.
-_EDGES = ".,;:!?\"'()[]*#%&$|-"
+#: What may stand beside a common word, the signs of ASCII and the usual marks of typography.
+_EDGES = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~¡¿«»‹›‘’‚“”„–—…·•©®°§"
 _ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 
 
@@ -69,12 +69,14 @@ def _with_repeat_words(rows: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame, *, text: str = "text", lang: str = "lang", words: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
-    """`docs` without `text`, with the base counts and the two histograms (arrays of long)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in _ADDED]
+    """The base counts and the two histograms (arrays of long) of each row; _row has the input's other columns, _lang its language."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in _ADDED]
+    docs = docs.select(F.struct(*others).alias("_row") if others else F.lit(None).alias("_row"), F.col(f"`{lang}`").alias("_lang"), t.alias("_t"))
+    keep = [F.col("_row"), F.col("_lang")]
     lists = F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    listed = F.coalesce(F.element_at(lists, F.coalesce(F.col(lang), F.lit(""))), F.array().cast("array<string>"))
-    a = docs.select(*keep, t.alias("_t"), F.array_remove(F.split(t, _SPACE + "+"), "").alias("_w"), listed.alias("_list"))
+    listed = F.coalesce(F.element_at(lists, F.coalesce(F.col("_lang"), F.lit(""))), F.array().cast("array<string>"))
+    a = docs.select(*keep, "_t", F.array_remove(F.split("_t", _SPACE + "+"), "").alias("_w"), listed.alias("_list"))
     n = F.size("_w")
     # the most frequent characters go first, so that later passes see short texts
     a = a.withColumn("_rest", F.regexp_replace("_t", r"[a-z]+", ""))
@@ -89,8 +91,8 @@ def features(docs: DataFrame, *, text: str = "text", lang: str = "lang", words:
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0)
     a = a.withColumn("_lines", lines)
     longest = max((len(w) for v in words.values() for w in v), default=0)
-    short = F.filter("_w", lambda w: F.length(w) <= longest + 2)
-    bare = F.transform(short, lambda w: F.lower(F.btrim(w, F.lit(_EDGES))))
+    bare = F.filter(F.transform("_w", lambda w: F.btrim(w, F.lit(_EDGES))), lambda w: F.length(w) <= longest)
+    bare = F.transform(bare, lambda w: F.lower(w))
     a = a.withColumn("_common", F.filter(bare, lambda w: F.array_contains(F.col("_list"), w)))
     solid = lambda pattern: F.length(F.regexp_replace("_solid", "[^" + pattern[1:] + "+", ""))
     a = a.withColumns({f"_c_{k}": solid(p) for k, p in CLASSES.items() if k != "lower"} | {
@@ -130,21 +132,23 @@ def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", words: di
     a null or unlisted language are compared by character classes only, with
     the reference of their language value (null counts as one). Repeated rows
     count as often as they stand in the references. An empty table gives an
-    empty one. Input columns of the added names are replaced.
+    empty one. Input columns of the added names are replaced; others may have
+    any name.
     """
     rows = cut(features(docs, text=text, lang=lang, words=words))
     at = lambda name, size: [F.sum(F.when(~F.col("base_failed"), F.get(F.col(name), F.lit(i)))).alias(f"{name}{i}") for i in range(size)]
     n_classes, n_words = len(CLASSES) + 1, max(map(len, words.values())) + 1
-    sums = rows.groupBy(F.col(lang).alias("_lang")).agg(*at("_classes", n_classes), *at("_words", n_words))
+    sums = rows.groupBy(F.col("_lang").alias("_of")).agg(*at("_classes", n_classes), *at("_words", n_words))
     rows = rows.withColumns({"_classes": _shares(F.col("_classes")), "_words": _shares(F.col("_words"))})
-    reference = sums.select("_lang", _shares(F.array(*[F.coalesce(F.col(f"_classes{i}"), F.lit(0)) for i in range(n_classes)])).alias("_ref_classes"), _shares(F.filter(F.array(*[F.col(f"_words{i}") for i in range(n_words)]), lambda x: x.isNotNull())).alias("_ref_words"))
+    reference = sums.select("_of", _shares(F.array(*[F.coalesce(F.col(f"_classes{i}"), F.lit(0)) for i in range(n_classes)])).alias("_ref_classes"), _shares(F.filter(F.array(*[F.col(f"_words{i}") for i in range(n_words)]), lambda x: x.isNotNull())).alias("_ref_words"))
     # a row for each language: small, and joined as Spark's size statistics say
-    out = rows.join(reference, F.col(lang).eqNullSafe(F.col("_lang")), "left")
+    out = rows.join(reference, F.col("_lang").eqNullSafe(F.col("_of")), "left")
     guard_c, guard_w = F.col("word_chars") >= MIN_CHARS_JUDGED, (F.col("n_words") >= MIN_WORDS_JUDGED) & (F.size("_words") > 1)
     out = out.withColumn("class_distance", F.when(guard_c, js_distance(F.col("_classes"), F.col("_ref_classes"))).otherwise(F.lit(0.0)))
     out = out.withColumn("word_distance", F.when(guard_w & (F.size("_ref_words") == F.size("_words")), js_distance(F.col("_words"), F.col("_ref_words"))).otherwise(F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.col("class_distance") <= max_class) & (F.col("word_distance") <= max_word)
-    return out.withColumn("kept", kept).drop("_lang", "_classes", "_words", "_ref_classes", "_ref_words")
+    others = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != text and c not in _ADDED]
+    return out.withColumn("kept", kept).select(*others, *_ADDED)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +157,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    longest = max(len(w) for v in COMMON_WORDS.values() for w in v) + 2
+    longest = max(len(w) for v in COMMON_WORDS.values() for w in v)
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     lists = ", ".join(f"({quote(k)}, {i}, {quote(w)})" for k, v in COMMON_WORDS.items() for i, w in enumerate(v))
     counts = ", ".join(f"length(regexp_replace(t, {quote('[^' + p[1:] + '+')}, '', 'g')) AS c{i}" for i, p in enumerate(CLASSES.values()))
@@ -169,7 +173,7 @@ covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM twice, unnest(range(i, i
 counted AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, {counts} FROM cut LEFT JOIN covered USING (doc_id)),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted),
-tokens AS (SELECT doc_id, lang, lower(trim(x, {quote(_EDGES)})) AS word FROM cut, unnest(w) AS u(x) WHERE length(x) <= {longest}),
+tokens AS (SELECT doc_id, lang, lower(trim(x, {quote(_EDGES)})) AS word FROM cut, unnest(w) AS u(x) WHERE length(trim(x, {quote(_EDGES)})) <= {longest}),
 common AS (SELECT doc_id, k, count(*) AS c FROM tokens JOIN lists USING (lang, word) GROUP BY ALL),
 cells AS (SELECT doc_id, lang, base_failed, k, coalesce(c, 0) AS c, n_words FROM judged JOIN (SELECT lang, k FROM lists) USING (lang) LEFT JOIN common USING (doc_id, k)),
 hist AS ({classes} UNION ALL SELECT doc_id, lang, base_failed, 'w', k, c FROM cells

@@ -7,8 +7,9 @@ in two groups of four positions: with at most three bytes differing, one group
 has at most one of them, so some posting of that group holds both. Posting
 three bytes instead of one keeps lists short (a list of one byte holds 1/256
 of all rows, and its pairs grow with the square of the input) and loses no
-pair. Within a list, shared positional bytes are tallied, pairs with fewer than
-the guaranteed minimum are dropped, and the rest are verified.
+pair. Within a list, the postings of single positional bytes are tallied for
+each pair, pairs reaching the guaranteed minimum of shared bytes are retained,
+and those are verified, whatever the length of the list.
 
 Copies fall together before the index is built. Long lists are cut into blocks
 and handled a pair of blocks at a time, and only a spanning forest of their
@@ -35,6 +36,10 @@ SEED = 42
 TRIPLES = tuple([*combinations(range(4), 3), *combinations(range(4, 8), 3)])
 #: Fingerprints of a posting list that a task holds at once; longer lists are cut into such blocks.
 BLOCK = 8192
+#: Fingerprints at most whose rows are named by a broadcast instead of a join.
+FREQUENT = 10_000
+#: Rows that a fingerprint has to have for that.
+MANY = 100_000
 #: Lists up to this length are compared by shifting the sorted postings, longer ones by search.
 SHORT = 8
 
@@ -78,24 +83,37 @@ def _find(parent: dict[int, int], x: int) -> int:
 
 
 def _block_links(values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among `values` (distinct), found breadth first: what is reached is not compared again."""
+    """A spanning forest of the links among `values` (distinct), found breadth first: what is reached is not compared again.
+
+    The values are indexed by their positional bytes. Of each value reached, the
+    postings of its bytes are tallied, values with the guaranteed minimum of
+    shared bytes are retained, and only those are verified.
+    """
+    n = len(values)
+    at_bytes = values.view(np.uint8).reshape(-1, 8)
+    shared = int((at_bytes == at_bytes[0]).all(0).sum())  # bytes that the whole list shares
+    index = []
+    for p in np.flatnonzero((at_bytes != at_bytes[0]).any(0)).tolist():
+        order = np.argsort(at_bytes[:, p], kind="stable")
+        index.append((p, order, np.searchsorted(at_bytes[order, p], np.arange(257))))
     left, right = [], []
-    rest = values
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
+    waiting = np.ones(n, bool)
+    for start in range(n):
+        if not waiting[start]:
+            continue
+        waiting[start] = False
+        queue = [start]
+        while queue:
             at = queue.pop()
-            differing = rest ^ at
-            shared = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(1, dtype=np.uint8) if len(rest) <= 64 else None
-            near = np.bitwise_count(differing) <= max_bits
-            if shared is not None:
-                near &= shared >= 8 - max_bits
-            if near.any():
-                found = rest[near]
-                left.append(np.full(len(found), at))
-                right.append(found)
-                queue.extend(found)
-                rest = rest[~near]
+            postings = [order[edges[at_bytes[at, p]] : edges[at_bytes[at, p] + 1]] for p, order, edges in index]
+            tally = np.bincount(np.concatenate(postings), minlength=n) if postings else np.zeros(n, np.int64)
+            kept = np.flatnonzero((tally >= 8 - max_bits - shared) & waiting)
+            found = kept[np.bitwise_count(values[kept] ^ values[at]) <= max_bits]
+            if len(found):
+                waiting[found] = False
+                left.append(np.full(len(found), values[at]))
+                right.append(values[found])
+                queue.extend(found.tolist())
     empty = np.zeros(0, np.uint64)
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
@@ -201,22 +219,35 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     component only if it has no other (then component_id is null). An empty
     table gives an empty one; other columns don't matter.
     """
-    prints = cut(fingerprints(docs, text=text, doc_id=doc_id))
-    first = prints.groupBy("fp").agg(F.min(doc_id).alias("first"))
+    i = F.col(f"`{doc_id}`").alias("i")
+    prints = cut(fingerprints(docs.select(i, F.col(f"`{text}`").alias("t")), text="t", doc_id="i"))
+    first = prints.groupBy("fp").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
     links = near_links(first.select("fp"))
     roots = components(links)
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(doc_id, "fp", "component_id")
+    of_print = cut(named.select("fp", "n", "root").join(least, "root").select("fp", "n", "component_id"))
+    # a fingerprint of many rows would be one task's: the few with a share of them, FREQUENT at most, are broadcast
+    many = F.col("n") >= max(MANY, prints.count() // FREQUENT)
+    frequent = of_print.filter(many).select("fp", F.struct("component_id").alias("of"))
+    told = prints.join(F.broadcast(frequent), "fp", "left")
+    rest = told.filter("of IS NULL").select("i", "fp").join(of_print.filter(~many).select("fp", "component_id"), "fp")
+    out = told.filter("of IS NOT NULL").select("i", "fp", "of.component_id").unionByName(rest)
+    return out.select(F.col("i").alias(doc_id), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (all rows that repeat it and its text count as one)."""
-    groups = near_duplicates(docs, text=text, doc_id=doc_id)
-    kept = groups.filter(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("_kept")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi").select(*columns)
+    """One document of each component: the one with the smallest doc_id (all rows that repeat it count as one).
+
+    Null and empty texts are one component. Null doc_ids stay only where their
+    component has no other. An empty table gives an empty one; other columns may
+    have any name.
+    """
+    (kept_id,) = tk.fresh(docs.columns, "kept")
+    i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    groups = near_duplicates(docs.select(i.alias("i"), t.alias("t")), text="t", doc_id="i")
+    kept = groups.filter(F.col("i").eqNullSafe(F.col("component_id"))).select(F.col("i").alias(kept_id)).distinct()
+    return docs.join(kept, i.eqNullSafe(F.col(kept_id)), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def risk(score: np.ndarray, w_p: np.ndarray, w_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The positive part prior * R_p(+), the corrected negative part R_u(-) - prior * R_p(-), and their gradients by score.
+
+    w_p and w_u weigh rows of the positive and the unlabelled part; each sums to 1.
+    """
+    s = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    loss_neg = np.logaddexp(0, score)
+    positive = prior * (w_p * np.logaddexp(0, -score)).sum()
+    return positive, (w_u * loss_neg).sum() - prior * (w_p * loss_neg).sum(), prior * w_p * (s - 1), (w_u - prior * w_p) * s
+
+
 def train(flat: np.ndarray, counts: np.ndarray, row: np.ndarray, positive: np.ndarray, prior: float, *, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, min_z: float = MIN_Z) -> Model:
     """Fit on (feature hash, count, row) triples; `positive` marks confirmed rows, the others are unlabelled.
 
@@ -101,12 +112,8 @@ def train(flat: np.ndarray, counts: np.ndarray, row: np.ndarray, positive: np.nd
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, rounds + 1):
         score = np.bincount(row, value * theta[column], n) + theta[-1]
-        s = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        loss_neg = np.logaddexp(0, score)
-        negative_risk = (w_u * loss_neg).sum() - prior * (w_p * loss_neg).sum()
-        g_pos = prior * w_p * (s - 1)
-        g_neg = (w_u - prior * w_p) * s
-        g = g_pos + g_neg if negative_risk >= 0 else -g_neg
+        _, negative, g_pos, g_neg = risk(score, w_p, w_u, prior)
+        g = g_pos + g_neg if negative >= 0 else -g_neg
         grad = np.append(np.bincount(column, value * g[row], width), g.sum())
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -118,40 +125,41 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     """Train on rows outside fold 0.
 
     Positives are rows labelled 1; unlabelled texts are drawn from all rows,
-    whatever their label. Both are bounded samples in the order of a hash of
-    doc_id. The class prior is the share of 1 among all labelled rows outside
-    fold 0. A doc_id labelled both ways counts as toxic.
+    whatever their label. Both are the first rows by a hash of doc_id and text,
+    then by doc_id, so the sample doesn't depend on how rows are stored, and
+    neither repeated nor null doc_ids make it larger. The class prior is the
+    share of 1 among all labelled ids outside fold 0. A doc_id labelled both
+    ways counts as toxic. Without positives, or without others, every text gets
+    the same score.
     """
-    outside = fold(F.col(doc_id)) != 0
-    marks = labels.filter(outside & F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
-    share = marks.agg(F.avg("_toxic").alias("p"), F.sum("_toxic").alias("n")).first()
+    i, t = F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")
+    rows = docs.select(i, t).filter(fold(F.col("i")) != 0)
+    marks = labels.select(i, F.col(f"`{label}`").cast("int").alias("toxic")).filter((fold(F.col("i")) != 0) & F.col("toxic").isNotNull()).groupBy("i").agg(F.max("toxic").alias("toxic"))
+    share = marks.agg(F.avg("toxic").alias("p"), F.sum("toxic").alias("n")).first()
     prior = float(share["p"] or 0.0)
-    order = F.xxhash64(F.lit("sample"), F.col(doc_id))
-    ids = docs.select(doc_id).filter(outside)
-    total = ids.count()
-    positive = marks.filter("_toxic = 1").orderBy(order).limit(max_positive).select(doc_id, F.lit(1).alias("_p"))
-    # a hash threshold takes about max_unlabelled rows in any table, and the limit makes it the bound
+    total = rows.count()
+    # ids in the order of their hash: max_positive at most are broadcast
+    positive = marks.filter("toxic = 1").select("i").orderBy(F.xxhash64(F.lit("sample"), "i"), "i").limit(max_positive)
+    draw = F.xxhash64(F.lit("unlabelled"), "i", "t")
+    # a threshold of the hash passes somewhat more than max_unlabelled rows of any table, of which the first are taken
     threshold = min(1.0, 1.2 * max_unlabelled / max(1, total))
-    drawn = F.pmod(F.xxhash64(F.lit("unlabelled"), F.col(doc_id)), F.lit(1 << 30)) < int(threshold * (1 << 30))
-    # max_positive rows at most are broadcast
-    base = docs.filter(outside).select(doc_id, text).join(F.broadcast(positive), doc_id, "left")
-    base = base.filter(F.col("_p").isNotNull() | drawn)
+    passed = F.pmod(draw, F.lit(1 << 30)) < int(threshold * (1 << 30))
+    first = lambda part, n: part.select(draw.alias("h"), "i", "t").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "i").limit(n)
 
     def run(batches):
-        for batch in tk.slices(batches, text):
-            hashes, row = slice_features(batch.column(1))
+        for batch in tk.slices(batches, "t"):
+            hashes, row = slice_features(batch.column(2))
             order = np.lexsort((hashes, row))
             hashes, row = hashes[order], row[order]
             head = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))) if len(row) else np.zeros(0, int)
             counts = np.diff(np.append(head, len(row))).astype(np.int32)
             offsets = pa.array(np.searchsorted(row[head], np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[head].view(np.int64), counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), *lists], names=["p", "u", "words", "counts"])
+            yield pa.RecordBatch.from_arrays(lists, names=["words", "counts"])
 
-    shaped = base.select(doc_id, text, F.col("_p").isNotNull().alias("p"), drawn.alias("u")).mapInArrow(run, "p boolean, u boolean, words array<long>, counts array<int>")
-    table = shaped.toArrow()
+    shaped = lambda part, n: first(part, n).mapInArrow(run, "words array<long>, counts array<int>").toArrow()
     # a positive that the draw also took stands in both parts
-    parts = [(table.filter(table.column("p")), True), (table.filter(table.column("u")).slice(0, max_unlabelled), False)]
+    parts = [(shaped(rows.join(F.broadcast(positive), "i"), max_positive), True), (shaped(rows.filter(passed), max_unlabelled), False)]
     flat, counts, row, positive = [], [], [], []
     for part, mark in parts:
         if not part.num_rows:
@@ -166,7 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score") -> DataFrame:
-    """`docs` with the probability of being toxic of every whole text; null and empty texts get the bias alone."""
+    """`docs` with the probability of being toxic of every whole text.
+
+    Null and empty texts get the bias alone. Repeated rows are scored alike. An
+    empty table gives an empty one. An input column of the added name is
+    replaced; others may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     base = docs.drop(column)
 
@@ -180,10 +193,14 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", column: str = "
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **names) -> DataFrame:
-    """The rows of `docs` whose score is below the threshold, in the input's columns."""
-    text = names.get("text", "text")
+    """The rows of `docs` whose score is below the threshold, in the input's columns, whatever their names.
+
+    Null and empty texts are judged by the bias alone. Repeated rows stay or go
+    together. An empty table gives an empty one; without labels all rows stay.
+    """
+    (score,) = tk.fresh(docs.columns, "score")
     model = fit(docs, labels, **names)
-    return scored(docs, model, text=text, column="_score").filter(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, model, text=names.get("text", "text"), column=score).filter(F.col(score) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
