@@ -401,6 +401,93 @@ def test_extraction_on_unseen_pages():
     assert wrong < 0.05 * total
 
 
+@pytest.mark.parametrize(
+    ("tag", "text"),
+    [
+        ("<p title=it's>Next para", "Next para"),
+        ('<p class="a>Next para</p><p class="b">More words', "More words"),
+        ('<p class="a>Next para', ""),
+        ("<p/class='x'data-y=\"1>2\">Next <b a=1/>para", "Next para"),
+        ("<p ==x a= 'b' c =d>Next para", "Next para"),
+        ("<p>a < b and c<3 </ p><//><!----><!--->x<!--> y <!-- > --!> z", "a < b and c<3 x y z"),
+        ("<p>one<?php echo 1 ?>two<!DOCTYPE x>three</p >", "onetwothree"),
+        ("<p>one</p foo='>'>two<script>if (a</b) '</scripty>'</script >three", "one\ntwothree"),
+    ],
+)
+def test_markup_by_the_standard(tag, text):
+    assert "\n".join(t for _, t in html_extract.Page(tag).blocks) == text
+
+
+def test_no_markup_in_pages_cut_anywhere():
+    page = "<html><body><nav><a href='/x'>menu</a></nav><article class=\"a b\"><p id=p1 title='it > is'>First <a href=\"http://example.net/?a=1&amp;b=2\">words</a> here.</p><!-- no --><p>Second</p></article></body></html>"
+    allowed = set("menu First words here. Second".split())
+    for k in range(len(page)):
+        for _, block in html_extract.Page(page[:k]).blocks:
+            assert all(any(w.startswith(x) for w in allowed) for x in block.split()), (page[:k], block)
+
+
+def test_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    deep = "<div>" * 20000 + "<p>deep words</p>" + "</div>" * 20000
+    article = "".join(f"<p>Paragraph number {i} has words.</p>" for i in range(40000))
+    long = f"<html><body><nav><ul><li><a href=/>menu</a></li></ul></nav><article>{article}</article></body></html>"
+    bad = "<i>" * 20000 + "</b>" * 20000 + "<li>" * 5000
+    out = html_extract.extract([deep, long, bad], html_extract.default_weights())
+    assert out[1].count("\n") == 39999 and "menu" not in out[1] and time.time() - began < 60
+
+
+HAND_MADE = [
+    ('<body><div id="masthead"><a href="/">The Daily</a></div><div class="entry-content"><h1>A title</h1><p>One long first paragraph, with several words in it.</p><p>Another paragraph.</p></div><div class="comments"><p>Nice post!</p></div><div id="footer">Copyright 2020</div></body>', "A title\nOne long first paragraph, with several words in it.\nAnother paragraph."),
+    ("<header><h1>Site</h1></header><main><article><h2>Head</h2><p>Some text &amp; more of it here.</p><blockquote>A quote stands here.</blockquote></article></main><aside><h3>Related</h3><ul><li><a href=a>x</a></li></ul></aside><footer>&copy; Site</footer>", "Head\nSome text & more of it here.\nA quote stands here."),
+    ('<div class="cookie-banner">We use cookies. <button>OK</button></div><article><p>Only this is the text of the page.</p></article><div class="ad">Buy now</div>', "Only this is the text of the page."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HAND_MADE)
+def test_hand_made_layouts(page, text):
+    assert html_extract.extract([page], html_extract.default_weights()) == [text]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_pages_give_their_article_elements(spark):
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        """Texts of the blocks inside <article>, by the library's parser."""
+
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag == "br":
+                self.blocks[-1].append(" ")
+            elif tag not in html_extract.INLINE:
+                self.blocks.append([])
+
+        def handle_endtag(self, tag):
+            if tag not in html_extract.INLINE:
+                self.blocks.append([])
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    out = {r["page_id"]: r for r in html_extract.op4_html_extraction(spark, "/root/testdata/sf0.001").collect()}
+    assert out.keys() == pages.keys()
+    for k, page in pages.items():
+        plain = Article()
+        plain.feed(page)
+        plain.close()
+        blocks = [" ".join("".join(b).split()) for b in plain.blocks]
+        assert out[k]["text"] == "\n".join(b for b in blocks if b) and out[k]["n_chars"] == len(out[k]["text"])
+
+
 def test_messages_are_exact():
     rng = np.random.default_rng(0)
     parent, depth = np.array([0, 0, 0, 1, 1, 3]), np.array([0, 1, 1, 2, 2, 3])

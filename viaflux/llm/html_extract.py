@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,13 @@ CLOSES_P = frozenset(
 #: An opening tag closes the nearest of these, unless one of the limits stands between.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"})}
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Where markup may begin, or a page is cut off as it does; any other "<" is text.
+_MARKUP = re.compile(r"<(?=[a-zA-Z!?/]|\Z)")
+#: A tag's name and attributes by the states of the HTML standard: names run to white space, /, > or =, a quoted value to its quote
+#: wherever that is, another to white space or >. A tag without its end doesn't match.
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>))|(?!\s*+=)))*+)>"
+)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-label|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 #: Groups of what elements are, for unary and pair weights.
@@ -69,11 +76,23 @@ def _name_features(names: str) -> tuple[int, ...]:
     return tuple(k for k, r in enumerate(_NAME_RES) if r.search(names))
 
 
+#: Ends of a comment: the standard also takes <!--> and <!---> as whole ones.
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
+_GREATER = re.compile(">")
+
+
+@lru_cache(32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I)
+
+
 class Page:
     """The block tree of one page: parents, groups, names, and its text blocks in order."""
 
     def __init__(self, source: str):
         self.parent, self.group, self.names, self.blocks = [0], [_TAG_NO["body"]], [""], []
+        self.depth = [0]
+        open_tags: Counter = Counter()
         self.linked = [0]
         self.labels: list[int] = [0]
         parts: list[str] = []
@@ -92,6 +111,7 @@ class Page:
             for tag, _ in stack[k:]:
                 in_link -= tag == "a"
                 hidden -= tag in HIDDEN
+                open_tags[tag] -= 1
             if any(tag not in INLINE for tag, _ in stack[k:]):
                 flush()
             del stack[k:]
@@ -99,7 +119,7 @@ class Page:
 
         at, end = 0, len(source)
         while at < end:
-            m = _TOKEN.search(source, at)
+            m = _MARKUP.search(source, at)
             stop = m.start() if m else end
             if stop > at and not hidden:
                 piece = source[at:stop]
@@ -110,23 +130,32 @@ class Page:
                     self.linked[node] += len(piece.split())
             if m is None:
                 break
-            at = m.end()
-            name = m[2]
-            if name is None:
+            tag_at = _TAG.match(source, stop)
+            if tag_at is None:
+                after = source[stop + 1 : stop + 4]
+                if after.startswith("!--"):  # a comment; the shortest are <!--> and <!--->
+                    close = _COMMENT_END.search(source, stop + 4)
+                elif after[:1] in ("!", "?") or after[:1] == "/" and not after[1:2].isalpha():
+                    close = _GREATER.search(source, stop)
+                else:
+                    close = None  # the page ends within a tag
+                if close is None:
+                    break
+                at = close.end()
                 continue
-            if source[at - 1] != ">":  # a tag that the page's end cuts off
-                break
-            tag = name.lower()
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in ("td", "th", "table") and tag in ("p", "div", "li", "b", "i", "a", "span"):
-                        break
+            at = tag_at.end()
+            tag = tag_at[2].lower()
+            if tag_at[1]:
+                if open_tags[tag] > 0:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] == tag:
+                            pop_to(k)
+                            break
+                        if stack[k][0] in ("td", "th", "table") and tag in ("p", "div", "li", "b", "i", "a", "span"):
+                            break
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                close = _raw_end(tag).search(source, at)
                 at = close.end() if close else end
                 continue
             if tag == "br" or tag == "hr":
@@ -137,7 +166,7 @@ class Page:
                 continue
             if tag in VOID:
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_tags["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         pop_to(k)
@@ -146,7 +175,7 @@ class Page:
                         break
             if tag in IMPLIED:
                 closed, limits = IMPLIED[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(0) if not any(open_tags[x] > 0 for x in closed) else range(len(stack) - 1, 0, -1):
                     if stack[k][0] in closed:
                         pop_to(k)
                         break
@@ -159,14 +188,16 @@ class Page:
                     if stack[k][0] == "a":
                         pop_to(k)
                         break
+            open_tags[tag] += 1
             if tag in INLINE:
                 stack.append((tag, node))
                 in_link += tag == "a"
                 continue
             flush()
             hidden += tag in HIDDEN
-            rest = m[3]
+            rest = tag_at[3]
             self.parent.append(node)
+            self.depth.append(self.depth[node] + 1)
             self.group.append(_TAG_NO.get(tag, len(TAGS) - 1))
             self.names.append(" ".join(x for a in _ATTRIBUTE.findall(rest) for x in a[1:] if x).lower() if rest and "=" in rest else "")
             self.linked.append(0)
@@ -194,16 +225,9 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             words[at] += count
             seen += count
         total[k] = seen
-    depth = np.zeros(n, int)
-    # parents come before children, so depths settle level by level
-    while True:
-        deeper = depth[parent] + (parent != np.arange(n))
-        if (deeper == depth).all():
-            break
-        depth = deeper
+    depth = np.concatenate([np.array(p.depth) for p in pages])
     sub_words, sub_linked = words.copy(), linked.copy()
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
+    for at in levels_of(depth)[:0:-1]:
         np.add.at(sub_words, parent[at], sub_words[at])
         np.add.at(sub_linked, parent[at], sub_linked[at])
     page_no = np.repeat(np.arange(len(pages)), sizes)
@@ -224,6 +248,12 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return x, parent, depth, group
 
 
+def levels_of(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, ascending."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
+
+
 def _lse(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a, b)
 
@@ -237,7 +267,7 @@ def messages(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray, depth: np.
     n = len(parent)
     up = unary.astype(float)
     to_parent = np.zeros((n, 2))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    levels = levels_of(depth)
     for at in levels[:0:-1]:
         joint = pair[at] + up[at][:, None, :]
         to_parent[at] = _lse(joint[:, :, 0], joint[:, :, 1])
@@ -271,6 +301,7 @@ def train(sources: list[str], rounds: int = 400, rate: float = 0.15, decay: floa
     weights = {"unary": np.zeros(WIDTH), "pair": np.zeros((PAIRS, 2, 2))}
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in weights.items()}
     inner = np.flatnonzero(depth > 0)
+    plain = [TAGS.index(t) for t in TEXTUAL]
     seen = np.zeros((PAIRS, 2, 2))
     np.add.at(seen, (group[inner], y[parent[inner]], y[inner]), 1)
     for step in range(1, rounds + 1):
@@ -282,6 +313,9 @@ def train(sources: list[str], rounds: int = 400, rate: float = 0.15, decay: floa
         # both ways of agreeing weigh the same, so that the number of children alone says nothing
         agree = grads["pair"][:, [0, 1], [0, 1]].mean(1)
         grads["pair"][:, 0, 0] = grads["pair"][:, 1, 1] = agree
+        # likewise both ways of differing for a paragraph or row, of which a page may have any number
+        differ = grads["pair"][plain][:, [0, 1], [1, 0]].mean(1)
+        grads["pair"][plain, 0, 1] = grads["pair"][plain, 1, 0] = differ
         for k, g in grads.items():
             g = g + decay / 10 * weights[k]
             m, v = moment[k]
@@ -460,9 +494,11 @@ def extract_pages(pages: DataFrame, *, html: str = "html", weights: dict | None
     """`pages` without the html, with text and n_chars (code points) of each row's main text.
 
     Null, empty and blank html and pages without content give an empty text.
-    Unclosed and cut-off markup is read as far as it goes. Repeated rows are
-    repeated. An empty table gives an empty one. Input columns of the added
-    names are replaced.
+    Markup is read by the states of the HTML standard: a tag that the page's end
+    cuts off is dropped with what it holds, an unbalanced quote reaches to the
+    next one, so no markup gets into a text. Repeated rows are repeated. An empty
+    table gives an empty one. Input columns of the added names are replaced;
+    others may have any name. A page is worked on as a whole, at any depth.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or default_weights())
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
