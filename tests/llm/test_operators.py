@@ -732,6 +732,29 @@ def test_counts_with_ties(pieces, text):
         assert counter.count_text(text) == unigram(listed, fallback)(text)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.text(alphabet="ab▁é漢", min_size=1, max_size=3), st.integers(-4, -1), min_size=1, max_size=9), st.text(alphabet="ab é漢z", min_size=1, max_size=40), st.booleans())
+def test_long_parts_are_counted_as_short_ones(pieces, text, fallback):
+    counter = token_count.Counter(token_count.Vocabulary([(k, float(v)) for k, v in pieces.items()], byte_fallback=fallback))
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert counter.count_long(text) == int(counter.count(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def test_long_parts_take_little_time():
+    pytest.importorskip("public_tokenizers")
+    import time
+
+    vocabulary = token_count.Vocabulary.from_sentencepiece(token_count.default_path())
+    counter, began = token_count.Counter(vocabulary), time.time()
+    text = "abcdefghij" * 100_000
+    assert counter.count_text(text) == unigram(list(vocabulary.pieces.items()), True)(text) and time.time() - began < 20
+
+
+def test_marks_and_normalised_texts():
+    counter = token_count.Counter(token_count.Vocabulary([("▁", -1.0), ("a", -1.0)]))
+    assert counter.count_text("a▁a") == counter.count_text("a a") == 4
+
+
 def test_counts_of_a_public_vocabulary(spark):
     pytest.importorskip("public_tokenizers")
     vocabulary = token_count.Vocabulary.from_sentencepiece(token_count.default_path())
@@ -944,3 +967,31 @@ def test_licences(spark):
     assert all(out[i]["n_licenses"] == 0 for i in range(5, 5 + len(ODD)))
     assert license_scan.scanned(table(spark, texts).limit(0)).collect() == []
     assert license_scan.scanned(table(spark, texts), templates=[]).filter("n_licenses > 0").count() == 0
+
+
+def test_scans_by_plain_search(spark):
+    rng = np.random.default_rng(3)
+    filler = [f"filler{i}" for i in range(500)]
+    texts, expected = [], []
+    for name, template in license_scan.TEMPLATES:
+        w = license_scan.words_of(template)
+        before, after = rng.choice(filler, int(rng.integers(0, 80))).tolist(), rng.choice(filler, int(rng.integers(0, 80))).tolist()
+        texts.append(" ".join([*before, *w, *after]))
+        expected.append((name, 1.0, len(" ".join(before)) + bool(before), len(" ".join([*before, *w]))))
+        if len(w) >= 20:
+            other = list(w)
+            for k in rng.choice(np.arange(1, len(w) - 1), max(1, len(w) // 12), replace=False):
+                other[k] = "changed"
+            texts.append(" ".join([*before, *other, *after]))
+            expected.append((name, sum(x == y for x, y in zip(w, other, strict=True)) / len(w), len(" ".join(before)) + bool(before), len(" ".join([*before, *other]))))
+    out = {r["doc_id"]: r["notices"] for r in license_scan.scanned(table(spark, texts)).collect()}
+    for i, (name, coverage, start, end) in enumerate(expected):
+        best = max(out[i], key=lambda n: n["end"] - n["start"])
+        plain = sorted({n for n, t in license_scan.TEMPLATES if f" {' '.join(license_scan.words_of(t))} " in f" {texts[i]} "})
+        if coverage == 1.0:
+            assert name in plain and [tuple(n) for n in out[i]] == [(name, 1.0, start, end)], (i, plain, out[i])
+        else:
+            assert best["name"].split("-")[0] == name.split("-")[0] and best["coverage"] >= license_scan.MIN_COVERAGE, (i, name, out[i])
+    names = ["notices", "_text", "coverage"]
+    odd = license_scan.scanned(table(spark, texts[:2]).select("*", *[F.lit(1).alias(n) for n in names]))
+    assert "_text" in odd.columns and odd.filter("n_licenses = 1").count() == 2

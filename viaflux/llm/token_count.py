@@ -10,8 +10,9 @@ vocabulary falls back to bytes, else runs of them are one piece.
 
 Texts are cut where no piece can span: before a run of spaces that follows
 another character, and around characters that occur in no piece. Each distinct
-part of a slice is scored once, all of them at the same time, one byte after
-the other.
+part of a slice is scored once, short ones all at the same time, one byte after
+the other, and long ones each by itself in time and memory that follow their
+length. A model's normaliser, where it has one, is applied first.
 """
 
 from __future__ import annotations
@@ -32,14 +33,21 @@ UNKNOWN_PENALTY = 10.0
 MARK = "▁"
 #: Parts scored at the same time are bounded by their bytes.
 CHUNK_BYTES = 4 << 20
+#: Parts of more bytes are scored by themselves.
+LONG_BYTES = 2048
 
 
 class Vocabulary:
-    """Pieces with scores; `byte_fallback` tells whether unknown characters become bytes."""
+    """Pieces with scores; `byte_fallback` tells whether unknown characters become bytes.
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True, dummy_prefix: bool = True):
+    `normaliser` is a SentencePiece model whose normaliser texts go through;
+    without one they stay, but for a space before those that aren't empty
+    (`dummy_prefix`).
+    """
+
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True, dummy_prefix: bool = True, normaliser: bytes | None = None):
         self.pieces = dict(pieces[::-1])  # of equal pieces the first counts
-        self.byte_fallback, self.dummy_prefix = byte_fallback, dummy_prefix
+        self.byte_fallback, self.dummy_prefix, self.normaliser = byte_fallback, dummy_prefix, normaliser
 
     @staticmethod
     def from_sentencepiece(path: str, byte_fallback: bool = True) -> Vocabulary:
@@ -47,15 +55,25 @@ class Vocabulary:
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            model = f.read()
+        probe = "  a\tﬁ①  é\u3000b\r\n "
+        same = sentencepiece.SentencePieceNormalizer(model_proto=model).normalize(probe) == MARK + probe.replace(" ", MARK)
         ids = [i for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
-        return Vocabulary([(p.id_to_piece(i), p.get_score(i)) for i in ids], byte_fallback)
+        return Vocabulary([(p.id_to_piece(i), p.get_score(i)) for i in ids], byte_fallback, same, None if same else model)
 
 
 class Counter:
     """A vocabulary compiled to an automaton over bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.byte_fallback, self.dummy_prefix = vocabulary.byte_fallback, vocabulary.dummy_prefix
+        self.byte_fallback, self.dummy_prefix, self.normaliser = vocabulary.byte_fallback, vocabulary.dummy_prefix, None
+        if vocabulary.normaliser:
+            import sentencepiece
+
+            self.normaliser = sentencepiece.SentencePieceNormalizer(model_proto=vocabulary.normaliser)
+        self.texts = {k.replace(MARK, " "): v for k, v in vocabulary.pieces.items() if k}
+        self.automaton = None
         pieces = {k.replace(MARK, " ").encode(): v for k, v in vocabulary.pieces.items() if k}
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
         children: list[dict[int, int]] = [{}]
@@ -119,6 +137,12 @@ class Counter:
         if not n:
             return np.zeros(0, np.int64)
         sizes = ends - starts
+        if (sizes > LONG_BYTES).any():
+            out, short = np.zeros(n, np.int64), sizes <= LONG_BYTES
+            out[short] = self.count(data, starts[short], ends[short])
+            for k in np.flatnonzero(~short).tolist():
+                out[k] = self.count_long(data[starts[k] : ends[k]].tobytes().decode())
+            return out
         order = np.argsort(-sizes, kind="stable")
         first, size = starts[order], sizes[order]
         longest = int(size[0])
@@ -174,8 +198,47 @@ class Counter:
         out[order] = pieces[at + size]
         return out
 
+    def count_long(self, part: str) -> int:
+        """Pieces of the best path of one part, keeping as many places as the longest piece has characters."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for piece, value in self.texts.items():
+                self.automaton.add_word(piece, (len(piece), value))
+            if self.texts:
+                self.automaton.make_automaton()
+        size = max(map(len, self.texts), default=1) + 1
+        best, pieces, lone = [0.0] * size, [0] * size, [False] * size
+        matches = self.automaton.iter(part) if self.texts else iter(())
+        end, found = next(matches, (-1, None))
+        for at, sign in enumerate(part):
+            value, number, single, unknown = -np.inf, 0, False, False
+            while end == at:  # the longest piece comes first
+                length, score = found
+                source = (at + 1 - length) % size
+                candidate = score + best[source]
+                single |= length == 1
+                if candidate > value:
+                    value, number = candidate, pieces[source] + 1
+                end, found = next(matches, (-1, None))
+            if not single:
+                source = at % size
+                candidate = self.unknown + best[source]
+                if candidate > value:
+                    unknown = True
+                    added = (len(MARK.encode()) if sign == " " else len(sign.encode())) if self.byte_fallback else 1 - lone[source]
+                    value, number = candidate, pieces[source] + added
+            to = (at + 1) % size
+            best[to], pieces[to], lone[to] = value, number, unknown
+        return pieces[len(part) % size]
+
     def slice_counts(self, column) -> np.ndarray:
         """Tokens of each row of a column; each distinct part is counted once."""
+        if self.normaliser:
+            texts = [self.normaliser.normalize(t) if t else "" for t in column.to_pylist()]
+            column = pa.array(texts, pa.large_string())
+        column = pc.replace_substring(column, MARK, " ")
         if self.dummy_prefix:  # a space before each text that isn't empty
             column = pc.fill_null(column.cast(pa.large_string()), "")
             column = pc.if_else(pc.greater(pc.binary_length(column), 0), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())), column)
@@ -219,10 +282,10 @@ def counted(docs: DataFrame, *, text: str = "text", column: str = "n_tokens", vo
     Null and empty texts have 0. Very long texts and parts without spaces are
     counted whole. Ties are settled as the module says. Repeated rows are
     counted alike. An empty table gives an empty one. An input column of the
-    added name is replaced.
+    added name is replaced; others may have any name.
     """
     vocabulary = vocabulary or Vocabulary.from_sentencepiece(default_path())
-    shared = docs.sparkSession.sparkContext.broadcast((list(vocabulary.pieces.items()), vocabulary.byte_fallback, vocabulary.dummy_prefix))
+    shared = docs.sparkSession.sparkContext.broadcast((list(vocabulary.pieces.items()), vocabulary.byte_fallback, vocabulary.dummy_prefix, vocabulary.normaliser))
     base = docs.drop(column)
 
     def run(batches):
