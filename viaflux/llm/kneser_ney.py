@@ -32,7 +32,9 @@ from .session import cut
 #: Bytes of an n-gram.
 ORDER = 5
 #: Bytes of text in a bucket, and there are as many shards as buckets.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 32 << 20
+#: Bytes of text worked on at once, with about 80 bytes of memory for each.
+SLICE_BYTES = 1 << 20
 #: One of so many trusted documents is held out of training to find the threshold.
 HOLD_OUT = 10
 QUANTILE = 0.995
@@ -119,9 +121,11 @@ class Bucket:
     """The documents of one bucket, and which of them are trusted."""
 
     def __init__(self, table: pa.Table):
+        self.table = table  # texts stay where they are; only slices of them are copied
         is_doc = table.column("label_of").is_null() if table.num_rows else pa.chunked_array([], pa.bool_())
-        self.docs = table.filter(is_doc)
-        marks = table.filter(pc.invert(is_doc))
+        self.is_doc = is_doc.to_numpy()
+        self.docs = table.drop_columns(["text"]).filter(is_doc)
+        marks = table.select(["id", "label_of"]).filter(pc.invert(is_doc))
         ids = marks.column("id")
         bad = ids.filter(pc.equal(marks.column("label_of"), 0))
         good = ids.filter(pc.equal(marks.column("label_of"), 1))
@@ -131,28 +135,35 @@ class Bucket:
         self.trusted = pc.and_(trusted, pc.is_valid(own)).to_numpy() if self.docs.num_rows else np.zeros(0, bool)
         self.held = self.docs.column("held").to_numpy() if self.docs.num_rows else np.zeros(0, bool)
 
-    def parts(self, rows: np.ndarray | None = None):
-        """(lang, rows, n-grams of their bytes, each row's first) of slices of documents of one language."""
-        langs = self.docs.column("lang").to_pylist()
-        by_lang: dict = {}
-        for i in range(len(langs)) if rows is None else rows.tolist():
-            by_lang.setdefault(langs[i], []).append(i)
-        text = self.docs.column("text").combine_chunks()
-        size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
-        for lang, own in by_lang.items():
-            own = np.array(own)
-            ends = np.cumsum(size[own], dtype=np.int64)
-            at = 0
-            while at < len(own):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tk.SLICE_BYTES, "right")))
-                data, offsets = tk.buffer_of(text.take(pa.array(own[at:to])))
-                yield lang, own[at:to], grams(data, offsets), offsets
-                at = to
-
-    def distinct(self, rows: np.ndarray | None = None) -> dict:
+    def parts(self, wanted: np.ndarray | None = None):
+        """(lang, documents, n-grams of their bytes, each document's first) of slices of documents of one language."""
+        number, row = np.cumsum(self.is_doc) - 1, 0
+        for batch in self.table.to_batches():
+            rows = np.flatnonzero(self.is_doc[row : row + batch.num_rows])
+            docs = number[row + rows]
+            row += batch.num_rows
+            if wanted is not None:
+                rows, docs = rows[wanted[docs]], docs[wanted[docs]]
+            text = batch.column(batch.schema.get_field_index("text"))
+            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+            size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+            by_lang: dict = {}
+            for k, i in enumerate(rows.tolist()):
+                by_lang.setdefault(langs[i], []).append(k)
+            for lang, own in by_lang.items():
+                own = np.array(own)
+                ends = np.cumsum(size[rows[own]], dtype=np.int64)
+                at = 0
+                while at < len(own):
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                    data, offsets = tk.buffer_of(text.take(pa.array(rows[own[at:to]])))
+                    yield lang, docs[own[at:to]], grams(data, offsets), offsets
+                    at = to
+
+    def distinct(self, wanted: np.ndarray | None = None) -> dict:
         """Of each language the distinct n-grams with their counts."""
         out: dict = {}
-        for lang, _, keys, _ in self.parts(rows):
+        for lang, _, keys, _ in self.parts(wanted):
             keys, counts = _tally(keys)
             if lang in out:
                 keys, counts = _tally(np.concatenate([out[lang][0], keys]), np.concatenate([out[lang][1], counts]))
@@ -169,7 +180,7 @@ def _counted(shards: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = Bucket(table)
         rows = []
-        for lang, (keys, counts) in bucket.distinct(np.flatnonzero(bucket.trusted & ~bucket.held)).items():
+        for lang, (keys, counts) in bucket.distinct(bucket.trusted & ~bucket.held).items():
             shard = shard_of(keys, shards)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -331,8 +342,7 @@ def _scored(shards: int, schema: pa.Schema):
                 known, value = logs[lang]
                 total = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(known, keys)])])
                 sums[rows] = total[offsets[1:]] - total[offsets[:-1]]
-        text = bucket.docs.column("text")
-        chars = pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64())
+        chars = pc.fill_null(pc.utf8_length(table.column("text")), 0).cast(pa.int64()).filter(pa.array(bucket.is_doc))
         names = [name_of.get(x) for x in bucket.docs.column("lang").to_pylist()]
         arrays = [bucket.docs.column("row"), pa.array(names, pa.string()), pa.array(bucket.trusted & bucket.held), chars, pa.array(size), pa.array(sums, mask=np.isnan(sums) | (size == 0))]
         return pa.table(arrays, schema=schema)
@@ -370,11 +380,11 @@ def judged(docs: DataFrame, labels: DataFrame, *, text: str = "text", lang: str
     mark = F.col(f"`{label}`")
     marks = labels.filter(mark.isNotNull()).select(F.col(f"`{doc_id}`").cast(kinds["id"]).alias("id"), (mark == 1).cast("int").alias("label_of")).filter("id IS NOT NULL")
     marks = marks.select(place(F.col("id")).alias("bucket"), "label_of", "id", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("text", "lang", "held", "row")])
-    # one shuffle deals texts and labels for counting, asking and scoring
+    # one shuffle deals texts and labels for counting, asking and scoring: all is one plan, in which Spark reuses it
     dealt = rows.unionByName(marks).groupBy("bucket")
-    counts = cut(dealt.applyInArrow(_counted(shards), _COUNTED).groupBy("shard").applyInArrow(_merged, "shard long, name string, keys binary, counts binary"))
+    counts = dealt.applyInArrow(_counted(shards), _COUNTED).groupBy("shard").applyInArrow(_merged, "shard long, name string, keys binary, counts binary")
     statistics = counts.mapInArrow(_statistics, "name string, kind long, key long, n long").groupBy("name", "kind", "key").agg(F.sum("n").alias("n"))
-    models = cut(statistics.groupBy("name").applyInArrow(_completed, "name string, d array<double>, low array<binary>"))
+    models = statistics.groupBy("name").applyInArrow(_completed, "name string, d array<double>, low array<binary>")
     none = F.lit(None)
     model = counts.select("shard", "name", "keys", "counts", none.cast("array<double>").alias("d"))
     model = model.unionByName(models.select("name", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), none.cast("binary").alias("keys"), none.cast("binary").alias("counts")))
