@@ -82,6 +82,12 @@ def risk(score: np.ndarray, w_p: np.ndarray, w_u: np.ndarray, prior: float) -> t
     return positive, (w_u * loss_neg).sum() - prior * (w_p * loss_neg).sum(), prior * w_p * (s - 1), (w_u - prior * w_p) * s
 
 
+def _only(kept: np.ndarray, column: np.ndarray, row: np.ndarray, value: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The triples of the kept features, renumbered, and those features."""
+    inside = kept[column]
+    return (np.cumsum(kept) - 1).astype(np.int32)[column[inside]], row[inside], value[inside], words[kept]
+
+
 def train(flat: np.ndarray, counts: np.ndarray, row: np.ndarray, positive: np.ndarray, prior: float, *, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, min_z: float = MIN_Z) -> Model:
     """Fit on (feature hash, count, row) triples; `positive` marks confirmed rows, the others are unlabelled.
 
@@ -93,18 +99,17 @@ def train(flat: np.ndarray, counts: np.ndarray, row: np.ndarray, positive: np.nd
     n = len(p)
     if not p.any() or p.all() or not 0 < prior < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 5.0 if n and p.all() else -5.0)
-    words, column = np.unique(flat, return_inverse=True)
-    value = np.log1p(counts)
+    # features of few texts go first: they are most of the triples
+    words, column, texts = np.unique(flat, return_inverse=True, return_counts=True)
+    kept = texts >= MIN_TEXTS
+    column, row, value, words = _only(kept, column.astype(np.int32), row.astype(np.int32), counts, words)
+    value = np.log1p(value)
     of_p = p[row]
-    texts = np.bincount(column, minlength=len(words))
-    mean_p = np.bincount(column, value * of_p, len(words)) / p.sum()
-    mean_u = np.bincount(column, value * ~of_p, len(words)) / (~p).sum()
+    mean_p = np.bincount(column[of_p], value[of_p], len(words)) / p.sum()
+    mean_u = np.bincount(column[~of_p], value[~of_p], len(words)) / (~p).sum()
     mean, square = np.bincount(column, value, len(words)) / n, np.bincount(column, value * value, len(words)) / n
     z = (mean_p - mean_u) / np.sqrt(np.maximum(square - mean * mean, 1e-12) * (1 / p.sum() + 1 / (~p).sum()))
-    kept = (texts >= MIN_TEXTS) & (np.abs(z) >= min_z)
-    renamed = np.cumsum(kept) - 1
-    inside = kept[column]
-    column, row, value, words = renamed[column[inside]], row[inside], value[inside], words[kept]
+    column, row, value, words = _only(np.abs(z) >= min_z, column, row, value, words)
     width = len(words)
     w_p, w_u = np.where(p, 1 / p.sum(), 0), np.where(p, 0, 1 / (~p).sum())
     theta = np.zeros(width + 1)
@@ -139,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     prior = float(share["p"] or 0.0)
     total = rows.count()
     # ids in the order of their hash: max_positive at most are broadcast
-    positive = marks.filter("toxic = 1").select("i").orderBy(F.xxhash64(F.lit("sample"), "i"), "i").limit(max_positive)
+    positive_ids = marks.filter("toxic = 1").select("i").orderBy(F.xxhash64(F.lit("sample"), "i"), "i").limit(max_positive)
     draw = F.xxhash64(F.lit("unlabelled"), "i", "t")
     # a threshold of the hash passes somewhat more than max_unlabelled rows of any table, of which the first are taken
     threshold = min(1.0, 1.2 * max_unlabelled / max(1, total))
@@ -159,18 +164,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
 
     shaped = lambda part, n: first(part, n).mapInArrow(run, "words array<long>, counts array<int>").toArrow()
     # a positive that the draw also took stands in both parts
-    parts = [(shaped(rows.join(F.broadcast(positive), "i"), max_positive), True), (shaped(rows.filter(passed), max_unlabelled), False)]
     flat, counts, row, positive = [], [], [], []
-    for part, mark in parts:
-        if not part.num_rows:
+    for part, n, mark in ((rows.join(F.broadcast(positive_ids), "i"), max_positive, True), (rows.filter(passed), max_unlabelled, False)):
+        table = shaped(part, n)
+        if not table.num_rows:
             continue
-        words, numbers = part.column("words").combine_chunks(), part.column("counts").combine_chunks()
-        flat.append(words.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-        counts.append(numbers.flatten().to_numpy(zero_copy_only=False))
-        row.append(np.repeat(np.arange(part.num_rows) + sum(map(len, positive)), pc.list_value_length(words).to_numpy(zero_copy_only=False)))
-        positive.append(np.full(part.num_rows, mark))
+        lists = table.column("words")
+        row.append(np.repeat(np.arange(table.num_rows, dtype=np.int32) + sum(map(len, positive)), pc.list_value_length(lists).to_numpy()))
+        flat += [c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in lists.chunks]
+        counts += [c.flatten().to_numpy(zero_copy_only=False) for c in table.column("counts").chunks]
+        positive.append(np.full(table.num_rows, mark))
+        del table, lists
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return train(join(flat, np.uint64), join(counts, int), join(row, int), join(positive, bool), prior)
+    parts = [join(x, kind) for x, kind in ((flat, np.uint64), (counts, np.int32), (row, np.int32), (positive, bool))]
+    del flat[:], counts[:], row[:]
+    return train(*parts, prior)
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score") -> DataFrame:
