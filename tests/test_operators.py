@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import SCHEMA, TRACES, A, B, C, D, at, dataset, trips
+from viaflux.datasets import TripDataset
 from viaflux.issues import BuildFailed, CleanFailed, FilterFailed, FixFailed, ImportFailed, InferenceFailed, QueryFailed, StorageFailed, ValidationFailed
 from viaflux.operators.cleaning import CleanOptions, clean_trips
 from viaflux.operators.drilldown import coverage, get_trips_from_flows
@@ -14,7 +15,7 @@ from viaflux.operators.flows import FlowBuildOptions, build_flows
 from viaflux.operators.importing import MAX_DOMAIN, ImportOptions, import_traces_from_dataframe, import_trips_from_dataframe, with_row_number
 from viaflux.operators.inference import InferTripsOptions, infer_trips_from_traces
 from viaflux.operators.validation import ValidationOptions, validate_traces, validate_trips
-from viaflux.schema import DomainSpec, FieldSpec, TripSchema
+from viaflux.schema import DomainSpec, EffectiveSchema, FieldSpec, TripSchema
 from viaflux.sources import artifacts
 from viaflux.sources.profiles import SourceProfile, import_trips_from_profile
 
@@ -375,3 +376,23 @@ def test_flow_aggregation_has_one_shuffle(spark):
     keyed = with_keys(trips(spark).data, resolution=7, time_aggregation="day")
     plan = aggregate(keyed, ["origin_h3_index", "destination_h3_index", "window_start_utc", "window_end_utc"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan
+
+
+def test_domains_of_many_rows_are_sampled_alike(spark):
+    names = ["movement_id", "user_id", "mode", "purpose"]
+    rows = [(f"m{i}", f"u{i % 50}", "x", "strange" if i % 10 == 0 else "1-URGENT") for i in range(60_000)]
+    df = spark.createDataFrame(rows, names)
+    schema = TripSchema("1.0", {n: FieldSpec(n, "categorical" if n in ("mode", "purpose") else "string", domain=DomainSpec(["1-URGENT"]) if n == "purpose" else None) for n in names}, names[:2])
+    effective = EffectiveSchema({n: schema.fields[n].dtype for n in names}, temporal={"tier": "tier_3"}, fields=names)
+    for frac in (0.01, 0.3):
+        o = ValidationOptions(validate_constraints=False, validate_types_and_formats=False, validate_domains="sample", domains_sample_frac=frac, domains_min_in_domain_ratio=0.5)
+        reports = [validate_trips(TripDataset(part, schema, effective=effective), options=o)[1] for part in (df.coalesce(1), df.repartition(5))]
+        ratios = [r.summary["domains"]["purpose"] for r in reports]
+        assert ratios[0] == ratios[1] and abs(ratios[0] - 0.9) < 0.04
+        assert {i.code for i in reports[0].issues if i.field} == {"VAL.DOMAIN.MISSING_DOMAIN_INFO", "VAL.DOMAIN.PARTIAL_COVERAGE"}
+
+
+def test_row_numbers_of_unordered_rows_are_dense(spark):
+    df = spark.range(1000).repartition(7).withColumn("_part", F.lit(1)).drop("_part")
+    out = with_row_number(df, "n")
+    assert out.columns == ["id", "n"] and sorted(r["n"] for r in out.collect()) == list(range(1000))

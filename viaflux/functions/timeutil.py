@@ -62,3 +62,8 @@ def bucket(ts: Column, kind: str) -> tuple[Column, Column]:
 
 def seconds_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(b) - F.unix_micros(a)) / F.lit(1e6)
+
+
+def local_hour(c: Column, zone: str) -> Column:
+    """The hour of a UTC time on the clocks of a zone; null stays null."""
+    return F.hour(F.from_utc_timestamp(c, zone))

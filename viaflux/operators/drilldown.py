@@ -47,12 +47,17 @@ def _derived(flows: FlowDataset, trips: TripDataset, issues: Issues) -> DataFram
     return bridge(keyed, flows.flows, keys)
 
 
+def unmatched_movements(pairs: DataFrame, trips: TripDataset) -> DataFrame:
+    """The movement_ids of trips that no flow has."""
+    return trips.data.select("movement_id").join(pairs.select("movement_id").distinct(), "movement_id", "left_anti")
+
+
 def coverage(flows: FlowDataset, pairs: DataFrame, trips: TripDataset | None = None, sample: int = 10) -> dict:
     """How many flows and movements are matched, and bounded samples of those that aren't."""
     lost = flows.flows.select("flow_id").join(pairs.select("flow_id").distinct(), "flow_id", "left_anti")
     counts = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("flow_id").alias("flows"), F.countDistinct("movement_id").alias("movements")).first().asDict()
     out = {"matched": counts, "unmatched_flows": lost.count(), "unmatched_flow_sample": [r[0] for r in lost.orderBy("flow_id").limit(sample).collect()]}
     if trips is not None:
-        free = trips.data.select("movement_id").join(pairs.select("movement_id").distinct(), "movement_id", "left_anti")
+        free = unmatched_movements(pairs, trips)
         out |= {"unmatched_movements": free.count(), "unmatched_movement_sample": [r[0] for r in free.orderBy("movement_id").limit(sample).collect()]}
     return out

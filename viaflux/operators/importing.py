@@ -61,18 +61,20 @@ def with_row_number(df: DataFrame, column: str = ROW, order: Sequence[str | Colu
     """A dense row number from 0 without collecting rows into one task.
 
     In the order of `order` if given, else as partitions are read. Partition
-    sizes (one number for each) are all that reaches the driver.
+    sizes (one number for each) are all that reaches the driver. Rows are
+    written once, so the sizes are those of the rows that are numbered.
     """
-    if order:
-        df = cut(df.orderBy(*order))  # sorted once: its ranges are read again for the sizes and for the rows
+    df = cut(df.orderBy(*order) if order else df)
     tagged = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
     start, before = [], 0
     for r in sizes:
         start.append((r["_part"], before))
         before += r["n"]
-    offsets = F.create_map(*[F.lit(x) for pair in start for x in pair]) if start else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    return tagged.withColumn(column, (F.element_at(offsets, F.col("_part")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at", "_part")
+    # a row for each partition: small enough to broadcast
+    offsets = df.sparkSession.createDataFrame(start, "_part long, _before long")
+    numbered = tagged.join(F.broadcast(offsets), "_part", "left")
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(column))
 
 
 def normalise_domain(c: Column, mapping: Mapping[str, str] | None) -> Column:

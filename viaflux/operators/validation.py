@@ -130,9 +130,17 @@ def domain_of(trips: TripDataset, name: str) -> list[str] | None:
     return list(spec.values) if spec and spec.values else None
 
 
+#: Rows that a sample orders to take an exact number; larger samples take what a threshold of the hash passes.
+EXACT_SAMPLE = 10_000
+
+
 def sampled(df: DataFrame, frac: float, rows: int) -> DataFrame:
-    """ceil(rows * frac) rows in the order of a hash, so reruns agree."""
-    return df.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).limit(math.ceil(rows * frac))
+    """About rows * frac rows, one at least, by a hash of all their columns, so reruns agree and equal values don't go together."""
+    key = F.xxhash64(F.lit("sample"), *[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() != "map"])
+    n = max(1, math.ceil(rows * frac))
+    if n <= EXACT_SAMPLE:
+        return df.orderBy(key).limit(n)
+    return df.filter(F.pmod(key, F.lit(1 << 40)) < int(frac * (1 << 40)))
 
 
 def validate_trips(trips: TripDataset, *, options: ValidationOptions | None = None) -> tuple[TripDataset, Report]:
@@ -187,6 +195,9 @@ def validate_trips(trips: TripDataset, *, options: ValidationOptions | None = No
     elif o.validate_temporal_consistency:
         issues.warn("VAL.TEMPORAL.NOT_EVALUATED", f"times can't be compared in {trips.tier}")
     domains = {f.name: domain_of(trips, f.name) for f in fields if trips.effective.dtypes.get(f.name, f.dtype) == "categorical"} if o.validate_domains != "off" else {}
+    for name, values in domains.items():
+        if not values:
+            issues.warn("VAL.DOMAIN.MISSING_DOMAIN_INFO", "there is no domain to check the values by", field=name)
     member = {n: F.col(f"`{n}`").cast("string").isin(v) for n, v in domains.items() if v}
     in_scan = {} if o.validate_domains == "sample" else member
     counts = df.agg(
@@ -205,14 +216,14 @@ def validate_trips(trips: TripDataset, *, options: ValidationOptions | None = No
             issues.err("VAL.CORE.CONSTRAINT_VIOLATION", "constraint 'unique' is broken", field=name, row_count=n)
     ratios: dict[str, float] = {}
     if member:
-        seen = counts if in_scan else sampled(df.select(*[F.col(f"`{n}`") for n in member]), o.domains_sample_frac, rows).agg(*[x for n, m in member.items() for x in (F.count(F.col(f"`{n}`")).alias(f"d_{n}"), F.count_if(m).alias(f"i_{n}"))]).first()
+        seen = counts if in_scan else sampled(trips.data, o.domains_sample_frac, rows).agg(*[x for n, m in member.items() for x in (F.count(F.col(f"`{n}`")).alias(f"d_{n}"), F.count_if(m).alias(f"i_{n}"))]).first()
         for name in member:
             total = seen[f"d_{name}"]
             ratios[name] = seen[f"i_{name}"] / total if total else 1.0
             if ratios[name] < o.domains_min_in_domain_ratio:
                 issues.err("VAL.DOMAIN.RATIO_BELOW_MIN", f"{ratios[name]:.4f} of the values are in the domain", field=name)
             elif ratios[name] < 1:
-                issues.warn("VAL.DOMAIN.PARTIAL", f"{ratios[name]:.4f} of the values are in the domain", field=name)
+                issues.warn("VAL.DOMAIN.PARTIAL_COVERAGE", f"{ratios[name]:.4f} of the values are in the domain", field=name)
     duplicates = repeated(df, o.duplicates_subset, False) if o.validate_duplicates else 0
     if duplicates:
         issues.err("VAL.DUPLICATES.ROWS_FOUND", f"{duplicates} rows are repeated", row_count=duplicates)

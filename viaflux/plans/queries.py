@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,7 +110,7 @@ def trips_from_flows_reconstruct(spark, sf_dir):
 def coverage_unmatched(spark, sf_dir):
     built = _build(spark, sf_dir, h3_resolution=6)
     pairs, _ = drilldown.get_trips_from_flows(built)
-    return built.source_trips.data.select("movement_id").join(pairs.select("movement_id").distinct(), "movement_id", "left_anti").distinct()
+    return drilldown.unmatched_movements(pairs, built.source_trips).distinct()
 
 
 # --- filters -------------------------------------------------------------
@@ -270,7 +271,7 @@ _C = "VAL.CORE.CONSTRAINT_VIOLATION"
 def val_constraints(spark, sf_dir):
     t = views.trips(spark, sf_dir)
     o = validation.ValidationOptions(validate_temporal_consistency=True, validate_duplicates=True, duplicates_subset=["trip_id", "movement_seq"], sample_rows_per_issue=0)
-    return _issue_rows(spark, validation.validate_trips(t, options=o)[1]).filter("code <> 'VAL.CORE.NULLABILITY_VIOLATION' OR n > 0").filter("field <> 'destination_h3_index'")
+    return _issue_rows(spark, validation.validate_trips(t, options=o)[1])
 
 
 @query(f"WITH {TRIPS_SQL} SELECT count(*)::BIGINT AS n, count(*) FILTER (try_cast(segment AS DOUBLE) IS NULL)::BIGINT AS not_float, count(*) FILTER (try_cast(user_id AS BIGINT) IS NULL)::BIGINT AS not_int, count(*) FILTER (lower(mode) NOT IN ('true','t','1','yes','y','si','sí','false','f','0','no','n'))::BIGINT AS not_bool FROM trips")
@@ -304,6 +305,53 @@ def val_traces(spark, sf_dir):
     return spark.createDataFrame([(report.summary["rows"], report.ok)], "rows long, ok boolean")
 
 
+_T = "VAL.CONSTRAINTS.VIOLATION"
+_FAULTS_SQL = """traces AS (SELECT * REPLACE (CASE WHEN k % 11 = 0 THEN NULL ELSE user_id END AS user_id, CASE WHEN k % 7 = 3 THEN latitude + 200 ELSE latitude END AS latitude,
+  CASE WHEN k % 13 = 0 THEN 'p' ELSE point_id END AS point_id, CASE WHEN k % 5 = 0 THEN '9' || location_ref ELSE location_ref END AS location_ref) FROM sound)"""
+
+
+def _fault_sql(code: str, field: str, condition: str) -> str:
+    return _count_sql(code, field, condition).replace("FROM trips", "FROM traces")
+
+
+@query(
+    f"WITH {TRACES_SQL.replace('traces AS', 'sound AS', 1)}, {_FAULTS_SQL} "
+    + " UNION ALL ".join(
+        [
+            _fault_sql("VAL.REQUIRED.NULL_IN_REQUIRED", "user_id", "user_id IS NULL"),
+            _fault_sql(_T, "latitude", "latitude > 90"),
+            _fault_sql(_T, "location_ref", "NOT regexp_full_match(location_ref, '[a-z]+')"),
+            _fault_sql(_T, "point_id", "point_id IN (SELECT point_id FROM traces GROUP BY 1 HAVING count(*) > 1)"),
+        ]
+    )
+)
+def val_traces_faults(spark, sf_dir):
+    """Points with faults: what the report counts."""
+    t = views.traces(spark, sf_dir)
+    k = F.col("k")
+    data = t.data.withColumns(
+        {
+            "user_id": F.when(k % 11 != 0, F.col("user_id")),
+            "latitude": F.when(k % 7 == 3, F.col("latitude") + 200).otherwise(F.col("latitude")),
+            "point_id": F.when(k % 13 == 0, "p").otherwise(F.col("point_id")),
+            "location_ref": F.when(k % 5 == 0, F.concat(F.lit("9"), "location_ref")).otherwise(F.col("location_ref")),
+        }
+    )
+    o = validation.TraceValidationOptions(validate_monotonic_time_per_user=False)
+    _, report = validation.validate_traces(replace(t, data=data), options=o)
+    return _issue_rows(spark, report)
+
+
+@query(f"WITH {TRIPS_SQL} SELECT count(*)::BIGINT AS n, true AS near FROM trips")
+def val_domain_sample(spark, sf_dir):
+    """A sampled domain ratio lies near that of all rows, and a rerun agrees."""
+    t = views.trips(spark, sf_dir)
+    o = validation.ValidationOptions(validate_constraints=False, validate_types_and_formats=False, validate_domains="full", domains_min_in_domain_ratio=0.1)
+    whole = validation.validate_trips(t, options=o)[1].summary
+    parts = [validation.validate_trips(t, options=replace(o, validate_domains="sample", domains_sample_frac=0.3))[1].summary["domains"]["purpose"] for _ in range(2)]
+    return spark.createDataFrame([(whole["rows"], parts[0] == parts[1] and abs(parts[0] - whole["domains"]["purpose"]) < 0.05)], "n long, near boolean")
+
+
 # --- inference -----------------------------------------------------------
 
 _HAVERSINE = """(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)))"""
@@ -437,6 +485,14 @@ def import_recode_domain(spark, sf_dir):
     return _imported(spark, sf_dir)[0].data.select("movement_id", "user_id", "mode", "purpose")
 
 
+@query(f"WITH {_RAW_SQL} SELECT id AS movement_id, CASE how WHEN 'A' THEN 'air' ELSE 'unknown' END AS mode FROM raw")
+def import_closed_domain(spark, sf_dir):
+    """A closed domain of one value, and a stranger for nearly each row."""
+    raw = _raw(spark, sf_dir).withColumn("how", F.when(F.trim("how") == "A", "air").otherwise(F.concat(F.lit("c"), "id")))
+    profile = profiles.SourceProfile("lines", default_field_correspondence=_FIELDS, default_options=importing.ImportOptions(keep_extra_fields=False))
+    return profiles.import_trips_from_profile(raw, profile, _IMPORT_SCHEMA)[0].data.select("movement_id", "mode")
+
+
 @query(f"WITH {_RAW_SQL} SELECT id AS movement_id, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT END AS seats, CASE l_linenumber WHEN 1 THEN true WHEN 2 THEN false END AS is_return, CASE WHEN o_custkey % 30 < 24 THEN lpad((o_custkey % 30)::VARCHAR, 2, '0') || ':15' END AS origin_time_local_hhmm FROM raw")
 def import_coerce(spark, sf_dir):
     return _imported(spark, sf_dir)[0].data.select("movement_id", "seats", "is_return", "origin_time_local_hhmm")
@@ -621,12 +677,12 @@ def neighbourhood(spark, sf_dir):
 @query("SELECT hour(ts - INTERVAL 5 HOUR)::INTEGER AS local_hour, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def local_hour(spark, sf_dir):
     t = views.traces_table(spark, sf_dir)
-    return t.groupBy(F.hour(F.from_utc_timestamp("time_utc", "America/Jamaica")).alias("local_hour")).agg(F.count(F.lit(1)).alias("n"))
+    return t.groupBy(timeutil.local_hour(F.col("time_utc"), "America/Jamaica").alias("local_hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TRIPS_SQL}, {_FLOW_SQL} SELECT DISTINCT id FROM (SELECT origin_h3_index AS id FROM f UNION ALL SELECT destination_h3_index FROM f)")
+@query(f"WITH {TRIPS_SQL}, {_FLOW_SQL} SELECT DISTINCT id, true AS located FROM (SELECT origin_h3_index AS id FROM f UNION ALL SELECT destination_h3_index FROM f)")
 def export_locations(spark, sf_dir):
-    return export.locations(_build(spark, sf_dir).flows).filter("lat IS NOT NULL AND lon IS NOT NULL").select("id")
+    return export.locations(_build(spark, sf_dir).flows).select("id", F.expr("coalesce(lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180, false)").alias("located"))
 
 
 @query(f"WITH {TRIPS_SQL}, {_FLOW_SQL} SELECT origin_h3_index AS origin, destination_h3_index AS dest, round(flow_value, 2) AS count, flow_count::BIGINT AS flow_count FROM f")
