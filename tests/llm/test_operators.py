@@ -175,7 +175,7 @@ def brute_dedup(rows, whole_lines=True, least=20, least_line=8):
                 end, b = end + 1, b + 1
             opens = begin == 0 or words[begin - 1][3] != words[begin][3]
             closes = end == len(words) or words[end - 1][3] != words[end][3]
-            if end - begin >= least:
+            if end - begin >= least or (opens and closes and end - begin >= least_line):
                 stop = words[end - 1][3] if closes else words[end][1]
                 goes.append((words[begin][1], min(stop + 1, len(text)) if opens and closes else stop))
             k += n
@@ -207,6 +207,18 @@ def test_dedup_is_that_of_plain_loops(spark, whole_lines, monkeypatch):
     assert expected != dict(rows)
 
 
+def test_lines_that_stand_inside_earlier_lines_go(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    lines = [[word() for _ in range(15)] for _ in range(100)]
+    rows = [(k, " ".join([*[word() for _ in range(30)], *line, *[word() for _ in range(30)]])) for k, line in enumerate(lines)]
+    rows += [(100 + k, f"{word()} {word()}\n{' '.join(line)}\n{word()}") for k, line in enumerate(lines)]
+    expected = brute_dedup(rows)
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True).collect()}
+    assert out == expected
+    assert sum(len(out[100 + k].split()) == 3 for k in range(100)) >= 90
+
+
 def test_unique_words_beside_passages_stay(spark):
     rng = np.random.default_rng(2)
     passage = [f"shared{i}" for i in range(40)]

@@ -9,16 +9,17 @@ ranks earliest by (doc_id, place in the document) stays, and each later one
 knows it. A unit alone may repeat by chance, so units go in runs: neighbours
 whose first occurrences are neighbours as well. The ends of a run are moved
 outwards over the words that equal those beside the first occurrence (CONTEXT
-of them on either side), and the run goes if it has MIN_WORDS words or more: a
-sequence of words that stands earlier in the corpus, word for word. Lines are
-hashed as a whole too, and later occurrences of an equal line go from
-MIN_LINE_WORDS words on or, as the queries have it, at any length. Removed spans
-keep their offsets in the original text.
+of them on either side), and the run goes if it has MIN_WORDS words or more, or
+is whole lines of MIN_LINE_WORDS or more: a sequence of words that stands earlier
+in the corpus, word for word. Lines are hashed as a whole too, and later
+occurrences of an equal line go from MIN_LINE_WORDS words on or, as the queries
+have it, at any length. Removed spans keep their offsets in the original text.
 
 A frequent digest sends one row from each task to the global grouping; its other
 rows wait under a key of their own task and learn the first occurrence from that
-row. The words around first occurrences are fetched only for ends of runs that
-can reach the least length. Nothing depends on how rows are dealt to tasks.
+row. The words around first occurrences are fetched only for ends that may move,
+of runs that can reach the least length. Nothing depends on how rows are dealt
+to tasks.
 """
 
 from __future__ import annotations
@@ -39,12 +40,14 @@ from . import textkit as tk
 REACH = 2
 #: Words of a run of repeated units that is removed wherever it stands.
 MIN_WORDS = 20
-#: Words of a whole line that is removed if an earlier line equals it.
+#: Words of whole lines that are removed if they stand earlier, as lines or inside one.
 MIN_LINE_WORDS = 8
 #: Words beside a first occurrence that the end of a run is compared with, by 32 bits of their hashes.
 CONTEXT = 16
 #: A unit is known by a byte of the hash of so many words on either side: where it differs, fewer of them are equal.
 NEAR = 6
+#: A unit's words as far as its hint counts them; one of so many may have more.
+MOST = 127
 #: Added to a line's number to tell it from a unit's.
 LINE = -(1 << 31) + 1
 #: The seq of a row that tells a task's waiting rows the first occurrence.
@@ -86,15 +89,29 @@ class Units:
         self.seq = np.arange(len(self.begin)) - self.first_unit[self.unit_row]
 
     def hints(self) -> np.ndarray:
-        """Of each unit its words (16 bits) and a byte of the NEAR words before and of those after, 0 where the row has fewer."""
+        """What tells how far a run that ends with a unit can grow, 12 bits for either side and 7 for its words (MOST at most).
+
+        Of the words after it (from bit 0 on) and before it (from bit 8 on): a
+        byte of the NEAR nearest, 0 where the row has fewer; two bits each (from
+        16 and 18 on) of the way to the line's end: 0 none, 1 fewer than NEAR
+        words, 2 up to CONTEXT, 3 more; two bits (from 20 and 22 on) of the
+        nearest word.
+        """
         if not len(self.begin):
             return np.zeros(0, np.int32)
-        out = np.minimum(self.end - self.begin, 0x7FFF).astype(np.int32) << 16
+        out = np.minimum(self.end - self.begin, MOST).astype(np.int32) << 24
         first, last = self.first[self.unit_row], self.first[self.unit_row + 1]
-        for shift, low, high in ((8, self.begin - NEAR, self.begin), (0, self.end, self.end + NEAR)):
+        heads = np.append(np.flatnonzero(self.line_start), len(self.words))
+        back = self.begin - heads[np.searchsorted(heads, self.begin, "right") - 1]
+        ahead = heads[np.searchsorted(heads, self.end)] - self.end
+        sides = ((1, self.begin - NEAR, self.begin, self.begin - 1, back), (0, self.end, self.end + NEAR, self.end, ahead))
+        for side, low, high, next_word, way in sides:
             at = np.flatnonzero((low >= first) & (high <= last))
             mark = (tk.ranges_hash(self.words, low[at], high[at]) >> np.uint64(56)).astype(np.int32)
-            out[at] |= np.maximum(mark, 1) << shift
+            out[at] |= np.maximum(mark, 1) << (8 * side)
+            out |= np.digitize(way, [1, NEAR, CONTEXT + 1]).astype(np.int32) << (16 + 2 * side)
+            at = np.flatnonzero((next_word >= first) & (next_word < last))
+            out[at] |= (self.words[next_word[at]] >> np.uint64(62)).astype(np.int32) << (20 + 2 * side)
         return out
 
     def beside(self, at: np.ndarray, row: np.ndarray, step: int) -> np.ndarray:
@@ -297,7 +314,7 @@ def _equal_words(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), CONTEXT)
 
 
-def removed_spans(units: Units, lines: Lines, row: np.ndarray, flags: list[np.ndarray], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def removed_spans(units: Units, lines: Lines, row: np.ndarray, flags: list[np.ndarray], min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of a slice that go, ascending and apart.
 
     `flags` has for each entry seq, digest, opens (a run begins), side and, as
@@ -332,7 +349,7 @@ def removed_spans(units: Units, lines: Lines, row: np.ndarray, flags: list[np.nd
         last_word = units.first[of_row + 1]
         to_line_end = (end == last_word) | units.line_start[np.minimum(end, len(units.words) - 1)]
         whole = units.line_start[begin] & to_line_end
-        goes = end - begin >= min_words
+        goes = (end - begin >= min_words) | (whole & (end - begin >= min_line_words))
         begin, end, of_row, to_line_end, whole, last_word = (x[goes] for x in (begin, end, of_row, to_line_end, whole, last_word))
         size = units.offsets[of_row + 1]
         k = np.searchsorted(units.newlines, units.ends[end - 1])
@@ -369,7 +386,8 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_
 
     doc and no_doc are the key of the document, fdoc and no_fdoc that of the
     first occurrence's, seq and fseq the places. words counts a unit's; back and
-    ahead tell whether NEAR words or more before and after it may be equal.
+    ahead tell how many words before and after it may be equal at most, to_start
+    and to_end whether all of its line may be.
     """
     kind = docs.schema[doc_id].dataType
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -381,13 +399,22 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_
     waiting = dealt.mapInArrow(lambda b: _firsts(b, True), met).repartition(partitions, "k").sortWithinPartitions("k", "seq").mapInArrow(_settled, met)
     out = dealt.mapInArrow(lambda b: _firsts(b, False), met).unionByName(waiting)
     (doc, no_doc), (fdoc, no_fdoc) = _key("doc", kind), _key("fdoc", kind)
-    mark = lambda c, by: F.shiftright(c, by).bitwiseAND(F.lit(255))
-    alike = lambda by: (mark("hint", by) != 0) & (mark("hint", by) == mark("fhint", by))
-    return out.select(doc.alias("doc"), no_doc.alias("no_doc"), "seq", "digest", F.shiftright("hint", 16).alias("words"), alike(8).alias("back"), alike(0).alias("ahead"), fdoc.alias("fdoc"), no_fdoc.alias("no_fdoc"), "fseq")
+    bits = lambda c, by, mask: F.shiftright(c, by).bitwiseAND(F.lit(mask))
+    words = F.when(bits("hint", 24, 127) == MOST, F.lit(1 << 20)).otherwise(bits("hint", 24, 127))
 
+    def side(k):
+        """The most words that may be equal on a side, and whether those up to the line's end may."""
+        alike = (bits("hint", 8 * k, 255) != 0) & (bits("hint", 8 * k, 255) == bits("fhint", 8 * k, 255))
+        most = F.when(bits("hint", 20 + 2 * k, 3) != bits("fhint", 20 + 2 * k, 3), F.lit(0)).when(alike, F.lit(CONTEXT)).otherwise(F.lit(NEAR - 1))
+        way = bits("hint", 16 + 2 * k, 3)
+        return most, (way == 0) | ((way == 1) & (most > 0)) | ((way == 2) & (most == CONTEXT))
 
-def _runs(found: DataFrame, least: int) -> DataFrame:
-    """Repeats by runs: opens and closes mark their ends; runs of units that can't have `least` words are left out."""
+    (back, to_start), (ahead, to_end) = side(1), side(0)
+    return out.select(doc.alias("doc"), no_doc.alias("no_doc"), "seq", "digest", words.alias("words"), back.alias("back"), ahead.alias("ahead"), to_start.alias("to_start"), to_end.alias("to_end"), fdoc.alias("fdoc"), no_fdoc.alias("no_fdoc"), "fseq")
+
+
+def _runs(found: DataFrame, least: int, least_line: int) -> DataFrame:
+    """Repeats by runs: opens and closes mark their ends; left out are runs of units that can't have `least` words nor be whole lines of `least_line`."""
     key = ["doc", "no_doc"]
     of_doc = Window.partitionBy(*key).orderBy("seq", "digest")
     before = lambda c: F.lag(c).over(of_doc)
@@ -395,17 +422,17 @@ def _runs(found: DataFrame, least: int) -> DataFrame:
     rows = found.withColumn("opens", ~F.coalesce(follows, F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.col("opens").cast("int")).over(of_doc)).withColumn("closes", F.coalesce(F.lead("opens").over(of_doc), F.lit(True)))
     of_run = Window.partitionBy(*key, "run")
-    more = lambda end, alike: F.when(F.max(F.col(end) & F.col(alike)).over(of_run), F.lit(CONTEXT)).otherwise(F.lit(NEAR - 1))
-    rows = rows.withColumn("most", F.sum("words").over(of_run) + more("opens", "back") + more("closes", "ahead"))
-    return rows.filter((F.col("most") >= least) | (F.col("seq") < 0))
+    at = lambda end, value: F.max(F.when(F.col(end), F.col(value))).over(of_run)
+    rows = rows.withColumn("most", F.sum("words").over(of_run) + at("opens", "back") + at("closes", "ahead")).withColumn("lines", at("opens", "to_start") & at("closes", "to_end"))
+    return rows.filter((F.col("most") >= least) | (F.col("lines") & (F.col("most") >= least_line)) | (F.col("seq") < 0))
 
 
 def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", whole_lines: bool = False, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """`docs` without repeated substrings: `text` loses them, `removed` has their spans in the original.
 
     Runs of `min_words` words that stand earlier, word for word, go wherever
-    they are, and whole lines from `min_line_words` words on that equal an
-    earlier line in their words. `whole_lines` removes equal lines of any length
+    they are, and whole lines from `min_line_words` words on, if they equal an
+    earlier line or a run inside one. `whole_lines` removes equal lines of any length
     (those without words: equal in all that isn't white space). Other parts of
     fewer than `min_words` words stay.
     Adds removed (array of [start, end) code-point offsets in the original
@@ -420,8 +447,8 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     base = docs.drop("removed", "n_units")
     flags_name, asked_name, id_name, no_id = tk.fresh(base.columns, "flags", "asked", "id", "no_id")
     key, kind = ["doc", "no_doc"], base.schema[doc_id].dataType
-    runs = _runs(repeats(base, text=text, doc_id=doc_id, min_line_words=0 if whole_lines else min_line_words), min_words)
-    sides = F.array_compact(F.array(F.when(F.col("opens"), F.lit(-1)), F.when(F.col("closes"), F.lit(1))))
+    runs = _runs(repeats(base, text=text, doc_id=doc_id, min_line_words=0 if whole_lines else min_line_words), min_words, min_line_words)
+    sides = F.array_compact(F.array(F.when(F.col("opens") & (F.col("back") > 0), F.lit(-1)), F.when(F.col("closes") & (F.col("ahead") > 0), F.lit(1))))
     ends = runs.filter("seq >= 0").select(*key, "seq", "digest", "fdoc", "no_fdoc", "fseq", F.explode(sides).alias("side")).withColumn("ask", F.xxhash64("digest", "side"))
     asked = ends.groupBy(F.col("fdoc").alias(id_name), F.col("no_fdoc").alias(no_id)).agg(F.collect_set(F.struct(F.col("fseq").alias("seq"), "digest", "side", "ask")).alias(asked_name))
     columns = [F.col(f"`{c}`") for c in base.columns]
@@ -453,7 +480,7 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
                 has = np.flatnonzero(pc.is_valid(words).to_numpy(zero_copy_only=False))
                 beside[has] = np.frombuffer(b"".join(words.take(pa.array(has)).to_pylist()), np.uint32).reshape(-1, CONTEXT)
                 parts = [seq.to_numpy().astype(np.int64), digest.to_numpy().view(np.uint64), opens.to_numpy(zero_copy_only=False).astype(bool), side.to_numpy(), beside]
-                start, end = removed_spans(units, units.lines(), row, parts, min_words)
+                start, end = removed_spans(units, units.lines(), row, parts, min_words, min_line_words)
                 texts, removed = _without(units, texts, start, end)
             arrays = [texts if i == k else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, removed, pa.array(np.diff(units.first_unit), pa.int64())], names=schema.names)
