@@ -19,13 +19,20 @@ def one(spark, column, value, kind="string"):
 
 @pytest.mark.parametrize(
     "text,value",
-    [("-33.5", -33.5), ("-33,5", -33.5), ("33° 27.0' S", -33.45), ("33° 27' 36\" S", -33.46), ("70° 30' O", -70.5), (" 12 ", 12.0), ("north", None), ("", None), (None, None)],
+    [("-33.5", -33.5), ("-33,5", -33.5), ("33° 27.0' S", -33.45), ("33° 27' 36\" S", -33.46), ("70° 30' O", -70.5), ("33 27.0 S", -33.45), ("33 27 36 S", -33.46), ("33 27.0' s", -33.45), ("33 27", None), ("3327 S", None), (" 12 ", 12.0), ("north", None), ("", None), (None, None)],
 )
 def test_coordinates(spark, text, value):
     got = one(spark, lambda c: coerce.coordinate(c, T.StringType()), text)
     assert got is None if value is None else math.isclose(got, value, abs_tol=1e-9)
 
 
+def test_related_locations(spark):
+    flows = spark.createDataFrame([("a", "b"), ("c", "a"), ("b", "d"), ("e", None)], "origin_h3_index string, destination_h3_index string")
+    locations = spark.createDataFrame([(c, 1.0) for c in "abcdef"] + [(None, 2.0)], "id string, lat double")
+    ids = lambda cell: sorted(r["id"] for r in prep.related_locations(flows, locations, cell).collect())
+    assert ids("a") == ["a", "b", "c"] and ids("d") == ["b", "d"] and ids("e") == ["e"] and ids("f") == ["f"] and ids("x") == []
+
+
 @pytest.mark.parametrize("text,value", [("1", 1), ("1.0", 1), ("1.5", None), ("1d", None), ("nan", None), ("0x10", None), ("1_0", None), (" 7 ", 7), ("1e3", 1000)])
 def test_integers(spark, text, value):
     assert one(spark, lambda c: coerce.integer(c, T.StringType()), text) == value

@@ -60,12 +60,12 @@ def hhmm(c: Column) -> Column:
     return F.when(t.rlike(HHMM), t)
 
 
-_DM = r"^\s*(\d{1,3})\s*[°º]\s*(\d{1,2}(?:[.,]\d+)?)\s*['’′]?\s*([NSEWOnsewo])\s*$"
-_DMS = r"^\s*(\d{1,3})\s*[°º]\s*(\d{1,2})\s*['’′]\s*(\d{1,2}(?:[.,]\d+)?)\s*(?:\"|”|″|'')?\s*([NSEWOnsewo])\s*$"
+_DM = r"^\s*(\d{1,3})(?:\s*[°º]\s*|\s+)(\d{1,2}(?:[.,]\d+)?)\s*['’′]?\s*([NSEWOnsewo])\s*$"
+_DMS = r"^\s*(\d{1,3})(?:\s*[°º]\s*|\s+)(\d{1,2})(?:\s*['’′]\s*|\s+)(\d{1,2}(?:[.,]\d+)?)\s*(?:\"|”|″|'')?\s*([NSEWOnsewo])\s*$"
 
 
 def coordinate(c: Column, kind: T.DataType) -> Column:
-    """Degrees from numbers, decimal commas, degrees and minutes, or degrees, minutes and seconds."""
+    """Degrees from numbers, decimal commas, degrees and minutes, or degrees, minutes and seconds; white space may stand for marks."""
     if is_numeric(kind):
         return number(c, kind)
     t = F.trim(c.cast("string"))

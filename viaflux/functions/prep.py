@@ -22,7 +22,7 @@ def code_key(c: Column) -> Column:
 
 
 def decode(df: DataFrame, field: str, table: DataFrame, key: str, label: str, target: str | None = None) -> DataFrame:
-    """Codes replaced by labels of a table; those that it lacks keep their value. The first label of a key counts."""
+    """Codes replaced by labels of a table; those that it lacks keep their value. Of several labels of a key the smallest counts."""
     codes = table.select(code_key(F.col(f"`{key}`")).alias("_key"), F.col(f"`{label}`").alias("_label")).groupBy("_key").agg(F.min("_label").alias("_label"))
     out = df.join(codes, code_key(F.col(f"`{field}`")) == F.col("_key"), "left")
     return out.withColumn(target or field, F.coalesce("_label", F.col(f"`{field}`").cast("string"))).drop("_key", "_label")
@@ -144,6 +144,13 @@ def neighbourhood(flows: DataFrame, cell: str) -> DataFrame:
     return flows.filter((F.col("origin_h3_index") == cell) | (F.col("destination_h3_index") == cell))
 
 
+def related_locations(flows: DataFrame, locations: DataFrame, cell: str) -> DataFrame:
+    """The locations (`id`) at either end of flows that touch a cell, and the cell's own."""
+    ends = neighbourhood(flows, cell).select(F.explode(F.array("origin_h3_index", "destination_h3_index")).alias("id"))
+    own = flows.sparkSession.range(1).select(F.lit(cell).alias("id"))
+    return locations.join(ends.union(own), "id", "left_semi")
+
+
 def spread(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Median, quartiles and their distance for each group, exact and interpolated."""
     q = F.percentile(value, [0.25, 0.5, 0.75])
