@@ -674,6 +674,15 @@ def neighbourhood(spark, sf_dir):
     return prep.neighbourhood(_build(spark, sf_dir).flows, _CELLS[0]).select("origin_h3_index", "destination_h3_index", "flow_count")
 
 
+@query(f"""WITH {TRIPS_SQL}, {_FLOW_SQL}, touched AS (SELECT * FROM f WHERE origin_h3_index = '{_CELLS[0]}' OR destination_h3_index = '{_CELLS[0]}')
+SELECT id FROM (SELECT origin_h3_index AS id FROM f UNION SELECT destination_h3_index FROM f)
+WHERE id = '{_CELLS[0]}' OR id IN (SELECT origin_h3_index FROM touched UNION SELECT destination_h3_index FROM touched)""")
+def related_locations(spark, sf_dir):
+    flows = _build(spark, sf_dir).flows
+    locations = flows.select(F.explode(F.array("origin_h3_index", "destination_h3_index")).alias("id")).distinct()
+    return prep.related_locations(flows, locations, _CELLS[0])
+
+
 @query("SELECT hour(ts - INTERVAL 5 HOUR)::INTEGER AS local_hour, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def local_hour(spark, sf_dir):
     t = views.traces_table(spark, sf_dir)
