@@ -22,6 +22,7 @@ from ..functions import coerce, geo, h3bits
 from ..issues import FilterFailed, Issues, Report
 
 ORDERED = ("gt", "gte", "lt", "lte", "between")
+#: Operators that a dtype allows.
 OPERATORS = {
     "string": ("eq", "ne", "in", "not_in", "is_null", "not_null"),
     "categorical": ("eq", "ne", "in", "not_in", "is_null", "not_null"),

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import types as T
 
 DTYPES = ("string", "int", "float", "datetime", "categorical", "bool")
-#: Constraints that a dtype allows.
+#: Constraints that a dtype allows.
 CONSTRAINTS = {
     "string": {"nullable", "pattern", "length", "unique", "h3"},
     "int": {"nullable", "range", "unique"},
@@ -20,10 +20,11 @@ CONSTRAINTS = {
     "datetime": {"nullable", "datetime", "unique"},
     "categorical": {"nullable", "unique"},
 }
-#: Constraint keys with the payload keys they know.
+#: Constraint keys with the payload keys they know.
 PAYLOADS = {"range": {"min", "max"}, "datetime": {"min", "max", "allow_naive"}, "h3": {"require_valid", "resolution", "allow_mixed_resolution"}, "length": {"min", "max"}}
 SPARK_TYPES = {"string": T.StringType(), "categorical": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "datetime": T.TimestampType()}
 
+#: The core fields of trips.
 TRIP_CORE = (
     "movement_id", "user_id", "origin_longitude", "origin_latitude", "destination_longitude", "destination_latitude",
     "origin_time_utc", "destination_time_utc", "origin_h3_index", "destination_h3_index", "trip_id", "movement_seq",
