@@ -45,3 +45,29 @@ def test_text_and_geojson(spark, tmp_path):
     df = readers.geojson_lines(spark, f"{tmp_path}/a.geojson", {"departure_time": "string", "minutes": "double"})
     r = df.withColumn("end", F.date_format(prep.plus_minutes(F.col("departure_time").cast("timestamp"), F.col("minutes")), "HH:mm:ss")).collect()
     assert [tuple(x) for x in r] == [(1.0, 2.0, 5.0, 6.0, "2026-01-01 10:00:00", 7.5, "10:07:30")]
+
+
+def test_feather_is_written_and_read_by_tasks(spark, tmp_path):
+    import pyarrow.feather as pf
+
+    from viaflux.sources import feather, files
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.range(1000).repartition(3).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("kind"), F.timestamp_seconds("id").alias("at"))
+        at = f"{tmp_path}/t.feather"
+        fs = files.FileSystem(spark, at)
+        feather.write(fs, df, at, "lz4", ["kind"])
+        assert len(fs.names(at)) == 3
+        assert str(pf.read_table(f"{at}/{fs.names(at)[0]}").schema.field("kind").type).startswith("dictionary")
+        one = f"{at}/{fs.names(at)[0]}"
+        assert feather.read(spark, at).dtypes == df.dtypes and feather.read(spark, one).count() == len(pf.read_table(one))
+        assert prep.fingerprint(feather.read(spark, at)).first() == prep.fingerprint(df).first()
+        other = f"{tmp_path}/d.feather"
+        assert feather._write_by_driver(fs, df, other, None, ["kind"])
+        assert prep.fingerprint(feather._read_binary(spark, [f"{other}/{n}" for n in fs.names(other)])).first() == prep.fingerprint(df).first()
+        empty = f"{tmp_path}/e.feather"
+        feather.write(fs, df.filter("id < 0"), empty, "zstd", ["kind"])
+        assert feather.read(spark, empty).count() == 0 and feather.read(spark, empty).columns == df.columns
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -25,6 +25,14 @@ class FileSystem:
     def path(self, p: str):
         return self.jvm.org.apache.hadoop.fs.Path(p)
 
+    def qualified(self, p: str) -> str:
+        """The path with its scheme, as a URI."""
+        return str(self.fs.makeQualified(self.path(p)).toUri().toString()).replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
+
+    def make(self, p: str) -> None:
+        if not self.fs.mkdirs(self.path(p)):
+            raise OSError(f"{p} can't be made")
+
     def exists(self, p: str) -> bool:
         return bool(self.fs.exists(self.path(p)))
 
@@ -70,12 +78,20 @@ class FileSystem:
 
 
 def write_single_csv(fs: FileSystem, df: DataFrame, path: str) -> None:
-    """One CSV file with a header; flow maps are small tables that other tools read."""
+    """One CSV file with a header: tasks write parts, whose bytes are joined in order without passing through Python."""
     folder = f"{path}._parts"
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
-    part = next((n for n in fs.names(folder) if n.startswith("part-")), None)
-    if part is None:
-        fs.write_text(path, ",".join(df.columns) + "\n")
-    else:
-        fs.rename(f"{folder}/{part}", path)
+    df.write.mode("overwrite").option("header", False).csv(folder)
+    out = fs.fs.create(fs.path(path), True)
+    try:
+        head = bytearray((",".join(df.columns) + "\n").encode())
+        out.write(head, 0, len(head))
+        for name in fs.names(folder):
+            if name.startswith("part-"):
+                part = fs.fs.open(fs.path(f"{folder}/{name}"))
+                try:
+                    fs.jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
     fs.delete(folder)
