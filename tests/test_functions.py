@@ -185,8 +185,8 @@ def test_polygon_agrees_with_ray_casting(spark):
 
 def test_utm_there_and_back(spark):
     df = spark.createDataFrame([(-70.65, -33.45), (-69.0, -18.0), (-72.1, -45.5)], "lon double, lat double")
-    x, y = prep.PROJECTIONS["EPSG:5361"].to_xy(F.col("lon"), F.col("lat"))
-    lon, lat = prep.PROJECTIONS["EPSG:5361"].to_lonlat(F.col("x"), F.col("y"))
+    x, y = prep.projection("EPSG:5361").to_xy(F.col("lon"), F.col("lat"))
+    lon, lat = prep.projection("EPSG:5361").to_lonlat(F.col("x"), F.col("y"))
     for r in df.withColumn("x", x).withColumn("y", y).select("*", lon.alias("l"), lat.alias("p")).collect():
         assert abs(r["l"] - r["lon"]) < 1e-9 and abs(r["p"] - r["lat"]) < 1e-9
         assert 6e5 > r["x"] > 2e5 and r["y"] > 4.9e6

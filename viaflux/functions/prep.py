@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,28 @@ from .geo import TransverseMercator, in_bbox, in_polygon
 
 #: Texts that stand for a missing value.
 NULL_LIKE = ("", "-", "nan", "none", "null", "n/a", "na")
-#: Projections by EPSG code.
-PROJECTIONS = {"EPSG:5361": TransverseMercator(-69.0), "EPSG:32719": TransverseMercator(-69.0, inverse_flattening=298.257223563), "EPSG:32718": TransverseMercator(-75.0, inverse_flattening=298.257223563)}
+WGS84_INVERSE_FLATTENING = 298.257223563
+#: Grids on the GRS80 ellipsoid by EPSG code, with zone and whether it is south.
+GRS80_GRIDS = {5361: (19, True), 5362: (18, True), 31978: (18, True), 31979: (19, True), 31981: (21, True), 31983: (23, True)}
+
+
+def projection(crs: str) -> TransverseMercator:
+    """The grid of an EPSG code: UTM on WGS84 (326zz north, 327zz south), on ETRS89 (258zz), or one of `GRS80_GRIDS`."""
+    try:
+        code = int(str(crs).strip().upper().removeprefix("EPSG:"))
+    except ValueError:
+        code = 0
+    family, zone = divmod(code, 100)
+    inverse = 298.257222101
+    if family in (326, 327) and 1 <= zone <= 60:
+        south, inverse = family == 327, WGS84_INVERSE_FLATTENING
+    elif family == 258 and 28 <= zone <= 38:
+        south = False
+    elif code in GRS80_GRIDS:
+        zone, south = GRS80_GRIDS[code]
+    else:
+        raise ValueError(f"the projection {crs!r} is unknown; known are UTM zones and EPSG:{sorted(GRS80_GRIDS)}")
+    return TransverseMercator(6.0 * zone - 183.0, false_northing=10_000_000.0 if south else 0.0, inverse_flattening=inverse)
 
 
 def code_key(c: Column) -> Column:
@@ -92,15 +113,80 @@ def within(df: DataFrame, lon: str, lat: str, zones: DataFrame, box: Sequence[st
     return joined.filter((F.col(lon) >= x0) & (F.col(lon) <= x1) & (F.col(lat) >= y0) & (F.col(lat) <= y1)).drop("_gx", "_gy")
 
 
+def join_first(df: DataFrame, table: DataFrame, keys: Mapping[str, str], columns: Mapping[str, str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of `df` with columns of a table (name there -> name here) by one or more normalised keys (name here -> name there).
+
+    Each row of `df` stays once: of several rows of a key the first in `order`,
+    then by the columns themselves, counts. A null key meets nothing.
+    """
+    order = [F.col(f"`{c}`") for c in order]
+    marks = [f"_key{i}" for i in range(len(keys))]
+    taken = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(columns)])
+    right = table.select(*[code_key(F.col(f"`{there}`")).alias(m) for m, there in zip(marks, keys.values(), strict=True)], taken.alias("_taken"))
+    right = right.dropna(subset=marks).groupBy(*marks).agg(F.min("_taken").alias("_taken"))
+    on = reduce(lambda a, b: a & b, [code_key(df[f"`{here}`"]) == right[m] for here, m in zip(keys, marks, strict=True)])
+    out = df.join(right, on, "left")
+    kept = [df[f"`{c}`"] for c in df.columns if c not in columns.values()]
+    return out.select(*kept, *[right["_taken"][f"_v{i}"].alias(n) for i, n in enumerate(columns.values())])
+
+
+def join_suffixed(df: DataFrame, table: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
+    """A left join by keys of the same name in both; the table's other columns that `df` has too get the suffix."""
+    rest = [c for c in table.columns if c not in keys]
+    right = table.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`").alias(c + suffix if c in df.columns else c) for c in rest])
+    on = reduce(lambda a, b: a & b, [df[f"`{k}`"] == right[f"_key{i}"] for i, k in enumerate(keys)])
+    return df.join(right, on, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def stop_code(c: Column) -> Column:
+    """The form in which codes of stops and stations are compared.
+
+    A code of parts `a-b` has its number last: where the last part is no number
+    it changes places with the one before. A name of one part is upper case
+    without accents and backquotes. Null-like texts are null.
+    """
+    t = valid_or_null(c)
+    parts = F.split(t, "-")
+    n = F.size(parts)
+    last, before = F.element_at(parts, -1), F.try_element_at(parts, n - 1)
+    swapped = F.array_join(F.concat(F.slice(parts, 1, F.greatest(n - 2, F.lit(0))), F.array(last, before)), "-")
+    name = F.trim(F.upper(F.translate(t, "ÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛáéíóúüñàèìòùâêîôû`", "AEIOUUNAEIOUAEIOUaeiouunaeiouaeiou")))
+    return F.when(n < 2, name).otherwise(F.when(last.rlike("^[0-9]+$"), t).otherwise(swapped))
+
+
+def locate_stops(df: DataFrame, code: str, stops: DataFrame, *, stop: str, x: str = "x", y: str = "y", into: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """Rows with the coordinates of their stop; codes meet in the form of `stop_code`."""
+    keyed = stops.select(stop_code(F.col(f"`{stop}`")).alias("_stop"), F.col(f"`{x}`").alias("_x"), F.col(f"`{y}`").alias("_y"))
+    marked = df.withColumn("_stop_code", stop_code(F.col(f"`{code}`")))
+    return join_first(marked, keyed, {"_stop_code": "_stop"}, {"_x": into[0], "_y": into[1]}).drop("_stop_code")
+
+
+def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
+    """Even-odd rule for a column of rings, arrays of (lon, lat) structs, closed or not."""
+    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    edges = F.arrays_zip(ring.alias("a"), after.alias("b"))
+    crossed = lambda e: F.when((e.a.lat > lat) != (e.b.lat > lat), lon < (e.b.lon - e.a.lon) * (lat - e.a.lat) / (e.b.lat - e.a.lat) + e.a.lon).otherwise(False)
+    return F.size(F.filter(edges, crossed)) % 2 == 1
+
+
+def within_polygons(df: DataFrame, lon: str, lat: str, zones: DataFrame, ring: str, side: float = 0.02) -> DataFrame:
+    """Rows joined with each polygon of a table that holds them; points and boxes meet on squares of `side` degrees."""
+    points = zones.withColumns({f"_{f}_{axis}": getattr(F, f"array_{f}")(F.col(f"`{ring}`.{axis}")) for f in ("min", "max") for axis in ("lon", "lat")})
+    squares = lambda axis: F.explode(F.sequence(F.floor(F.col(f"_min_{axis}") / side), F.floor(F.col(f"_max_{axis}") / side)))
+    grid = points.withColumn("_gx", squares("lon")).withColumn("_gy", squares("lat"))
+    keyed = df.withColumn("_gx", F.floor(F.col(f"`{lon}`") / side)).withColumn("_gy", F.floor(F.col(f"`{lat}`") / side))
+    joined = keyed.join(grid, ["_gx", "_gy"]).filter(inside_ring(F.col(f"`{lon}`"), F.col(f"`{lat}`"), F.col(f"`{ring}`")))
+    return joined.drop("_gx", "_gy", "_min_lon", "_max_lon", "_min_lat", "_max_lat")
+
+
 def project_xy_to_latlon(df: DataFrame, x: str, y: str, *, crs: str = "EPSG:5361", lon: str = "longitude", lat: str = "latitude", status: str | None = "projection_status", zero_is_missing: bool = True) -> DataFrame:
     """Degrees of projected coordinates (decimal commas allowed), and how the parsing went: ok, missing, invalid."""
-    if crs not in PROJECTIONS:
-        raise ValueError(f"the projection {crs!r} is unknown; known are {sorted(PROJECTIONS)}")
+    grid = projection(crs)
     raw = [F.replace(F.trim(F.col(f"`{c}`").cast("string")), F.lit(","), F.lit(".")) for c in (x, y)]
     values = [F.when(t.rlike(coerce.NUMBER), t.try_cast("double")) for t in raw]
     if zero_is_missing:
         values = [F.nullif(v, F.lit(0.0)) for v in values]
-    out_lon, out_lat = PROJECTIONS[crs].to_lonlat(*values)
+    out_lon, out_lat = grid.to_lonlat(*values)
     out = df.withColumn("_lon", out_lon).withColumn("_lat", out_lat)
     if status:
         blank = [F.coalesce(t == "", F.lit(True)) for t in raw]

@@ -343,8 +343,8 @@ def _as_datetime(value: Any, issues: Issues) -> dt.datetime:
     return at if at.tzinfo else at.replace(tzinfo=dt.UTC)
 
 
-def filter_flows(flows: FlowDataset, options: FlowFilterOptions | None = None, *, max_issues: int = 1000) -> tuple[FlowDataset, Report]:
-    """Flows that pass attributes and cells; the bridge to trips is kept in step by a semi-join."""
+def filter_flows(flows: FlowDataset, options: FlowFilterOptions | None = None, *, max_issues: int = 1000, sample_rows_per_issue: int = 20) -> tuple[FlowDataset, Report]:
+    """Flows that pass attributes and cells; the bridge to trips is kept in step by a semi-join, long lists of cells by joins."""
     options = options or FlowFilterOptions()
     issues = Issues(FilterFailed, options.strict, max_issues)
     df = flows.flows
@@ -359,23 +359,32 @@ def filter_flows(flows: FlowDataset, options: FlowFilterOptions | None = None, *
         parts = [m for _, m in where_mask(df, options.where, FLOW_CORE, issues, "FLT", allow_set=True)]
         if parts:
             axes.append(("where", reduce(lambda a, b: a & b, parts)))
+    joined = None
     if options.h3_cells is not None:
         listed = [c for c in ([options.h3_cells] if isinstance(options.h3_cells, str) else options.h3_cells) if c is not None]
         if not listed:
             issues.fatal("FLT.H3.EMPTY", "the list of cells is empty")
         cells = _check_cells(listed, issues, "FLT", fatal=False)
-        if cells:
+        if len(cells) >= MANY_CELLS:
+            joined = cells
+        elif cells:
             axes.append(("h3_cells", cells_mask(cells, which)))
     out = df
     for _, mask in axes:
         out = out.filter(mask)
     counts = axis_counts(df, axes)
     rows_in = counts.pop("rows_in")
+    samples = {n: df.filter(~surely(m)).limit(sample_rows_per_issue) for n, m in axes}
+    if joined is not None:
+        before = rows_in - sum(counts.values())
+        samples["h3_cells"] = out.join(in_cells(out, joined, which).select("flow_id"), "flow_id", "left_anti").limit(sample_rows_per_issue)
+        out = in_cells(out, joined, which)
+        counts["h3_cells"] = before - out.count()
     rows_out = rows_in - sum(counts.values())
     bridge = None
     if options.keep_flow_to_trips and flows.flow_to_trips is not None:
         if {"flow_id", "movement_id"} <= set(flows.flow_to_trips.columns):
-            bridge = flows.flow_to_trips.join(out.select("flow_id"), "flow_id", "left_semi") if axes else flows.flow_to_trips
+            bridge = flows.flow_to_trips.join(out.select("flow_id"), "flow_id", "left_semi") if axes or joined else flows.flow_to_trips
         else:
             issues.err("FLT.AUX.FLOW_TO_TRIPS_INVALID", "the bridge needs flow_id and movement_id")
     if rows_in and not rows_out:
@@ -385,6 +394,6 @@ def filter_flows(flows: FlowDataset, options: FlowFilterOptions | None = None, *
     result = flows.after("filter_flows", parameters, summary, issues, flows=out, flow_to_trips=bridge)
     if not options.keep_metadata:
         result = FlowDataset(out, bridge, flows.aggregation_spec, flows.source_trips, flows.provenance, {})
-    report = Report(issues.ok, issues.kept("FLT.REPORT.ISSUES_TRUNCATED"), summary, parameters)
+    report = Report(issues.ok, issues.kept("FLT.REPORT.ISSUES_TRUNCATED"), summary, parameters, {"dropped_samples": samples})
     issues.raise_if_strict()
     return result, report

@@ -579,7 +579,7 @@ def infer_with_cells(spark, sf_dir):
 def utm_round_trip(spark, sf_dir):
     """Degrees to metres and back through the Parquet scan's own numbers."""
     df = views.trips_table(spark, sf_dir).filter("origin_latitude BETWEEN -90 AND 90").groupBy("user_id").agg(F.avg("origin_longitude").alias("a"), F.avg("origin_latitude").alias("b"))
-    x, y = prep.PROJECTIONS["EPSG:5361"].to_xy(F.col("a"), F.col("b"))
+    x, y = prep.projection("EPSG:5361").to_xy(F.col("a"), F.col("b"))
     back = prep.project_xy_to_latlon(df.withColumn("x", x).withColumn("y", y), "x", "y")
     return back.select("user_id", F.round("longitude", 7).alias("lon"), F.round("latitude", 7).alias("lat"))
 
