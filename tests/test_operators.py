@@ -153,6 +153,11 @@ def test_many_cells_use_a_join(spark):
     cells = [c for c in cells if c != C]
     out, report = filter_trips(trips(spark), FilterOptions(h3_cells=cells))
     assert out.data.count() == 3 and report.summary["dropped_by_axis"] == {"h3_cells": 1}
+    f, _ = build_flows(trips(spark), options=FlowBuildOptions(keep_flow_to_trips=True))
+    out, report = filter_flows(f, FlowFilterOptions(where={"flow_count": {"gte": 1}}, h3_cells=cells))
+    assert report.summary["dropped_by_axis"] == {"where": 0, "h3_cells": 1} and out.flows.count() == report.summary["rows_out"]
+    assert {r["origin_h3_index"] for r in out.flows.collect()} == {A} and out.flow_to_trips.count() == 3
+    assert [r["origin_h3_index"] for r in report.details["dropped_samples"]["h3_cells"].collect()] == [C]
 
 
 def test_filters_stay_out_of_python(spark):

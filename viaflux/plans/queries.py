@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..datasets import FlowDataset
 from ..functions import coerce, geo, h3bits, h3proj, prep, timeutil
 from ..operators import cleaning, drilldown, export, filtering, fixing, flows, importing, inference, validation
-from ..sources import artifacts, profiles
+from ..sources import artifacts, profiles, raw_profiles
 from ..streaming import flows as stream
 from . import views
 from .views import TRACES_SQL, TRIPS_SQL
@@ -640,6 +640,72 @@ def spatial_within(spark, sf_dir):
     return views.trips_table(spark, sf_dir).select("movement_id", prep.zone_of(F.col("origin_longitude"), F.col("origin_latitude"), _ZONES).alias("zone"))
 
 
+def _zones(spark: SparkSession) -> DataFrame:
+    rows = [(name, [{"lon": x, "lat": y} for x, y in ring]) for name, ring in _ZONES]
+    return spark.createDataFrame(rows, "zone string, ring array<struct<lon:double,lat:double>>")
+
+
+@query(f"WITH {TRIPS_SQL} " + " UNION ALL ".join(f"SELECT movement_id, '{name}' AS zone FROM trips WHERE {_polygon_sql('origin_longitude', 'origin_latitude', ring)}" for name, ring in _ZONES))
+def spatial_join(spark, sf_dir):
+    """Origins met with a table of polygons."""
+    df = views.trips_table(spark, sf_dir).select("movement_id", "origin_longitude", "origin_latitude")
+    return prep.within_polygons(df, "origin_longitude", "origin_latitude", _zones(spark), "ring").select("movement_id", "zone")
+
+
+@query("""WITH t AS (SELECT l_partkey, l_suppkey, l_linestatus, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_linestatus) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l.l_partkey, l.l_suppkey, t.l_linestatus AS label FROM lineitem l LEFT JOIN t ON t.l_partkey = l.l_partkey AND t.l_suppkey = l.l_suppkey AND n = 1 AND t.l_suppkey % 3 <> 0""")
+def join_two_keys(spark, sf_dir):
+    """The first label of two keys for every row; a third of the keys has none."""
+    li = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    labels = views.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus", "l_shipdate").filter(F.col("l_suppkey") % 3 != 0)
+    return prep.join_first(li, labels, {"l_partkey": "l_partkey", "l_suppkey": "l_suppkey"}, {"l_linestatus": "label"}, order=["l_shipdate"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority AS label, c_mktsegment, c.label AS label_customer FROM orders LEFT JOIN (SELECT c_custkey, c_mktsegment, c_name AS label FROM customer WHERE c_custkey % 2 = 0) c ON c_custkey = o_custkey")
+def join_suffixed(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("label"))
+    c = views.table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.col("c_name").alias("label"))
+    return prep.join_suffixed(o, c, ["o_custkey"], "_customer")
+
+
+_STAGES_SQL = """w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 3)::VARCHAR ELSE '-' END AS etapas,
+  CASE WHEN o_orderkey % 5 <> 0 THEN 'S-' || o_custkey END AS up1, CASE WHEN o_orderkey % 7 <> 0 THEN 'S-' || (o_custkey + 1) ELSE '-' END AS down1,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'S-' || (o_custkey + 2) ELSE '' END AS up2, CASE WHEN o_orderkey % 9 = 0 THEN 'S-' || (o_custkey + 3) END AS down2 FROM orders)"""
+
+
+@query(f"""WITH {_STAGES_SQL} SELECT id, coalesce(try_cast(etapas AS INTEGER), CASE WHEN up2 <> '' OR down2 IS NOT NULL THEN 2 WHEN up1 IS NOT NULL OR down1 <> '-' THEN 1 ELSE 0 END) AS stages_found,
+  coalesce(up1, nullif(up2, '')) AS paraderosubida, coalesce(down2, nullif(down1, '-')) AS paraderobajada FROM w""")
+def smart_card_trips(spark, sf_dir):
+    """Orders as wide trips of two stages: what boards first and alights last."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    stop = lambda n: F.concat(F.lit("S-"), (c + n).cast("string"))
+    wide = views.table(spark, sf_dir, "orders").select(
+        k.alias("id"),
+        F.when(k % 2 == 0, (k % 3).cast("string")).otherwise("-").alias("etapas"),
+        F.when(k % 5 != 0, stop(0)).alias("paraderosubida_1era"),
+        F.when(k % 7 != 0, stop(1)).otherwise("-").alias("paraderobajada_1era"),
+        F.when(k % 3 == 0, stop(2)).otherwise("").alias("paraderosubida_2da"),
+        F.when(k % 9 == 0, stop(3)).alias("paraderobajada_2da"),
+    )
+    stops = views.table(spark, sf_dir, "customer").select(F.concat(F.lit("S-"), F.col("c_custkey").cast("string")).alias("stop"), (F.lit(300_000) + F.col("c_custkey")).alias("x"), (F.lit(6_300_000) + F.col("c_custkey")).alias("y"))
+    layout = raw_profiles.layout_of({"trip_level": ["id"], "stage_1": ["paraderosubida_1era", "paraderobajada_1era"], "stage_2": ["paraderosubida_2da", "paraderobajada_2da"]})
+    return raw_profiles.smart_card_trips(wide, stops, layout, stop="stop").select("id", "stages_found", "paraderosubida", "paraderobajada")
+
+
+@query(f"""WITH {TRACES_SQL}, places AS (SELECT s_suppkey, -70.9::DOUBLE + (s_suppkey % 40) * 0.01::DOUBLE AS lon, -33.7::DOUBLE + (s_suppkey % 50) * 0.01::DOUBLE AS lat FROM supplier),
+ inside AS (SELECT * FROM places WHERE {_polygon_sql('lon', 'lat', _ZONES[0][1])} OR {_polygon_sql('lon', 'lat', _ZONES[1][1])}),
+ visits AS (SELECT user_id, time_utc, s_suppkey, point_id FROM traces JOIN inside ON s_suppkey = k % 10 + 1),
+ pairs AS (SELECT user_id, s_suppkey AS venue, time_utc, lag(time_utc) OVER (PARTITION BY user_id ORDER BY time_utc, s_suppkey) AS before FROM visits)
+ SELECT user_id, strftime(before, '%Y-%m-%d %H:%M:%S') AS origin, strftime(time_utc, '%Y-%m-%d %H:%M:%S') AS destination FROM pairs WHERE before IS NOT NULL""")
+def checkin_trips(spark, sf_dir):
+    """Points as check-ins at suppliers: consecutive ones inside the zones."""
+    visits = views.traces_table(spark, sf_dir).select("user_id", (F.col("k") % 10 + 1).alias("venue_id"), F.col("time_utc").alias("datetime"))
+    n = F.col("s_suppkey")
+    venues = views.table(spark, sf_dir, "supplier").select(n.cast("long").alias("venue_id"), (F.lit(-70.9) + (n % 40) * F.lit(0.01)).alias("lon"), (F.lit(-33.7) + (n % 50) * F.lit(0.01)).alias("lat"), F.col("s_name").alias("category"))
+    out = raw_profiles.checkin_trips(visits, venues, _zones(spark))
+    return out.select("user_id", F.date_format("origin_datetime", "yyyy-MM-dd HH:mm:ss").alias("origin"), F.date_format("destination_datetime", "yyyy-MM-dd HH:mm:ss").alias("destination"))
+
+
 _FLOW_SQL = "f AS (SELECT origin_h3_index, destination_h3_index, count(*) AS flow_count, sum(trip_weight) AS flow_value FROM trips WHERE destination_h3_index IS NOT NULL GROUP BY ALL)"
 
 
