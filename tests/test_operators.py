@@ -14,7 +14,7 @@ from viaflux.operators.fixing import FixCorrespondenceOptions, fix_trips_corresp
 from viaflux.operators.flows import FlowBuildOptions, build_flows
 from viaflux.operators.importing import MAX_DOMAIN, ImportOptions, import_traces_from_dataframe, import_trips_from_dataframe, with_row_number
 from viaflux.operators.inference import InferTripsOptions, infer_trips_from_traces
-from viaflux.operators.validation import ValidationOptions, validate_traces, validate_trips
+from viaflux.operators.validation import ValidationOptions, repeated, repeated_all, validate_traces, validate_trips
 from viaflux.schema import DomainSpec, EffectiveSchema, FieldSpec, TripSchema
 from viaflux.sources import artifacts
 from viaflux.sources.profiles import SourceProfile, import_trips_from_profile
@@ -195,6 +195,14 @@ def test_validation(spark):
         validate_trips(trips(spark), options=ValidationOptions(validate_duplicates=True))
 
 
+def test_uniqueness_checks_agree_with_one_by_one(spark):
+    rows = [("a", 0.0, None), ("a", -0.0, None), ("b", 1.0, "x"), (None, 1.0, "x"), (None, None, "x"), ("c", float("nan"), "y"), ("d", float("nan"), "y"), ("a", 0.0, "null")]
+    df = spark.createDataFrame(rows, "k string, v double, w string")
+    subsets = [(["k"], True), (["v", "w"], False), (["k", "v"], False), (["w"], True), (["k", "w"], True)]
+    assert repeated_all(df, subsets) == [repeated(df, names, drop) for names, drop in subsets] == [3, 6, 3, 5, 0]
+    assert repeated_all(df.filter("false"), subsets) == [0] * 5 and repeated_all(df, []) == [] and repeated_all(df, subsets[:1]) == [3]
+
+
 def test_validation_truncates(spark):
     df = trips(spark).data.withColumn("trip_weight", F.lit("many")).withColumn("movement_id", F.lit(None).cast("string"))
     _, report = validate_trips(dataset(df), options=ValidationOptions(max_issues=1))

@@ -184,11 +184,15 @@ def import_trips_from_dataframe(
         if name not in schema.fields or name not in df.columns:
             issues.warn("IMP.VALUE.FIELD_MISSING", f"values of {name!r} can't be mapped", field=name)
     texts = [c for c in df.columns if effective.dtypes.get(c) == "categorical" or c in recodes]
-    raw_values = observed_values(df.select(*[coerce.text(F.col(f"`{c}`")).alias(c) for c in recodes if c in df.columns]), [c for c in recodes if c in df.columns])
+    mapped = [c for c in recodes if c in df.columns]
+    domains = [c for c in texts if effective.dtypes.get(c) == "categorical"]
+    # a mapping of values that don't occur changes nothing, so values before and after it come from one pass
+    raw = {f"{c}\u2190raw": c for c in mapped}
+    both = df.select(*[coerce.text(F.col(f"`{c}`")).alias(r) for r, c in raw.items()], *[normalise_domain(F.col(f"`{c}`"), recodes.get(c)).alias(c) for c in domains])
+    seen = observed_values(both, [*raw, *domains], whole=extended_fields(schema.fields, domains, options.strict_domains))
+    raw_values = {c: seen[r] for r, c in raw.items()}
     applied = {c: {k: v for k, v in recodes[c].items() if k in set(raw_values[c]["values"]) or raw_values[c]["distinct"] > MAX_DOMAIN} for c in raw_values}
     df = df.withColumns({c: normalise_domain(F.col(f"`{c}`"), applied.get(c)) for c in texts})
-    domains = [c for c in texts if effective.dtypes.get(c) == "categorical"]
-    seen = observed_values(df, domains, whole=extended_fields(schema.fields, domains, options.strict_domains))
     for name in domains:
         df = _domain_policy(df, schema.fields[name], seen[name], options, effective, issues)
 

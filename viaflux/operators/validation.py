@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..datasets import TraceDataset, TripDataset, json_safe
 from ..functions import coerce, h3bits, timeutil
@@ -109,6 +111,29 @@ def repeated(df: DataFrame, subset: Sequence[str], drop_nulls: bool) -> int:
     return int(n or 0)
 
 
+def _exact_text(df: DataFrame, name: str) -> Column:
+    """A text that is equal where the column's values are; zeros lose their sign, as they do in a grouping."""
+    c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+    return c.cast("string")
+
+
+def repeated_all(df: DataFrame, subsets: Sequence[tuple[Sequence[str], bool]]) -> list[int]:
+    """`repeated` for several subsets of plain columns, from one pass over the rows and one shuffle."""
+    if len(subsets) < 2 or any(isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) for names, _ in subsets for c in names):
+        return [repeated(df, names, drop) for names, drop in subsets]
+    keys = []
+    for i, (names, drop) in enumerate(subsets):
+        key = F.struct(F.lit(i).alias("check"), F.array(*[_exact_text(df, c) for c in names]).alias("key"))
+        whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in names])
+        keys.append(F.when(whole, key) if drop else key)
+    each = df.select(F.explode(F.array_compact(F.array(*keys))).alias("x")).select("x.check", "x.key")
+    groups = each.groupBy("check", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = {r["check"]: r["n"] for r in groups.groupBy("check").agg(F.sum("n").alias("n")).collect()}
+    return [int(found.get(i, 0)) for i in range(len(subsets))]
+
+
 def partial_od_applies(columns: Sequence[str]) -> bool:
     pair = lambda e: {f"{e}_latitude", f"{e}_longitude"} <= set(columns)
     return pair("origin") or pair("destination")
@@ -210,7 +235,10 @@ def validate_trips(trips: TripDataset, *, options: ValidationOptions | None = No
         if counts[f"c{i}"]:
             sample = [json_safe(r.asDict()) for r in df.filter(mask).drop(*[c for c in df.columns if c.startswith("_v_")]).limit(o.sample_rows_per_issue).collect()] if o.sample_rows_per_issue else []
             issues.err(code, message, field=name, row_count=counts[f"c{i}"], details={"sample": sample})
-    unique = {f.name: repeated(df, [f.name], True) for f in fields if o.validate_constraints and (f.constraints or {}).get("unique") is True}
+    alone = [f.name for f in fields if o.validate_constraints and (f.constraints or {}).get("unique") is True]
+    subsets = [([name], True) for name in alone] + ([(list(o.duplicates_subset), False)] if o.validate_duplicates else [])
+    groups = repeated_all(df, subsets)
+    unique = dict(zip(alone, groups, strict=False))
     for name, n in unique.items():
         if n:
             issues.err("VAL.CORE.CONSTRAINT_VIOLATION", "constraint 'unique' is broken", field=name, row_count=n)
@@ -224,7 +252,7 @@ def validate_trips(trips: TripDataset, *, options: ValidationOptions | None = No
                 issues.err("VAL.DOMAIN.RATIO_BELOW_MIN", f"{ratios[name]:.4f} of the values are in the domain", field=name)
             elif ratios[name] < 1:
                 issues.warn("VAL.DOMAIN.PARTIAL_COVERAGE", f"{ratios[name]:.4f} of the values are in the domain", field=name)
-    duplicates = repeated(df, o.duplicates_subset, False) if o.validate_duplicates else 0
+    duplicates = groups[-1] if o.validate_duplicates else 0
     if duplicates:
         issues.err("VAL.DUPLICATES.ROWS_FOUND", f"{duplicates} rows are repeated", row_count=duplicates)
     summary = {"rows": rows, "ok": issues.ok, "domains": ratios, "duplicates": duplicates, "temporal_checked": temporal}
